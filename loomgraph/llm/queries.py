@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import line_dedup, quality_rules, sharding
+from loomgraph.llm import decontaminate, line_dedup, packing, quality_rules, sharding
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_decontamination": decontaminate.op2_decontamination,
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op8_sharding": sharding.op8_sharding,
     }
@@ -16,6 +18,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_quality_rules": quality_rules.OP1_SQL,
+        "op2_decontamination": decontaminate.OP2_SQL,
         "op4_line_dedup": line_dedup.OP4_SQL,
         "op8_sharding": sharding.OP8_SQL,
     }
