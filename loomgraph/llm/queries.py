@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, line_dedup, packing, quality_rules, sharding
+from loomgraph.llm import decontaminate, line_dedup, packing, pii, quality_rules, secret_scan, sharding
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op6_pii": pii.op6_pii,
         "op8_sharding": sharding.op8_sharding,
+        "op9_secret_scan": secret_scan.op9_secret_scan,
     }
 
 
