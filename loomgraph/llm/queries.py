@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, line_dedup, packing, pii, quality_rules, secret_scan, sharding
+from loomgraph.llm import (
+    decontaminate,
+    html_extract,
+    line_dedup,
+    packing,
+    pii,
+    quality_rules,
+    secret_scan,
+    sharding,
+    toxicity,
+)
 
 
 def queries() -> dict:
@@ -12,8 +22,10 @@ def queries() -> dict:
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op6_pii": pii.op6_pii,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_sharding": sharding.op8_sharding,
         "op9_secret_scan": secret_scan.op9_secret_scan,
+        "op10_html_extraction": html_extract.op10_html_extraction,
     }
 
 
