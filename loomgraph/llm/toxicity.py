@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import words_of
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most (about: rows are dealt by hash).
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 #: Terms in the lexicon, at most.
 MAX_TERMS = 500
+#: Marks a term as a whole word; lengths of the beginnings of words that are counted; log-odds that need no more letters.
+END = "\x01"
+SHORTEST, LONGEST = 3, 14
+SURE = 4.0
 #: Words that make up a hit's context, before and after it.
 CONTEXT = 6
 THRESHOLD = 0.3
@@ -64,10 +68,13 @@ class LevenshteinAutomaton:
 
 
 class Lexicon:
-    """A trie of terms that words, misspelled or not, are looked up in."""
+    """A trie of terms that words, misspelled or not, are looked up in.
 
-    def __init__(self, terms: list[str]):
-        self.exact = {t: i for i, t in enumerate(terms)}
+    A term is a whole word if it ends in ``END``, else a stem that any ending may follow.
+    """
+
+    def __init__(self, terms: list[str], weights: list[float]):
+        self.sure = {t for t, w in zip(terms, weights, strict=True) if w >= SURE}
         self.trie: dict = {}
         self.heads: set[str] = set()
         self.tails: set[str] = set()
@@ -76,39 +83,47 @@ class Lexicon:
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = i
-            if self.edits(t):  # one edit leaves one half of a term as it is
-                self.heads.add(t[: len(t) // 2])
-                self.tails.add(t[len(t) // 2 :])
+            if self.forgiving(t):  # one edit leaves one half of a term as it is
+                word = t.rstrip(END)
+                half = len(word) // 2
+                self.heads.add(word[:half])
+                self.tails.add(word[half:])
         self.head_sizes = sorted({len(x) for x in self.heads})
-        self.tail_sizes = sorted({len(x) for x in self.tails})
-        self.longest = max(map(len, terms), default=0)
 
-    @staticmethod
-    def edits(term: str) -> int:
-        """Short terms have too many neighbours."""
-        return 1 if len(term) >= 5 else 0
+    def forgiving(self, term: str) -> bool:
+        """Short terms, and stems more so, have too many neighbours; weak ones tell too little."""
+        return len(term) >= 6 and term in self.sure
+
+    def exact(self, word: str) -> int | None:
+        """The longest term that the word is or begins with."""
+        node, found = self.trie, None
+        for c in word + END:
+            if (node := node.get(c)) is None:
+                break
+            found = node.get("", found)
+        return found
 
     def find(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the nearest term."""
-        if word in self.exact:
-            return self.exact[word], 0
-        if not 4 <= len(word) <= self.longest + 1:
-            return None
-        if not any(word[:n] in self.heads for n in self.head_sizes) and not any(
-            word[-n:] in self.tails for n in self.tail_sizes
+        if (term := self.exact(word)) is not None:
+            return term, 0
+        if len(word) < 4 or not (
+            any(word[:n] in self.heads for n in self.head_sizes) or any(t in word[:40] for t in self.tails)
         ):
             return None
-        automaton = LevenshteinAutomaton(word, 1)
-        best, stack = None, [(self.trie, automaton.start)]
+        automaton, best = LevenshteinAutomaton(word[:40], 1), None
+        stack = [(self.trie, automaton.start, "")]
         while stack:
-            node, state = stack.pop()
-            if "" in node and self.edits(word) and (d := automaton.distance(state)) is not None:
-                if best is None or (d, node[""]) < (best[1], best[0]):
-                    best = node[""], d
+            node, state, path = stack.pop()
+            if "" in node and self.forgiving(path) and any(state):  # a stem: some beginning of the word is read
+                best = min(filter(None, (best, (1, node[""]))))
             for char, below in node.items():
-                if char and any(after := automaton.step(state, char)):
-                    stack.append((below, after))
-        return best
+                if char == END:
+                    if self.forgiving(path + END) and automaton.distance(state) is not None:
+                        best = min(filter(None, (best, (1, below[""]))))
+                elif char and any(after := automaton.step(state, char)):
+                    stack.append((below, after, path + char))
+        return (best[1], best[0]) if best else None
 
 
 class _Memo(dict):
@@ -131,14 +146,14 @@ class _Memo(dict):
 
 
 class Finder:
-    def __init__(self, terms: list[str]):
-        self.memo = _Memo(Lexicon(terms))
-
-    def hits(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(term, edits, in quotation, other hits in its context) of every hit."""
-        if not text:
-            return []
-        words = text.lower().split()
+    """Finds the lexicon's terms in a text."""
+
+    def __init__(self, terms: list[str], weights: list[float]):
+        self.memo = _Memo(Lexicon(terms, weights))
+
+    def hits(self, text: str | None) -> tuple[list[tuple[int, int, int, int]], int]:
+        """(term, edits, in quotation, other hits in its context) of every hit, and the number of words."""
+        words = text.lower().split() if text else []
         found = list(map(self.memo.__getitem__, words))
         at = [i for i, x in enumerate(found) if x is not None]
         out = []
@@ -150,7 +165,7 @@ class Finder:
             while j < len(at) and at[j] - i <= CONTEXT:
                 near, j = near + 1, j + 1
             out.append((*found[i], int(self._quoted(words, i)), near))
-        return out
+        return out, len(words)
 
     @staticmethod
     def _quoted(words: list[str], at: int) -> bool:
@@ -164,46 +179,84 @@ class Finder:
 
 
 class Model:
-    """Term weights and a logistic curve over (strongest hit, all hits)."""
+    """Term weights and a logistic curve over the strongest hit, all hits, and all hits for the text's length."""
 
     def __init__(self, terms: list[str], weights: list[float], fuzzy: float, quoted: float, curve: list[float]):
         self.terms, self.weights, self.fuzzy, self.quoted, self.curve = terms, weights, fuzzy, quoted, curve
 
-    def features(self, hits: list[tuple[int, int, int, int]]) -> tuple[float, float]:
+    def features(self, hits: list[tuple[int, int, int, int]], n_words: int) -> tuple[float, float, float]:
         strongest = total = 0.0
         for term, edits, in_quotes, near in hits:
             part = self.weights[term] * self.fuzzy**edits * (self.quoted if in_quotes else 1.0) * (1 + 0.1 * min(near, 3))
             strongest, total = max(strongest, part), total + part
-        return strongest, math.log1p(total)
+        return strongest, math.log1p(total), math.log1p(100 * total / (n_words + 10))
+
+    def score(self, hits: list[tuple[int, int, int, int]], n_words: int) -> float:
+        z = self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], self.features(hits, n_words), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    def score(self, hits: list[tuple[int, int, int, int]]) -> float:
-        a, b = self.features(hits)
-        return 1 / (1 + math.exp(-(self.curve[0] + self.curve[1] * a + self.curve[2] * b)))
+
+def _descend(prefix: str, count: dict[str, tuple[int, int]], below: dict[str, list[str]], odds) -> Iterator[str]:
+    """The terms under a prefix: as long as nearly all its documents agree, or else as long as it must be."""
+    while True:
+        children = below.get(prefix, [])
+        same = next((c for c in children if count[c][0] >= 0.9 * count[prefix][0]), None)
+        if same is None:
+            break
+        prefix = same
+    yield prefix
+    if odds(prefix) < SURE:  # a weak stem: longer ones may tell more
+        for c in children:
+            yield from _descend(c, count, below, odds)
 
 
 def learn_lexicon(train: DataFrame, text_col: str, label_col: str, max_terms: int = MAX_TERMS) -> tuple[list, list]:
-    """Words far likelier in texts labelled 1: (terms, log-odds), by Spark's counts of documents per word."""
+    """Words and stems far likelier in texts labelled 1: (terms, log-odds).
+
+    Spark counts, for every beginning of a word and for whole words, the documents of either label; the
+    trie of those that tell the labels apart is cut where its branches stop agreeing.
+    """
     n1, n0 = train.agg(
         F.coalesce(F.sum(F.col(label_col)), F.lit(0)), F.coalesce(F.sum(1 - F.col(label_col)), F.lit(0))
     ).first()
     if not n1 or not n0:
         return [], []
-    bare = F.transform(words_of(F.lower(text_col)), lambda w: F.regexp_replace(w, "^[^\\p{L}]+|[^\\p{L}]+$", ""))
+    bare = F.array_distinct(
+        F.transform(words_of(F.lower(text_col)), lambda w: F.regexp_replace(w, "^[^\\p{L}]+|[^\\p{L}]+$", ""))
+    )
+    beginnings = F.transform(
+        F.filter(bare, lambda w: F.char_length(w) >= SHORTEST),
+        lambda w: F.transform(
+            F.sequence(F.lit(SHORTEST), F.least(F.char_length(w) + 1, F.lit(LONGEST))),
+            lambda k: F.substring(F.concat(w, F.lit(END)), F.lit(1), k),
+        ),
+    )
     counts = (
-        train.select(label_col, F.explode(F.array_distinct(bare)).alias("word"))
-        .where(F.char_length("word") >= 4)
-        .groupBy("word")
+        train.select(label_col, F.explode(F.array_distinct(F.flatten(beginnings))).alias("term"))
+        .groupBy("term")
         .agg(F.sum(label_col).alias("n1"), F.sum(1 - F.col(label_col)).alias("n0"))
     )
-    odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-    terms = (
-        counts.withColumn("odds", odds)
-        .where((F.col("n1") >= max(3, n1 * 0.01)) & (F.col("odds") >= 3))
-        .orderBy(F.desc(F.col("odds") * F.col("n1")), "word")
-        .limit(max_terms)
+    log_odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
+    told = (
+        counts.withColumn("odds", log_odds)
+        .where((F.col("n1") >= max(4, n1 * 0.01)) & (F.col("odds") >= 1) & (F.col("odds") * F.col("n1") >= 15))
+        .orderBy(F.desc(F.col("odds") * F.col("n1")), "term")
+        .limit(max_terms * LONGEST)
         .collect()
     )
-    return [r["word"] for r in terms], [float(r["odds"]) for r in terms]
+    count = {r["term"]: (r["n1"], r["n0"]) for r in told}
+    below: dict[str, list[str]] = {}
+    for t in sorted(count):
+        below.setdefault(t[:-1], []).append(t)
+
+    def odds(term: str) -> float:
+        a, b = count[term]
+        return math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
+
+    roots = [t for t in sorted(count) if not any(t[:k] in count for k in range(SHORTEST, len(t)))]
+    terms = [t for r in roots for t in _descend(r, count, below, odds)]
+    terms = sorted(terms, key=lambda t: (-odds(t) * count[t][0], t))[:max_terms]
+    return terms, [odds(t) for t in terms]
 
 
 def fit(train: DataFrame, text_col: str = "text", label_col: str = "toxic", *, max_terms: int = MAX_TERMS) -> Model:
@@ -214,13 +267,15 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "toxic", *, m
     terms, weights = learn_lexicon(train, text_col, label_col, max_terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(terms)
+        finder = Finder(terms, weights)
         for batch in batches:
-            hits = [[list(h) for h in finder.hits(t)] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(hits, pa.list_(pa.list_(pa.int32())))], ["label", "hits"])
+            found = [finder.hits(t) for t in batch.column(0).to_pylist()]
+            hits = pa.array([[list(h) for h in x] for x, _ in found], pa.list_(pa.list_(pa.int32())))
+            sizes = pa.array([n for _, n in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(1), hits, sizes], ["label", "hits", "n_words"])
 
     seen = train.select(text_col, F.col(label_col).cast("int").alias("label"))
-    rows = seen.mapInArrow(run, "label int, hits array<array<int>>").collect()  # bounded, as the sample is
+    rows = seen.mapInArrow(run, "label int, hits array<array<int>>, n_words int").collect()  # bounded, as the sample is
     label = np.array([r["label"] for r in rows], dtype=float)
     hits = [[tuple(h) for h in r["hits"]] for r in rows]
 
@@ -240,14 +295,14 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "toxic", *, m
 
     if not terms:
         share = (label.sum() + 0.5) / (len(label) + 1) if len(label) and label.sum() else 0.05
-        return Model([], [], FUZZY, QUOTED, [math.log(share / (1 - share)), 0.0, 0.0])
-    model = Model(terms, weights, factor(lambda h: h[1] and not h[2], FUZZY), factor(lambda h: h[2], QUOTED), [0, 0, 0])
-    x = np.array([(1.0, *model.features(h)) for h in hits])
-    curve = np.zeros(3)
+        return Model([], [], FUZZY, QUOTED, [math.log(share / (1 - share)), 0.0, 0.0, 0.0])
+    model = Model(terms, weights, factor(lambda h: h[1] and not h[2], FUZZY), factor(lambda h: h[2], QUOTED), [0.0] * 4)
+    x = np.array([(1.0, *model.features(h, r["n_words"])) for h, r in zip(hits, rows, strict=True)])
+    curve = np.zeros(4)
     for _ in range(30):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
-        slope = x.T @ (label - p) - 0.1 * curve * [0, 1, 1]
-        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 0.1, 0.1])
+        slope = x.T @ (label - p) - 0.1 * curve * [0, 1, 1, 1]
+        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 0.1, 0.1, 0.1])
         curve = curve + np.linalg.solve(bend, slope)
     model.curve = curve.tolist()
     return model
@@ -279,11 +334,11 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
     schema = plain.select("*", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_terms")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(model.terms)
+        finder = Finder(model.terms, model.weights)
         for batch in batches:
             hits = [finder.hits(t) for t in batch.column(names.index(text_col)).to_pylist()]
-            scores = pa.array([model.score(h) for h in hits], pa.float64())
-            counts = pa.array([len(h) for h in hits], pa.int64())
+            scores = pa.array([model.score(h, n) for h, n in hits], pa.float64())
+            counts = pa.array([len(h) for h, _ in hits], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores, counts], [*names, "score", "n_terms"])
 
     return plain.mapInArrow(run, schema)
