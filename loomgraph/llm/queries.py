@@ -6,6 +6,7 @@ from loomgraph.llm import (
     decontaminate,
     html_extract,
     line_dedup,
+    near_dedup,
     packing,
     pii,
     quality_rules,
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_pii": pii.op6_pii,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_sharding": sharding.op8_sharding,
@@ -34,5 +36,6 @@ def oracle_sql() -> dict:
         "op1_quality_rules": quality_rules.OP1_SQL,
         "op2_decontamination": decontaminate.OP2_SQL,
         "op4_line_dedup": line_dedup.OP4_SQL,
+        "op5_near_dedup": near_dedup.OP5_SQL,
         "op8_sharding": sharding.OP8_SQL,
     }
