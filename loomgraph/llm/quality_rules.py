@@ -104,18 +104,33 @@ def apply_quality_rules(docs: DataFrame, text_col: str = "text", *, min_kept: fl
              "n_lines_removed", "clean_text", "kept"]
     plain = docs.drop(*added)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words, lines = F.col("_words"), F.col("_lines")
-    split = plain.withColumns({"_words": words_of(text), "_lines": F.split(text, "\n")})
-    has_word = F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    measured = split.select(
+    has_word = lambda lines: F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    of_words = let(
+        words_of(text),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            repeated_words(w).cast("long").alias("n_repeat_words"),
+        ),
+    )
+    of_lines = let(
+        F.split(text, "\n"),
+        lambda lines: F.struct(
+            let(has_word(lines), lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
+            F.size(lines).alias("_n_lines"),
+            F.filter(lines, lambda x: ~line_fails(x)).alias("_left"),
+        ),
+    )
+    # inline() of one struct: a generator, below which a filter on its columns isn't pushed, so that
+    # everything is computed once
+    once = plain.select(
+        *[F.col(f"`{c}`") for c in plain.columns], F.inline(F.array(F.struct(of_words.alias("_w"), of_lines.alias("_l"))))
+    )
+    measured = once.select(
         *[F.col(f"`{c}`") for c in plain.columns],
-        F.size(words).cast("long").alias("n_words"),
-        F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        "_w.*",
         F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
-        let(has_word, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
-        repeated_words(words).cast("long").alias("n_repeat_words"),
-        F.size(lines).alias("_n_lines"),
-        F.filter(lines, lambda x: ~line_fails(x)).alias("_left"),
+        "_l.*",
     )
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
