@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import materialize
 
 SHINGLE = 5
-#: Bands and rows: a pair at a similarity of 0.85 shares no band with a probability of 8e-7.
-BANDS, ROWS = 24, 5
+#: Bands and rows: a pair at a similarity of 0.85 shares no band with a probability of 8e-6.
+BANDS, ROWS = 20, 5
 #: Bytes of text that are hashed together.
 CHUNK = 1 << 20
 
@@ -320,22 +320,25 @@ def near_duplicates(
         ),
         "members",
     )
-    buckets = (
-        members.where(F.col("_bands").isNotNull())
-        .select(F.col("_rep").alias("_id"), F.col("n_shingles").alias("_n"), F.posexplode("_bands").alias("_band", "_hash"))
+    # a band's hash tells its band too, so a bucket is one number
+    buckets = members.where(F.col("_bands").isNotNull()).select(
+        F.col("_rep").alias("_id"), F.explode("_bands").alias("_bucket")
     )
     heads = (
-        buckets.groupBy("_band", "_hash")
-        .agg(F.min("_id").alias("_head"), F.max("_id").alias("_last"), F.min_by("_n", "_id").alias("_head_n"))
+        buckets.groupBy("_bucket")
+        .agg(F.min("_id").alias("_head"), F.max("_id").alias("_last"))
         .where("_head <> _last")
         .drop("_last")
     )
+    met = buckets.join(heads, "_bucket").where("_id <> _head").select("_head", "_id").distinct()
+    size = members.where(F.col("_bands").isNotNull()).select(F.col("_rep").alias("_id"), F.col("n_shingles").alias("_n")).distinct()
     stars = materialize(
-        buckets.join(heads, ["_band", "_hash"]).where("_id <> _head").select("_head", "_head_n", "_id", "_n").distinct(), "stars"
+        met.join(size, "_id").join(size.select(F.col("_id").alias("_head"), F.col("_n").alias("_head_n")), "_head"), "stars"
     )
     needed = stars.select("_id").union(stars.select(F.col("_head").alias("_id"))).distinct()
-    wanted = plain.join(needed, plain[id_col] == needed["_id"], "left_semi")
-    sets = materialize(full_sets(wanted, id_col, text_col).distinct(), "sets")
+    # the ids grow with the corpus, so this is a shuffle join whatever their number; repeated rows go here
+    wanted = plain.join(needed.hint("merge"), plain[id_col] == needed["_id"], "left_semi").dropDuplicates([id_col, text_col])
+    sets = materialize(full_sets(wanted, id_col, text_col), "sets")
     inter = F.size(F.array_intersect("_set", "_head_set"))
     compared = materialize(
         stars.where(_sizes_allow(F.col("_n"), F.col("_head_n"), percent))
