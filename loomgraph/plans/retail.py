@@ -1,9 +1,607 @@
-"""Named queries over the retail graph."""
+"""The retail tables as a property graph, and named queries over it with their SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.functions import exprs as X
+from loomgraph.operators import changes, edges, metrics, quality
+from loomgraph.operators.match import Hop, Node, Rows, collect
+from loomgraph.operators.model import Graph, triples_frame
+
+TRIPLES = (
+    ("Nation", "PartOf", "Region"),
+    ("Customer", "BelongsTo", "Nation"),
+    ("Supplier", "BelongsTo", "Nation"),
+    ("Customer", "Manages", "Order"),
+    ("Order", "Contains", "Part"),
+    ("Supplier", "Supplies", "Part"),
+    ("Event", "Concerns", "Customer"),
+)
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def query(sql: str | None = None):
+    def register(f):
+        name = f.__name__
+        _QUERIES[name] = lambda spark, sf_dir: f(retail_graph(spark, sf_dir))
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def uid(label: str, key: str) -> Column:
+    return F.concat(F.lit(f"{label}:"), F.col(key).cast("string"))
+
+
+def retail_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    t = {x: spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in "region nation customer supplier part orders lineitem events".split()}
+
+    def nodes(label: str, table: str, key: str, name: str | None, namespace: Column | None = None, **props: str) -> DataFrame:
+        none = F.lit(None).cast("string")
+        return t[table].select(
+            uid(label, key).alias("uid"),
+            (F.col(name) if name else F.col(key).cast("string")).alias("name"),
+            (none if namespace is None else namespace).alias("namespace"),
+            none.alias("resource_version"),
+            *[F.col(c).alias(p) for p, c in props.items()],
+        )
+
+    t["nation"] = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    node_tables = {
+        "Region": nodes("Region", "region", "r_regionkey", "r_name"),
+        "Nation": nodes("Nation", "nation", "n_nationkey", "n_name", F.col("r_name")),
+        "Customer": nodes("Customer", "customer", "c_custkey", "c_name", acctbal="c_acctbal", segment="c_mktsegment"),
+        "Supplier": nodes("Supplier", "supplier", "s_suppkey", "s_name", acctbal="s_acctbal"),
+        "Part": nodes("Part", "part", "p_partkey", "p_name", brand="p_brand", type="p_type", size="p_size", price="p_retailprice"),
+        "Order": nodes("Order", "orders", "o_orderkey", None, status="o_orderstatus", totalprice="o_totalprice", date="o_orderdate", priority="o_orderpriority"),
+        "Event": nodes("Event", "events", "event_id", None, ts="ts", type="event_type", value="value", props="props"),
+    }
+
+    def link(table: str, src: Column, dst: Column) -> DataFrame:
+        return t[table].select(src.alias("src"), dst.alias("dst"))
+
+    # line items repeat pairs: one edge per pair. Distinct on the long keys, before the ids become text.
+    pairs = lambda a, b: t["lineitem"].select(a, b).distinct()
+    edge_tables = {
+        TRIPLES[0]: link("nation", uid("Nation", "n_nationkey"), uid("Region", "n_regionkey")),
+        TRIPLES[1]: link("customer", uid("Customer", "c_custkey"), uid("Nation", "c_nationkey")),
+        TRIPLES[2]: link("supplier", uid("Supplier", "s_suppkey"), uid("Nation", "s_nationkey")),
+        TRIPLES[3]: link("orders", uid("Customer", "o_custkey"), uid("Order", "o_orderkey")),
+        TRIPLES[4]: pairs("l_orderkey", "l_partkey").select(uid("Order", "l_orderkey").alias("src"), uid("Part", "l_partkey").alias("dst")),
+        TRIPLES[5]: pairs("l_suppkey", "l_partkey").select(uid("Supplier", "l_suppkey").alias("src"), uid("Part", "l_partkey").alias("dst")),
+        TRIPLES[6]: link("events", uid("Event", "event_id"), uid("Customer", "user_id")),
+    }
+    return Graph(node_tables, edge_tables)
+
+
+def rows_counted() -> dict[str, Column]:
+    return {"n": F.count(F.lit(1))}
+
+
+ORDERS = "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem"
+
+
+# ---- scans and hops --------------------------------------------------------------------------------------
+
+
+@query("SELECT n_name AS nation, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey "
+       "JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY orders DESC, nation LIMIT 5")
+def q_topk_nations(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("o", "Order"), Hop("Manages", "in"), Node("c", "Customer"), Hop("BelongsTo"), Node("n", "Nation"))
+    return rows.returns(lambda v: {"nation": v.n["name"]}, {"orders": F.count(F.lit(1))}, order_by=[F.desc("orders"), F.asc("nation")], limit=5)
+
+
+@query("SELECT count(*) AS n FROM customer")
+def q_label_scan_count(g: Graph) -> DataFrame:
+    return Rows(g).match(Node("c", "Customer")).returns(aggs=rows_counted())
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS label, count(*) AS n FROM {t}" for x, t in (("Region", "region"), ("Nation", "nation"),
+       ("Customer", "customer"), ("Supplier", "supplier"), ("Part", "part"), ("Order", "orders"), ("Event", "events"))))
+def q_full_scan_by_label(g: Graph) -> DataFrame:
+    return metrics.label_counts(g)
+
+
+@query("SELECT c_name AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name < 'C'")
+def q_hop_out(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("c", "Customer"), Hop("BelongsTo"), Node("n", "Nation"), where=lambda v: v.n["name"] < "C")
+    return rows.returns(lambda v: {"customer": v.c["name"], "nation": v.n["name"]})
+
+
+@query("SELECT r_name AS region, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def q_hop_in(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("r", "Region"), Hop("partof", "in"), Node("n", "Nation"))
+    return rows.returns(lambda v: {"region": v.r["name"]}, rows_counted())
+
+
+@query("WITH b AS (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier), "
+       "u AS (SELECT 'Nation:' || k AS a FROM b UNION ALL SELECT 'Customer:' || c_custkey FROM customer "
+       "UNION ALL SELECT 'Supplier:' || s_suppkey FROM supplier) SELECT count(*) AS n, count(DISTINCT a) AS ends FROM u")
+def q_hop_both(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("a"), Hop("BelongsTo", "both"), Node("b"))
+    return rows.returns(aggs=lambda v: {**rows_counted(), "ends": F.count_distinct(v.a["uid"])})
+
+
+@query("SELECT 'BelongsTo' AS type, 'Customer' AS source_type, 'Nation' AS target_type, count(*) AS n FROM customer "
+       "UNION ALL SELECT 'Manages', 'Customer', 'Order', count(*) FROM orders")
+def q_untyped_hop(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("c", "Customer"), Hop(var="r"), Node())
+    return rows.returns(lambda v: {k: v.r[k] for k in ("type", "source_type", "target_type")}, rows_counted())
+
+
+@query("SELECT r_name AS region, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey "
+       "JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY r_name")
+def q_path3_region_orders(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("r", "Region"), Hop("PartOf", "in"), Node(label="Nation"), Hop("BelongsTo", "in"),
+                         Node(label="Customer"), Hop("Manages"), Node("o", "Order"))
+    return rows.returns(lambda v: {"region": v.r["name"]}, rows_counted())
+
+
+@query(f"WITH e AS ({ORDERS}) SELECT o_custkey AS customer, count(*) AS n FROM e JOIN part ON l_partkey = p_partkey "
+       "JOIN orders ON l_orderkey = o_orderkey WHERE p_size = 7 AND o_orderstatus = 'O' GROUP BY o_custkey")
+def q_shared_part_customers(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("o", "Order"), Hop("Contains"), Node("p", "Part"), where=lambda v: v.p["size"] == 7)
+    rows = rows.match(Node("c", "Customer"), Hop("Manages"), Node("o"), where=lambda v: v.o["status"] == "O")
+    return rows.returns(lambda v: {"customer": F.substring_index(v.c["uid"], ":", -1).cast("long")}, rows_counted())
+
+
+@query(f"WITH e AS ({ORDERS}) SELECT a.l_partkey AS part, count(*) AS pairs FROM e a JOIN e b ON a.l_partkey = b.l_partkey "
+       "AND a.l_orderkey <> b.l_orderkey GROUP BY a.l_partkey")
+def q_unique_edges(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node(label="Order"), Hop("Contains"), Node("p", "Part"), Hop("Contains", "in"), Node(label="Order"), unique_edges=True)
+    return rows.returns(lambda v: {"part": F.substring_index(v.p["uid"], ":", -1).cast("long")}, {"pairs": F.count(F.lit(1))})
+
+
+@query("SELECT r_name AS region, n_name AS nation FROM region, nation WHERE substr(r_name, 1, 1) = substr(n_name, 1, 1)")
+def q_cross_match(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("r", "Region")).match(
+        Node("n", "Nation"), where=lambda v: F.substring(v.r["name"], 1, 1) == F.substring(v.n["name"], 1, 1), allow_cross=True
+    )
+    return rows.returns(lambda v: {"region": v.r["name"], "nation": v.n["name"]})
+
+
+@query("SELECT c_custkey AS customer FROM customer WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey "
+       "JOIN part ON l_partkey = p_partkey WHERE o_custkey = c_custkey)")
+def q_first_match(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("c", "Customer")).match(Node("c"), Hop("Manages"), Node(label="Order"), Hop("Contains"), Node(label="Part"))
+    return rows.returns(lambda v: {"customer": F.substring_index(v.c["uid"], ":", -1).cast("long")})
+
+
+@query("SELECT count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name < 'D'")
+def q_cycle_close(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("c", "Customer"), Hop("BelongsTo"), Node("n", "Nation"), where=lambda v: v.n["name"] < "D")
+    rows = rows.match(Node("s", "Supplier"), Hop("BelongsTo"), Node("n"))
+    return rows.match(Node("c"), Hop("BelongsTo"), Node("n")).returns(aggs=rows_counted())
+
+
+@query("SELECT c_custkey AS customer, o_orderkey AS orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 400000")
+def q_bound_relationship(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("c", "Customer"), Hop("Manages", var="r"), Node("o", "Order"), where=lambda v: v.o["totalprice"] > 400000)
+    rows = rows.match(Node("c"), Hop("Manages", var="r"), Node("o"))
+    key = lambda x: F.substring_index(x["uid"], ":", -1).cast("long")
+    return rows.returns(lambda v: {"customer": key(v.c), "orderkey": key(v.o)})
+
+
+# ---- optional, exists ------------------------------------------------------------------------------------
+
+
+@query(f"WITH e AS ({ORDERS}) SELECT o_orderkey AS orderkey, count(l_partkey) AS parts FROM orders LEFT JOIN e ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def q_optional_orders_parts(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("o", "Order")).match(Node("o"), Hop("Contains"), Node("p", "Part"), optional=True)
+    return rows.returns(lambda v: {"orderkey": v.o["name"].cast("long")}, lambda v: {"parts": F.count(v.p["uid"])})
+
+
+def _optional_where(g: Graph, compat: bool) -> DataFrame:
+    rows = Rows(g, compat=compat).match(Node("o", "Order"))
+    rows = rows.match(Node("o"), Hop("Contains"), Node("p", "Part"), optional=True, where=lambda v: v.p["size"] > 45)
+    return rows.returns(lambda v: {"status": v.o["status"]}, lambda v: {"orders": F.count_distinct(v.o["uid"]), "parts": F.count(v.p["uid"])})
+
+
+@query(f"WITH e AS ({ORDERS}), p AS (SELECT * FROM e JOIN part ON l_partkey = p_partkey WHERE p_size > 45) SELECT o_orderstatus AS status, "
+       "count(DISTINCT o_orderkey) AS orders, count(p_partkey) AS parts FROM orders LEFT JOIN p ON l_orderkey = o_orderkey GROUP BY o_orderstatus")
+def q_optional_where(g: Graph) -> DataFrame:
+    return _optional_where(g, False)
+
+
+@query(f"WITH e AS ({ORDERS}) SELECT o_orderstatus AS status, count(DISTINCT o_orderkey) AS orders, count(p_partkey) AS parts FROM orders "
+       "LEFT JOIN e ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey WHERE p_size > 45 GROUP BY o_orderstatus")
+def q_optional_where_compat(g: Graph) -> DataFrame:
+    return _optional_where(g, True)
+
+
+@query("SELECT c_custkey AS customer FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 40 AND o_orderstatus = 'F')")
+def q_exists_where(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("c", "Customer")).exists(
+        Node("c"), Hop("Manages"), Node("o", "Order"), where=lambda v: (v.o["totalprice"] > v.c["acctbal"] * 40) & (v.o["status"] == "F")
+    )
+    return rows.returns(lambda v: {"customer": F.substring_index(v.c["uid"], ":", -1).cast("long")})
+
+
+@query("SELECT o_orderkey AS orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def q_not_exists(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("o", "Order")).not_exists(Node("o"), Hop("Contains"), Node(label="Part"))
+    return rows.returns(lambda v: {"orderkey": v.o["name"].cast("long")})
+
+
+@query("SELECT there, count(*) AS n FROM (SELECT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS there FROM orders) GROUP BY there")
+def q_exists_flag(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("o", "Order")).exists_flag("there", Node("o"), Hop("Contains"), Node(label="Part"))
+    return rows.returns(lambda v: {"there": F.col("there")}, rows_counted())
+
+
+@query("SELECT count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM part WHERE p_retailprice > 50 * greatest(c_acctbal, 30))")
+def q_exists_node(g: Graph) -> DataFrame:
+    top = Rows(g).match(Node("p", "Part")).with_(aggs=lambda v: {"top": F.max(v.p["price"])})
+    rows = Rows(g).match(Node("c", "Customer"))
+    # any part will do, so the dearest one decides: one row instead of a product
+    rows = Rows(g, rows.df.crossJoin(F.broadcast(top.df)), (*rows.variables, *top.variables))
+    return rows.where(lambda v: F.col("top") > 50 * F.greatest(v.c["acctbal"], F.lit(30))).returns(aggs=rows_counted())
+
+
+@query("SELECT label, count(*) AS n FROM (SELECT 'Region' AS label FROM region UNION ALL SELECT 'Nation' FROM nation) GROUP BY label")
+def q_label_or(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("n")).where(lambda v: v.n["label"].isin("Region", "Nation"))
+    return rows.returns(lambda v: {"label": v.n["label"]}, rows_counted())
+
+
+# ---- clauses and aggregation -----------------------------------------------------------------------------
+
+
+@query("SELECT n_name AS nation, x FROM nation, (SELECT unnest([1, 2, 3]) AS x)")
+def q_unwind_literal(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("n", "Nation")).unwind(F.array(F.lit(1), F.lit(2), F.lit(3)), "x")
+    return rows.returns(lambda v: {"nation": v.n["name"], "x": F.col("x")})
+
+
+@query("SELECT r_name AS region, n_name AS nation FROM nation JOIN region ON n_regionkey = r_regionkey")
+def q_unwind_collect(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("n", "Nation"), Hop("PartOf"), Node("r", "Region"))
+    rows = rows.with_(lambda v: {"region": v.r["name"]}, lambda v: {"names": collect(v.n["name"], v.n["name"])})
+    return rows.unwind(F.col("names"), "nation").returns({"region": F.col("region"), "nation": F.col("nation")})
+
+
+@query("SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > (SELECT count(*) / 25 FROM customer)")
+def q_with_having(g: Graph) -> DataFrame:
+    mean = Rows(g).match(Node("c", "Customer")).with_(aggs={"mean": F.count(F.lit(1)) / 25})
+    rows = Rows(g).match(Node("c", "Customer"), Hop("BelongsTo"), Node("n", "Nation")).with_(lambda v: {"nation": v.n["name"]}, rows_counted())
+    both = rows.df.crossJoin(F.broadcast(mean.df))
+    return Rows(g, both, (*rows.variables, *mean.variables)).where(F.col("n") > F.col("mean")).returns({"nation": F.col("nation"), "n": F.col("n")})
+
+
+def _limit_where(g: Graph, compat: bool) -> DataFrame:
+    rows = Rows(g, compat=compat).match(Node("o", "Order"))
+    rows = rows.with_(lambda v: {"orderkey": v.o["name"].cast("long"), "price": v.o["totalprice"]},
+                      order_by=[F.desc("price"), F.asc("orderkey")], limit=40, where=lambda v: F.col("orderkey") % 2 == 0)
+    return rows.returns({"orderkey": F.col("orderkey")})
+
+
+@query("SELECT orderkey FROM (SELECT o_orderkey AS orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40) WHERE orderkey % 2 = 0")
+def q_with_limit_where(g: Graph) -> DataFrame:
+    return _limit_where(g, False)
+
+
+@query("SELECT o_orderkey AS orderkey FROM orders WHERE o_orderkey % 2 = 0 ORDER BY o_totalprice DESC, o_orderkey LIMIT 40")
+def q_with_limit_where_compat(g: Graph) -> DataFrame:
+    return _limit_where(g, True)
+
+
+@query("SELECT DISTINCT c_mktsegment AS segment, n_regionkey AS region FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def q_distinct(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("c", "Customer"), Hop("BelongsTo"), Node(label="Nation"), Hop("PartOf"), Node("r", "Region"))
+    return rows.returns(lambda v: {"segment": v.c["segment"], "region": F.substring_index(v.r["uid"], ":", -1).cast("int")}, distinct=True)
+
+
+@query("SELECT o_orderkey AS orderkey, o_totalprice AS price FROM orders ORDER BY price DESC, orderkey LIMIT 10")
+def q_topk(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("o", "Order"))
+    return rows.returns(lambda v: {"orderkey": v.o["name"].cast("long"), "price": v.o["totalprice"]}, order_by=[F.desc("price"), F.asc("orderkey")], limit=10)
+
+
+@query("SELECT c_custkey AS customer FROM customer ORDER BY c_acctbal, c_custkey LIMIT 20 OFFSET 15")
+def q_skip_limit(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("c", "Customer"))
+    rows = rows.with_(lambda v: {"customer": F.substring_index(v.c["uid"], ":", -1).cast("long"), "bal": v.c["acctbal"]},
+                      order_by=[F.asc("bal"), F.asc("customer")], skip=15, limit=20)
+    return rows.returns({"customer": F.col("customer")})
+
+
+@query("SELECT p_partkey AS part, x FROM (SELECT p_partkey, CASE WHEN p_size > 40 THEN NULL ELSE p_size END AS x FROM part) "
+       "ORDER BY x ASC NULLS FIRST, part LIMIT 12")
+def q_null_order(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("p", "Part"))
+    return rows.returns(lambda v: {"part": F.substring_index(v.p["uid"], ":", -1).cast("long"), "x": F.when(v.p["size"] <= 40, v.p["size"])},
+                        order_by=[F.asc("x"), F.asc("part")], limit=12)
+
+
+def params_query(g: Graph, segment: str, least: float) -> DataFrame:
+    """Parameters are arguments."""
+    rows = Rows(g).match(Node("c", "Customer"), where=lambda v: (v.c["segment"] == segment) & (v.c["acctbal"] >= least))
+    return rows.returns(lambda v: {"customer": F.substring_index(v.c["uid"], ":", -1).cast("long")})
+
+
+@query("SELECT c_custkey AS customer FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 5000")
+def q_params(g: Graph) -> DataFrame:
+    return params_query(g, "BUILDING", 5000.0)
+
+
+@query("SELECT k, count(*) AS n FROM (SELECT CASE WHEN p_size < 25 THEN p_brand END AS k FROM part) GROUP BY k")
+def q_group_null(g: Graph) -> DataFrame:
+    return Rows(g).match(Node("p", "Part")).returns(lambda v: {"k": F.when(v.p["size"] < 25, v.p["brand"])}, rows_counted())
+
+
+def _global_empty(g: Graph, compat: bool) -> DataFrame:
+    rows = Rows(g, compat=compat).match(Node("p", "Part"), where=lambda v: v.p["size"] < 0)
+    return rows.returns(aggs=lambda v: {"n": F.count(F.lit(1)), "total": F.sum(v.p["price"])})
+
+
+@query("SELECT count(*) AS n, sum(p_retailprice) AS total FROM part WHERE p_size < 0")
+def q_global_empty(g: Graph) -> DataFrame:
+    return _global_empty(g, False)
+
+
+@query("SELECT count(*) AS n, sum(p_retailprice) AS total FROM part WHERE p_size < 0 HAVING count(*) > 0")
+def q_global_empty_compat(g: Graph) -> DataFrame:
+    return _global_empty(g, True)
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS n, count(DISTINCT c_nationkey) AS nations, round(sum(c_acctbal), 4) AS total, "
+       "round(avg(c_acctbal), 2) AS mean, min(c_acctbal) AS least, max(c_name) AS last FROM customer GROUP BY c_mktsegment")
+def q_aggs(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("c", "Customer"), Hop("BelongsTo"), Node("n", "Nation"))
+    return rows.returns(lambda v: {"segment": v.c["segment"]}, lambda v: {
+        "n": F.count(v.c["uid"]), "nations": F.count_distinct(v.n["uid"]), "total": F.round(F.sum(v.c["acctbal"].cast("double")), 4),
+        "mean": F.round(F.avg(v.c["acctbal"]), 2), "least": F.min(v.c["acctbal"]), "last": F.max(v.c["name"])})
+
+
+@query("SELECT r_name AS region, l[1] AS first_name, l[3] AS third_name, l[99] AS none, array_to_string(l[2:4], ',') AS part, len(l) AS n FROM "
+       "(SELECT r_name, list(n_name ORDER BY n_name) AS l FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)")
+def q_collect_slice_index(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("n", "Nation"), Hop("PartOf"), Node("r", "Region"))
+    rows = rows.with_(lambda v: {"region": v.r["name"]}, lambda v: {"l": collect(v.n["name"], v.n["name"])})
+    at = lambda i: X.index(F.col("l"), F.lit(i))
+    return rows.returns({"region": F.col("region"), "first_name": at(0), "third_name": at(2), "none": at(98),
+                         "part": F.array_join(X.slice_(F.col("l"), F.lit(1), F.lit(4)), ","), "n": X.size(F.col("l"))})
+
+
+@query("SELECT p_brand AS brand, round(sum(p_retailprice) / 1024, 6) AS k, count(*) + 1 AS n1, max(p_size) - min(p_size) > 45 AS wide FROM part GROUP BY p_brand")
+def q_agg_arith(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("p", "Part"))
+    return rows.returns(lambda v: {"brand": v.p["brand"]}, lambda v: {
+        "k": F.round(X.divide(F.sum(v.p["price"]), F.lit(1024)), 6), "n1": F.count(F.lit(1)) + 1, "wide": F.max(v.p["size"]) - F.min(v.p["size"]) > 45})
+
+
+# ---- expressions -----------------------------------------------------------------------------------------
+
+
+@query("WITH t AS (SELECT p_partkey AS part, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size END AS a, CASE WHEN p_size % 5 = 0 THEN NULL ELSE 20 END AS b FROM part) "
+       "SELECT part, a IS NOT DISTINCT FROM b AS eq, a IS DISTINCT FROM b AS ne, b IS NOT NULL AND (a IS NULL OR a < b) AS lt, "
+       "a IS NOT NULL AND (b IS NULL OR a > b) AS gt, a IS NULL OR (b IS NOT NULL AND a <= b) AS le, b IS NULL OR (a IS NOT NULL AND a >= b) AS ge FROM t")
+def q_compare_compat(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("p", "Part"))
+    a = F.when(F.col("p__size") % 3 != 0, F.col("p__size"))
+    b = F.when(F.col("p__size") % 5 != 0, F.lit(20))
+    made = {f.__name__: f(a, b, compat=True) for f in (X.eq, X.ne, X.lt, X.gt, X.le, X.ge)}
+    return rows.returns(lambda v: {"part": F.substring_index(v.p["uid"], ":", -1).cast("long"), **made})
+
+
+@query("WITH t AS (SELECT p_partkey AS part, p_size > 10 AS a, CASE WHEN p_size % 2 = 0 THEN p_size > 30 END AS b FROM part) SELECT part, a AND b AS both, a OR b AS either, "
+       "NOT b AS neither, coalesce(a, false) <> coalesce(b, false) AS x, NOT coalesce(b, false) AS n2 FROM t")
+def q_bool_ops(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("p", "Part"))
+    a, b = F.col("p__size") > 10, F.when(F.col("p__size") % 2 == 0, F.col("p__size") > 30)
+    return rows.returns(lambda v: {"part": F.substring_index(v.p["uid"], ":", -1).cast("long"), "both": X.and_(a, b), "either": X.or_(a, b), "neither": X.not_(b),
+                                   "x": X.xor(a, b, compat=True), "n2": X.not_(b, compat=True)})
+
+
+@query("SELECT n_name AS nation, n_regionkey IN (1, 3) AS has, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END IN (0, 4), false) AS has2 FROM nation")
+def q_in(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("n", "Nation"), Hop("PartOf"), Node("r", "Region"))
+    key = lambda x: F.substring_index(x["uid"], ":", -1).cast("int")
+    items = lambda *a: F.array(*map(F.lit, a))
+    return rows.returns(lambda v: {"nation": v.n["name"], "has": X.in_list(key(v.r), items(1, 3)),
+                                   "has2": X.in_list(F.when(key(v.n) % 2 == 0, key(v.n)), items(0, 4), compat=True)})
+
+
+@query("SELECT n_name AS nation, starts_with(n_name, 'A') AS s, suffix(n_name, 'A') AS e, contains(n_name, 'IN') AS c, lower(n_name) AS l, upper(lower(n_name)) AS u, "
+       "replace(n_name, 'A', '_') AS r FROM nation")
+def q_string_pred(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("n", "Nation"))
+    name, lit = F.col("n__name"), F.lit
+    return rows.returns({"nation": name, "s": X.starts_with(name, lit("A")), "e": X.ends_with(name, lit("A"), compat=True), "c": X.contains(name, lit("IN")),
+                         "l": X.lower(name, compat=True), "u": X.upper(X.lower(name)), "r": X.replace(name, lit("A"), lit("_"))})
+
+
+@query("SELECT p_partkey AS part, p_size + p_retailprice AS a, p_size - p_retailprice AS s, p_size * 2.0::DOUBLE AS m, round(p_retailprice / nullif(p_size - 10, 0), 6) AS d, "
+       "CAST(p_size AS DOUBLE) % nullif(CAST(p_partkey % 7 AS DOUBLE), 0) AS r, pow(CAST(p_size AS DOUBLE), 2) AS w, -CAST(p_size AS DOUBLE) AS g, "
+       "coalesce(CASE WHEN p_size > 25 THEN CAST(p_size AS DOUBLE) END, 0) + 1 AS z FROM part")
+def q_arith(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("p", "Part"))
+    size, price, part = F.col("p__size"), F.col("p__price"), F.substring_index(F.col("p__uid"), ":", -1).cast("long")
+    return rows.returns({"part": part, "a": X.add(size, price), "s": X.subtract(size, price), "m": X.multiply(size, F.lit(2)), "d": F.round(X.divide(price, size - 10), 6),
+                         "r": X.modulo(size, part % 7), "w": X.power(size, F.lit(2)), "g": X.negate(size), "z": X.add(F.when(size > 25, size), F.lit(1), compat=True)})
+
+
+@query("SELECT o_orderkey AS orderkey, CASE WHEN o_totalprice > 300000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' END AS band, "
+       "CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS code FROM orders")
+def q_case(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("o", "Order"))
+    price, status = F.col("o__totalprice"), F.col("o__status")
+    return rows.returns({"orderkey": F.col("o__name").cast("long"), "band": F.when(price > 300000, "big").when(price > 100000, "mid"),
+                         "code": X.case_value(status, [(F.lit("F"), F.lit(1)), (F.lit("O"), F.lit(2))], F.lit(0))})
+
+
+@query("SELECT p_partkey AS part, CAST(list_sum(list_transform(list_filter(l, lambda x: x > 10), lambda x: x * 2)) AS BIGINT) AS total, len(list_filter(l, lambda x: x > 10)) AS n FROM "
+       "(SELECT p_partkey, [p_size, p_size - 10, 5] AS l FROM part)")
+def q_list_comp(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("p", "Part"))
+    size = F.col("p__size")
+    doubled = X.comprehension(F.array(size, size - 10, F.lit(5)), lambda x: x > 10, lambda x: x * 2)
+    total = F.when(F.size(doubled) > 0, F.aggregate(doubled, F.lit(0), lambda a, x: a + x)).cast("bigint")
+    return rows.returns({"part": F.substring_index(F.col("p__uid"), ":", -1).cast("long"), "total": total, "n": X.size(doubled)})
+
+
+@query("SELECT p_partkey AS part, len(list_filter(l, lambda x: x > 20)) > 0 AS a, len(list_filter(l, lambda x: x > 20)) = len(l) AS b, len(list_filter(l, lambda x: x > 20)) = 0 AS c, "
+       "len(list_filter(l, lambda x: x > 20)) = 1 AS d FROM (SELECT p_partkey, [p_size, p_size - 10, 25] AS l FROM part)")
+def q_quantifiers(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("p", "Part"))
+    size = F.col("p__size")
+    items, p = F.array(size, size - 10, F.lit(25)), lambda x: x > 20
+    return rows.returns({"part": F.substring_index(F.col("p__uid"), ":", -1).cast("long"), "a": X.any_(items, p), "b": X.all_(items, p), "c": X.none(items, p), "d": X.single(items, p)})
+
+
+@query("SELECT p_partkey AS part, CAST(length(p_name) AS BIGINT) AS chars, coalesce(CASE WHEN p_size > 25 THEN p_brand END, p_type) AS c, CAST(p_size AS VARCHAR) AS s, "
+       "TRY_CAST(regexp_replace(p_brand, '[^0-9]', '', 'g') AS BIGINT) AS i, CAST(0 AS BIGINT) AS bad, TRY_CAST(substr(p_brand, 7) AS DOUBLE) AS f, 'Part' AS label FROM part")
+def q_functions(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("p", "Part"))
+    brand, size = F.col("p__brand"), F.col("p__size")
+    return rows.returns(lambda v: {
+        "part": F.substring_index(v.p["uid"], ":", -1).cast("long"), "chars": X.size(v.p["name"], "string"), "c": F.coalesce(F.when(size > 25, brand), v.p["type"]),
+        "s": X.to_string(size), "i": X.to_integer(F.regexp_replace(brand, "[^0-9]", "")), "bad": X.to_integer(F.concat(brand, F.lit(" x")), compat=True),
+        "f": X.to_float(F.substring(brand, 7, 20)), "label": F.get(X.labels(v.p["label"]), F.lit(0))})
+
+
+@query("WITH t AS (SELECT p_partkey AS part, p_size AS n, p_partkey % 5 AS k FROM part) SELECT part, CASE k WHEN 0 THEN n WHEN 1 THEN n * 1024.0 WHEN 2 THEN round(n * 1000000 / 1048576.0, 6) "
+       "WHEN 3 THEN round(n / 1000.0 / 1048576, 12) END AS mib, CASE k WHEN 0 THEN n WHEN 1 THEN n * 1024.0 ELSE 0 END AS old FROM t")
+def q_quantity(g: Graph) -> DataFrame:
+    part = F.substring_index(F.col("p__uid"), ":", -1).cast("long")
+    suffix = X.case_value(part % 5, [(F.lit(0), F.lit("Mi")), (F.lit(1), F.lit("Gi")), (F.lit(2), F.lit("M")), (F.lit(3), F.lit("m"))], F.lit("??"))
+    text = F.concat(F.col("p__size").cast("string"), suffix)
+    value = X.quantity(text, "Mi")
+    rows = Rows(g).match(Node("p", "Part"))
+    return rows.returns({"part": part, "mib": F.when(part % 5 == 3, F.round(value, 12)).otherwise(F.round(value, 6)), "old": X.quantity(text, legacy=True)})
+
+
+@query("SELECT event_id AS event, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS none FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) > 50")
+def q_property_json(g: Graph) -> DataFrame:
+    k = X.to_integer(F.get_json_object(F.col("e__props"), "$.k"))
+    rows = Rows(g).match(Node("e", "Event"), where=lambda v: k > 50)
+    return rows.returns({"event": F.col("e__name").cast("long"), "k": k, "none": F.get_json_object(F.col("e__props"), "$.none")})
+
+
+# ---- change data, quality, metrics -----------------------------------------------------------------------
+
+
+def order_versions(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Two versions of the orders, by rules on the key: 0 is removed, 1 added, 2 modified."""
+    key = F.col("name").cast("long") % 10
+    base = g.node_tables["Order"].select("uid", "name", F.lit("Order").alias("kind"), F.lit("1").alias("resource_version"))
+    return base.where(key != 1), base.where(key != 0).withColumn("resource_version", F.when(key == 2, "2").otherwise("1"))
+
+
+@query("SELECT 'Order:' || o_orderkey AS uid, 'Order' AS kind, CASE o_orderkey % 10 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'modified' END AS op FROM orders WHERE o_orderkey % 10 IN (0, 1, 2)")
+def q_snapshot_diff(g: Graph) -> DataFrame:
+    old, new = order_versions(g)
+    return changes.snapshot_diff(new, old).select("uid", "kind", "op")
+
+
+@query("SELECT 'Order' AS kind, count(*) FILTER (o_orderkey % 10 = 1) AS added, count(*) FILTER (o_orderkey % 10 = 0) AS removed, count(*) FILTER (o_orderkey % 10 = 2) AS modified FROM orders")
+def q_diff_summary(g: Graph) -> DataFrame:
+    old, new = order_versions(g)
+    return changes.diff_summary(changes.snapshot_diff(new, old))
+
+
+def edge_versions(g: Graph) -> tuple[DataFrame, DataFrame]:
+    e = g.edges("Manages")
+    key = F.substring_index("dst", ":", -1).cast("long") % 10
+    return e.where(key != 1), e.where(key != 0)
+
+
+@query("SELECT 'Customer:' || o_custkey AS src, 'Manages' AS etype, 'Order:' || o_orderkey AS dst, CASE o_orderkey % 10 WHEN 0 THEN 'removed' ELSE 'added' END AS op FROM orders WHERE o_orderkey % 10 IN (0, 1)")
+def q_edge_diff(g: Graph) -> DataFrame:
+    old, new = edge_versions(g)
+    return changes.edge_diff(new, old).select("src", "etype", "dst", "op")
+
+
+@query("SELECT 'Order:' || o_orderkey AS uid, CASE WHEN o_orderkey % 10 = 2 THEN '2' ELSE '1' END AS resource_version FROM orders WHERE o_orderkey % 10 <> 0")
+def q_apply_diff(g: Graph) -> DataFrame:
+    old, new = order_versions(g)
+    old_edges, new_edges = edge_versions(g)
+    nodes, _ = changes.apply_diff(old, old_edges, changes.snapshot_diff(new, old), new, changes.edge_diff(new_edges, old_edges))
+    return nodes.select("uid", "resource_version")
+
+
+@query("SELECT 'Customer:' || o_custkey AS src, 'Order:' || o_orderkey AS dst, CASE WHEN o_orderkey % 3 = 0 THEN 'Returned' ELSE 'Manages' END AS etype FROM orders")
+def q_edge_dedupe(g: Graph) -> DataFrame:
+    first = g.edges("Manages").withColumn("ord", F.lit(1))
+    again = first.where(F.substring_index("dst", ":", -1).cast("long") % 3 == 0).withColumns({"etype": F.lit("Returned"), "ord": F.lit(2)})
+    return edges.one_per_pair(first.unionByName(again)).select("src", "dst", "etype")
+
+
+@query("SELECT 'Supplier' AS src_label, 'Supplies' AS etype, 'Part' AS dst_label, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)")
+def q_schema_conformance(g: Graph) -> DataFrame:
+    allowed = triples_frame(g.spark, [t for t in TRIPLES if t[1] != "Supplies"])
+    return quality.unknown_triples(g.all_edges(), allowed)
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, true), (5, true), (6, false)) t(pattern_id, ok), (SELECT count(*) > 0 AS there FROM region) r WHERE there")
+def q_pattern_conformance(g: Graph) -> DataFrame:
+    patterns = g.spark.createDataFrame(
+        [(1, "Customer", "Manages", "out", "Order"), (2, "Order", "Manages", "out", "Customer"), (3, "Order", "manages", "in", "Customer"),
+         (4, "Order", "Manages", "both", "Customer"), (5, None, "Manages", "out", "Order"), (6, "Customer", "Nothing", "out", "Order")],
+        "pattern_id int, left_label string, etype string, direction string, right_label string")
+    observed = quality.observed_triples(g.all_edges())
+    out = quality.pattern_conformance(patterns, observed)
+    return out.select("pattern_id", "ok").join(g.node_tables["Region"].limit(1).select(F.lit(True).alias("there")), F.col("there"))
+
+
+@query("SELECT e AS etype, p AS pairs FROM (VALUES ('BelongsTo', 'Customer->Nation,Supplier->Nation'), ('Concerns', 'Event->Customer'), ('Contains', 'Order->Part'), "
+       "('Manages', 'Customer->Order'), ('PartOf', 'Nation->Region'), ('Supplies', 'Supplier->Part')) t(e, p)")
+def q_allowed_pairs(g: Graph) -> DataFrame:
+    return quality.allowed_pairs(quality.observed_triples(g.all_edges())).select("etype", F.array_join("pairs", ",").alias("pairs"))
+
+
+@query(f"WITH e AS ({ORDERS}), d AS (SELECT o_orderkey AS k, count(l_partkey) AS d FROM orders LEFT JOIN e ON l_orderkey = o_orderkey GROUP BY o_orderkey) "
+       "SELECT 'Order' AS label, count(*) AS nodes, max(d) AS most, CAST(sum(d) AS BIGINT) AS edges FROM d")
+def q_degree_metrics(g: Graph) -> DataFrame:
+    return metrics.out_degrees(g, "Order", "Contains").agg(
+        F.lit("Order").alias("label"), F.count(F.lit(1)).alias("nodes"), F.max("degree").alias("most"), F.sum("degree").alias("edges"))
+
+
+@query("SELECT 'Event' AS label, count(*) AS nodes, CAST(sum(len(json_keys(props))) AS BIGINT) AS properties FROM events")
+def q_property_count(g: Graph) -> DataFrame:
+    return metrics.property_count(g.node_tables["Event"].select(F.lit("Event").alias("label"), F.col("props").alias("props_json")))
+
+
+@query()
+def q_content_hash(g: Graph) -> DataFrame:
+    return quality.content_hash(quality.canonical_nodes(g.nodes()), quality.canonical_edges(g.all_edges()))
+
+
+@query("WITH d AS (SELECT CAST(ts AS DATE) AS batch_ts, count(*) AS v FROM events GROUP BY 1) SELECT CAST(batch_ts AS VARCHAR) AS batch_ts, v AS value, "
+       "array_to_string(list(v) OVER (ORDER BY batch_ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), ',') AS history FROM d")
+def q_pulse_history(g: Graph) -> DataFrame:
+    daily = g.node_tables["Event"].groupBy(F.to_date("ts").alias("batch_ts")).agg(F.count(F.lit(1)).alias("value")).withColumn("metric", F.lit("events"))
+    out = metrics.pulse_history(daily, fill=False)
+    return out.select(F.col("batch_ts").cast("string").alias("batch_ts"), "value", F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"))
+
+
+@query("SELECT true AS same, false AS other FROM (SELECT count(*) AS n FROM customer) WHERE n > 0")
+def q_result_match(g: Graph) -> DataFrame:
+    a = g.node_tables["Customer"].select("uid", "segment")
+    b = g.node_tables["Customer"].select("segment", "uid", "name").repartition(4, "segment")
+    same = metrics.multiset_difference(a, b, ["uid", "segment"]).agg((F.count(F.lit(1)) == 0).alias("same"))
+    other = metrics.multiset_difference(a, b.where(F.col("segment") != "BUILDING"), ["uid", "segment"]).agg((F.count(F.lit(1)) == 0).alias("other"))
+    return same.crossJoin(other)
+
+
+@query("SELECT count(DISTINCT c_mktsegment) = 1 AS uniform, CASE WHEN count(DISTINCT c_mktsegment) = 1 THEN min(c_mktsegment) END AS value FROM customer WHERE c_mktsegment = 'BUILDING'")
+def q_uniform_value(g: Graph) -> DataFrame:
+    return metrics.uniform_values(g.node_tables["Customer"].where("segment = 'BUILDING'"), ["segment"]).select(
+        F.col("segment").isNotNull().alias("uniform"), F.col("segment").alias("value"))
 
 
-def oracle_sql() -> dict:
-    return {}
