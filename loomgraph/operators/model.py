@@ -78,17 +78,16 @@ class Graph:
 
     node_tables: dict[str, DataFrame]
     edge_tables: dict[Triple, DataFrame] = field(default_factory=dict)
+    edge_table: DataFrame | None = None
 
     @classmethod
     def from_tables(cls, nodes: DataFrame, edges: DataFrame, labels: Iterable[str], triples: Iterable[Triple]) -> Graph:
-        """From one ``nodes`` table (with ``label``) and one ``edges`` table, best partitioned by label and type."""
-        return cls(
-            {x: nodes.where(F.col("label") == x).drop("label") for x in labels},
-            {
-                (s, t, d): edges.where((F.col("etype") == t) & (F.col("src_label") == s) & (F.col("dst_label") == d)).select("src", "dst")
-                for s, t, d in triples
-            },
-        )
+        """From one ``nodes`` table (with ``label``) and one ``edges`` table, best partitioned by label and type.
+
+        A scan or hop filters the one table, so a plan holds it once; ``triples`` are those a hop may use.
+        """
+        tables = {x: nodes.where(F.col("label") == x).drop("label") for x in labels}
+        return cls(tables, dict.fromkeys(triples), edges.select(*EDGE_COLUMNS))
 
     @property
     def spark(self) -> SparkSession:
@@ -122,12 +121,25 @@ class Graph:
         Type names match without regard to case.
         """
         wanted = None if types is None else {t.lower() for t in ([types] if isinstance(types, str) else types)}
-        found = [
-            e.select("src", F.lit(s).alias("src_label"), F.lit(t).alias("etype"), "dst", F.lit(d).alias("dst_label"))
-            for (s, t, d), e in self.edge_tables.items()
+        chosen = [
+            (s, t, d)
+            for s, t, d in self.edge_tables
             if (wanted is None or t.lower() in wanted) and src_label in (None, s) and dst_label in (None, d)
         ]
-        return union_all(found) if found else None
+        if not chosen:
+            return None
+        if self.edge_table is not None:
+            out = self.edge_table
+            for column, i, given in (("etype", 1, wanted), ("src_label", 0, src_label), ("dst_label", 2, dst_label)):
+                if given is not None:
+                    out = out.where(F.col(column).isin(*sorted({t[i] for t in chosen})))
+            return out
+        return union_all(
+            [
+                self.edge_tables[s, t, d].select("src", F.lit(s).alias("src_label"), F.lit(t).alias("etype"), "dst", F.lit(d).alias("dst_label"))
+                for s, t, d in chosen
+            ]
+        )
 
     def all_edges(self) -> DataFrame:
         found = self.edges()

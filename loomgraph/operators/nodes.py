@@ -138,15 +138,23 @@ def node_tables(snapshot: dict[str, DataFrame], derived: Derived) -> dict[str, D
     return tables
 
 
-def build_graph(snapshot: dict[str, DataFrame], *, compat: bool = False) -> tuple[Graph, DataFrame]:
-    """The graph of a snapshot, and what was rejected: ``(rule, kind, uid)``."""
+def build_graph(snapshot: dict[str, DataFrame], *, compat: bool = False, store: str | None = None) -> tuple[Graph, DataFrame]:
+    """The graph of a snapshot, and what was rejected: ``(rule, kind, uid)``.
+
+    With ``store``, a path, the objects, the nodes' identities and the edges are written there and read back,
+    which keeps later plans short; else all is lazy.
+    """
     from loomgraph.operators import edges as rules
     from loomgraph.operators.model import SCHEMA_TRIPLES
+    from loomgraph.sources.scratch import stored
 
+    keep = (lambda df, name: stored(df, f"{store}/{name}")) if store else (lambda df, name: df)
+    snapshot = {k: keep(df, f"objects/{k}") for k, df in snapshot.items()}
     derived = derive(snapshot)
+    derived.endpoints = keep(derived.endpoints, "endpoints")
+    derived.addresses = addresses(derived.endpoints)
     tables = node_tables(snapshot, derived)
-    nodes = union_all([t.select("uid", "name", "namespace", F.lit(x).alias("label")) for x, t in tables.items()])
+    nodes = keep(union_all([t.select("uid", "name", "namespace", F.lit(x).alias("label")) for x, t in tables.items()]), "identities")
     found = rules.build_edges(snapshot, derived, nodes, compat=compat)
-    graph = Graph.from_tables(nodes, found.edges, [], SCHEMA_TRIPLES)
-    graph.node_tables = tables
+    graph = Graph(tables, dict.fromkeys(SCHEMA_TRIPLES), keep(found.edges, "edges"))
     return graph, found.rejects.unionByName(without_uid(snapshot))
