@@ -66,7 +66,7 @@ class FMIndex:
         key = np.zeros(n, dtype=np.uint64)
         for k in range(depth):
             key <<= np.uint64(bits)
-            key[: n - k] |= seq[k:].astype(np.uint64)
+            key[: max(0, n - k)] |= seq[k:].astype(np.uint64)
         both = np.sort((key << low) | at)
         order = (both & mask).astype(np.int64)
         rank = np.empty(n, dtype=np.int64)
