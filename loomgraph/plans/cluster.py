@@ -171,9 +171,9 @@ def _question(name: str, sql: str, **arguments) -> None:
 
 _C = "customer JOIN nation ON c_nationkey = n_nationkey"
 _O = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
-_question("e03", f"SELECT 'pod-' || o_orderkey AS name FROM {_O} WHERE n_name = 'NATION_06'", namespace="NATION_06")
-_question("m01", f"SELECT c_name AS a, 'rs-' || c_custkey AS b FROM {_C} WHERE n_name = 'NATION_06'", namespace="NATION_06")
-_question("m07", f"SELECT 'svc-' || c_custkey AS service, 'pod-' || o_orderkey AS pod FROM {_O} WHERE n_name = 'NATION_06' AND c_custkey % 3 <> 0", namespace="NATION_06")
+_question("e03", f"SELECT 'pod-' || o_orderkey AS name FROM {_O} WHERE n_name = 'NATION_6'", namespace="NATION_6")
+_question("m01", f"SELECT c_name AS a, 'rs-' || c_custkey AS b FROM {_C} WHERE n_name = 'NATION_6'", namespace="NATION_6")
+_question("m07", f"SELECT 'svc-' || c_custkey AS service, 'pod-' || o_orderkey AS pod FROM {_O} WHERE n_name = 'NATION_6' AND c_custkey % 3 <> 0", namespace="NATION_6")
 _question("m19", "SELECT s_name AS name, count(o_orderkey) AS n FROM supplier LEFT JOIN orders ON o_orderkey % 10 + 1 = s_suppkey GROUP BY s_suppkey, s_name")
 _question("h01", f"SELECT n_name AS name, count(o_orderkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name ORDER BY n DESC, name LIMIT 5")
 _question("h02", "SELECT s_name AS name, count(*) AS n FROM supplier JOIN orders ON o_orderkey % 10 + 1 = s_suppkey GROUP BY s_suppkey, s_name HAVING count(*) > 50")
@@ -181,10 +181,10 @@ _question("h03", f"SELECT n_name AS namespace, CAST(sum((o_orderkey % 512 + 1) *
           f"CAST(sum((o_orderkey % 4 + 1) * 1024 * CASE WHEN o_orderkey % 11 = 0 THEN 2 ELSE 1 END) AS DOUBLE) AS limits_mib FROM {_O} GROUP BY n_name")
 _question("h07", "SELECT 'svc-' || c_custkey AS service, count(DISTINCT CASE WHEN c_custkey % 3 <> 0 THEN o_orderkey % 65536 END) AS ips FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 _question("h08", "SELECT c_name AS deployment FROM customer WHERE CASE WHEN c_custkey % 5 <> 4 THEN c_custkey % 5 ELSE 0 END < 3")
-_question("h09", f"SELECT 'pod-' || o_orderkey AS pod FROM {_O} WHERE n_name = 'NATION_08' AND o_orderkey % 10 = 0", namespace="NATION_08")
+_question("h09", f"SELECT 'pod-' || o_orderkey AS pod FROM {_O} WHERE n_name = 'NATION_8' AND o_orderkey % 10 = 0", namespace="NATION_8")
 _question("h10", f"SELECT 'pvc-' || c_custkey AS claim, CASE WHEN c_custkey % 8 = 0 THEN 'pv-' || c_custkey END AS volume, CASE WHEN c_custkey % 16 = 0 THEN r_name END AS storage_class "
-          f"FROM {_C} JOIN region ON n_regionkey = r_regionkey WHERE n_name = 'NATION_08' AND c_custkey % 4 = 0", namespace="NATION_08")
-_question("h16", f"SELECT c_name AS deployment, count(o_orderkey) AS n FROM {_C} LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 10 <> 0 WHERE n_name = 'NATION_06' GROUP BY c_name", namespace="NATION_06")
+          f"FROM {_C} JOIN region ON n_regionkey = r_regionkey WHERE n_name = 'NATION_8' AND c_custkey % 4 = 0", namespace="NATION_8")
+_question("h16", f"SELECT c_name AS deployment, count(o_orderkey) AS n FROM {_C} LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 10 <> 0 WHERE n_name = 'NATION_6' GROUP BY c_name", namespace="NATION_6")
 _question("h18", f"SELECT n_name AS name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND (c_custkey % 3 = 0 OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) GROUP BY n_name")
 _question("h19", "SELECT 'h' || c_custkey || '.example' AS host, 'svc-' || c_custkey AS service FROM customer WHERE c_custkey % 5 = 0")
-_question("h20", f"SELECT 'svc-' || c_custkey AS service, o_orderstatus AS phase, count(*) AS n FROM {_O} WHERE n_name = 'NATION_06' AND c_custkey % 3 <> 0 GROUP BY c_custkey, o_orderstatus", namespace="NATION_06")
+_question("h20", f"SELECT 'svc-' || c_custkey AS service, o_orderstatus AS phase, count(*) AS n FROM {_O} WHERE n_name = 'NATION_6' AND c_custkey % 3 <> 0 GROUP BY c_custkey, o_orderstatus", namespace="NATION_6")

@@ -117,9 +117,9 @@ def q_full_scan_by_label(g: Graph) -> DataFrame:
     return metrics.label_counts(g)
 
 
-@query("SELECT c_name AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name < 'C'")
+@query("SELECT c_name AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name < 'NATION_15'")
 def q_hop_out(g: Graph) -> DataFrame:
-    rows = Rows(g).match(Node("c", "Customer"), Hop("BelongsTo"), Node("n", "Nation"), where=lambda v: v.n["name"] < "C")
+    rows = Rows(g).match(Node("c", "Customer"), Hop("BelongsTo"), Node("n", "Nation"), where=lambda v: v.n["name"] < "NATION_15")
     return rows.returns(lambda v: {"customer": v.c["name"], "nation": v.n["name"]})
 
 
@@ -182,9 +182,9 @@ def q_first_match(g: Graph) -> DataFrame:
     return rows.returns(lambda v: {"customer": F.substring_index(v.c["uid"], ":", -1).cast("long")})
 
 
-@query("SELECT count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name < 'D'")
+@query("SELECT count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name < 'NATION_12'")
 def q_cycle_close(g: Graph) -> DataFrame:
-    rows = Rows(g).match(Node("c", "Customer"), Hop("BelongsTo"), Node("n", "Nation"), where=lambda v: v.n["name"] < "D")
+    rows = Rows(g).match(Node("c", "Customer"), Hop("BelongsTo"), Node("n", "Nation"), where=lambda v: v.n["name"] < "NATION_12")
     rows = rows.match(Node("s", "Supplier"), Hop("BelongsTo"), Node("n"))
     return rows.match(Node("c"), Hop("BelongsTo"), Node("n")).returns(aggs=rows_counted())
 
