@@ -77,7 +77,8 @@ class Lexicon:
         self.sure = {t for t, w in zip(terms, weights, strict=True) if w >= SURE}
         self.trie: dict = {}
         self.heads: set[str] = set()
-        self.tails: set[str] = set()
+        self.ends: set[str] = set()
+        self.middles: set[tuple[int, str]] = set()
         for i, t in enumerate(terms):
             node = self.trie
             for c in t:
@@ -87,8 +88,21 @@ class Lexicon:
                 word = t.rstrip(END)
                 half = len(word) // 2
                 self.heads.add(word[:half])
-                self.tails.add(word[half:])
+                if t.endswith(END):
+                    self.ends.add(word[half:])
+                else:  # after a stem anything may follow, so its second half stands where the first one ends
+                    self.middles.update((at, word[half:]) for at in (half - 1, half, half + 1))
         self.head_sizes = sorted({len(x) for x in self.heads})
+        self.end_sizes = sorted({len(x) for x in self.ends})
+        self.middle_sizes = sorted({(at, len(x)) for at, x in self.middles})
+
+    def near(self, word: str) -> bool:
+        """Whether half of some term is in its place; no word within one edit fails this."""
+        return (
+            any(word[:n] in self.heads for n in self.head_sizes)
+            or any(word[-n:] in self.ends for n in self.end_sizes)
+            or any((at, word[at : at + n]) in self.middles for at, n in self.middle_sizes)
+        )
 
     def forgiving(self, term: str) -> bool:
         """Short terms, and stems more so, have too many neighbours; weak ones tell too little."""
@@ -107,9 +121,7 @@ class Lexicon:
         """(term, edits) of the nearest term."""
         if (term := self.exact(word)) is not None:
             return term, 0
-        if len(word) < 4 or not (
-            any(word[:n] in self.heads for n in self.head_sizes) or any(t in word[:40] for t in self.tails)
-        ):
+        if len(word) < 4 or not self.near(word):
             return None
         automaton, best = LevenshteinAutomaton(word[:40], 1), None
         stack = [(self.trie, automaton.start, "")]
