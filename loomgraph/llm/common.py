@@ -48,6 +48,8 @@ def scratch_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if given.isEmpty() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = given.get() if given.isDefined() else tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
