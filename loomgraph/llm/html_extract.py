@@ -157,38 +157,45 @@ def main_text(page: str | None) -> str:
     for x in lines:
         if x and x[0].article:
             marked[x[0].article] = marked.get(x[0].article, 0) + len(x[1])
-    if marked and max(marked.values()):  # where pages mark the article, the distribution is that of its lines
+    wanted: set[int] = set()  # the articles that a page is mostly about: in them links are text, too
+    if any(marked.values()):
         first = min(marked)
         most = first if marked[first] * 2 >= sum(marked.values()) else max(marked, key=marked.get)
         wanted = {k for k in marked if k == most or k > most and marked[k] * 4 >= marked[most]}
-        return " ".join(x[1] for x in _between(lines, wanted, 1) if x[1])
-    return " ".join(x[1] for x in _between(lines, None, SURGE) if x[1])
-
-
-def _between(lines: list, wanted: set[int] | None, surge: int) -> list:
-    """The lines between surge and dive of the windows' text; menus count as empty lines."""
-    weight = []
+    plain, weight = [], []
     for x in lines:
-        n = len(x[1]) if x and (wanted is None or x[0].article in wanted) else 0
-        menu = n and wanted is None and x[0].linked > LINK_PART * n
-        weight.append(0 if menu else n)
+        n = len(x[1]) if x else 0
+        if n and x[0].linked > LINK_PART * n and x[0].article not in wanted:
+            n = 0  # a menu counts as an empty line
+        plain.append(n)
+        # on a page that marks its article, a line outside the mark weighs what it has if it makes a surge alone
+        weight.append(n if not wanted or n >= SURGE or x and x[0].article else 0)
+    kept = _between(plain, weight)
+    if wanted:  # what the windows left of the marked text, such as short lines between gaps
+        kept |= {i for i, x in enumerate(lines) if plain[i] and x[0].article}
+    return " ".join(lines[i][1] for i in sorted(kept))
+
+
+def _between(plain: list[int], weight: list[int]) -> set[int]:
+    """Lines with text between surge and dive of the windows' weight, from the first that weighs to the last."""
     total = [sum(weight[i : i + BLOCK]) for i in range(len(weight))]
-    out, i = [], 0
+    out: set[int] = set()
+    i = 0
     while i < len(weight):
-        if not weight[i] or total[i] < surge:
+        if not weight[i] or total[i] < SURGE:
             i += 1
             continue
         j = i
         while j < len(weight) and total[j]:  # the dive: a whole window without text
             j += 1
-        start = i
+        start, last = i, j - 1
         while start and weight[start - 1]:  # short lines right above, such as the title
             start -= 1
-        out += [x for x, w in zip(lines[start:j], weight[start:j], strict=True) if w]
+        while not weight[last]:
+            last -= 1
+        out |= {k for k in range(start, last + 1) if plain[k]}
         i = j
-    if not out and any(weight):  # no surge anywhere: a page of a few words
-        out = [x for x, w in zip(lines, weight, strict=True) if w]
-    return out
+    return out or {k for k, w in enumerate(weight) if w}  # no surge anywhere: a page of a few words
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

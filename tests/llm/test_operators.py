@@ -384,3 +384,13 @@ def test_html(spark):
 def test_html_without_article():
     page = "<div id=menu><a>Home</a></div><div><h2>Title</h2><p>" + "Some text here. " * 9 + "</p><p>End.</p></div><ul><li><a>more</a></li><li><a>links</a></li><li><a>here</a></li></ul>"
     assert html_extract.main_text(page) == "Title " + ("Some text here. " * 9).strip() + " End."
+
+
+def test_html_outside_the_largest_article():
+    long, menu = "Some text here. " * 9, "<ul><li><a>more</a></li><li><a>links</a></li><li><a>here</a></li></ul>"
+    text = long.strip()
+    # the windows decide outside the mark: a surge stays, a short line and a menu don't
+    page = f"<div>Site</div><article><p>{long}</p></article><div>Imprint</div>{menu}<p>{long}</p><p>Yes.</p><p>{long}</p>"
+    assert html_extract.main_text(page) == f"{text} {text} Yes. {text}"
+    assert html_extract.main_text(f"<article><p>{long * 3}</p></article>{menu}<article><p>Short one.</p></article>") == f"{(long * 3).strip()} Short one."
+    assert html_extract.main_text(f"<main><h1>Title</h1><article><p>{long}</p></article>{menu}<p>End.</p></main>") == f"Title {text} End."
