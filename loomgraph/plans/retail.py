@@ -123,6 +123,12 @@ def q_hop_out(g: Graph) -> DataFrame:
     return rows.returns(lambda v: {"customer": v.c["name"], "nation": v.n["name"]})
 
 
+@query("SELECT c_name AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def q_hop_out_all(g: Graph) -> DataFrame:
+    rows = Rows(g).match(Node("c", "Customer"), Hop("BelongsTo"), Node("n", "Nation"))
+    return rows.returns(lambda v: {"customer": v.c["name"], "nation": v.n["name"]})
+
+
 @query("SELECT r_name AS region, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 def q_hop_in(g: Graph) -> DataFrame:
     rows = Rows(g).match(Node("r", "Region"), Hop("partof", "in"), Node("n", "Nation"))
@@ -189,6 +195,16 @@ def q_cycle_close(g: Graph) -> DataFrame:
     return rows.match(Node("c"), Hop("BelongsTo"), Node("n")).returns(aggs=rows_counted())
 
 
+@query(f"WITH e AS ({ORDERS}), f AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT c_custkey AS customer, count(*) AS n FROM customer "
+       "JOIN orders ON o_custkey = c_custkey JOIN e ON e.l_orderkey = o_orderkey JOIN part ON e.l_partkey = p_partkey JOIN f ON f.l_partkey = p_partkey "
+       "JOIN supplier ON f.l_suppkey = s_suppkey AND s_nationkey = c_nationkey GROUP BY c_custkey")
+def q_cycle_close_all(g: Graph) -> DataFrame:
+    """Customer, order, part, supplier, nation and back to the customer, over all rows."""
+    rows = Rows(g).match(Node("n", "Nation"), Hop("BelongsTo", "in"), Node("c", "Customer"), Hop("Manages"), Node(label="Order"), Hop("Contains"), Node("p", "Part"))
+    rows = rows.match(Node("p"), Hop("Supplies", "in"), Node("s", "Supplier"), Hop("BelongsTo"), Node("n"))
+    return rows.returns(lambda v: {"customer": F.substring_index(v.c["uid"], ":", -1).cast("long")}, rows_counted())
+
+
 @query("SELECT c_custkey AS customer, o_orderkey AS orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 400000")
 def q_bound_relationship(g: Graph) -> DataFrame:
     rows = Rows(g).match(Node("c", "Customer"), Hop("Manages", var="r"), Node("o", "Order"), where=lambda v: v.o["totalprice"] > 400000)

@@ -38,3 +38,25 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = retail.queries()["q_params"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BUILDING)" in plan.split("PushedFilters")[1]
     assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double,c_mktsegment:string>" in plan
+
+
+def test_hop_and_cycle_reach_every_nation(spark):
+    from loomgraph.plans import retail
+
+    table = lambda x: spark.read.parquet(f"{SF}/{x}.parquet")
+    run = lambda x: retail.queries()[x](spark, SF)
+    names = table("customer").select("c_name").collect()
+    assert Counter(r["customer"] for r in run("q_hop_out_all").collect()) == Counter(r["c_name"] for r in names)
+    nation = {r["c_custkey"]: r["c_nationkey"] for r in table("customer").collect()}
+    makers = {r["s_suppkey"]: r["s_nationkey"] for r in table("supplier").collect()}
+    owner = {r["o_orderkey"]: r["o_custkey"] for r in table("orders").collect()}
+    items = table("lineitem").collect()
+    places = {}
+    for part, supplier in {(r["l_partkey"], r["l_suppkey"]) for r in items}:
+        places.setdefault(part, Counter())[makers[supplier]] += 1
+    want = Counter()
+    for order, part in {(r["l_orderkey"], r["l_partkey"]) for r in items}:
+        want[owner[order]] += places[part][nation[owner[order]]]
+    got = {r["customer"]: r["n"] for r in run("q_cycle_close_all").collect()}
+    assert got == {k: n for k, n in want.items() if n}
+    assert {nation[k] for k in got} == {n for n in nation.values() if n in makers.values()}
