@@ -7,6 +7,7 @@ shingle sets, and a component keeps its smallest id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import materialize
 
 SHINGLE = 5
-#: Bands and rows: a pair at a similarity of 0.85 shares no band with a probability of 8e-6.
-BANDS, ROWS = 20, 5
+#: Rows of a band at most, and the bands up to which that many are taken.
+ROWS, MOST_BANDS = 5, 128
+#: The probability at most that a pair at the threshold shares no band.
+MISS = 1e-6
 #: Bytes of text that are hashed together.
 CHUNK = 1 << 20
 
@@ -40,10 +43,24 @@ def _constants(seed: int, n: int) -> np.ndarray:
 _OF_BYTE = _constants(1, 256)
 _OF_WORD = _constants(2, SHINGLE)
 _OF_SHORT = _constants(3, SHINGLE)
-_OF_ROW = _constants(4, BANDS * ROWS)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def bands_for(percent: int, miss: float = MISS) -> tuple[int, int]:
+    """Bands and rows, so that a pair at ``percent`` hundredths shares no band with a probability of ``miss`` at most.
+
+    At 85 there are 24 bands of 5 rows, at 80 35. Low thresholds take fewer rows, and one row as many bands as needed.
+    """
+    if not 0 < percent <= 100 or not 0 < miss < 1:
+        raise ValueError(f"percent is 1 to 100 and miss between 0 and 1, not {percent} and {miss}")
+    for rows in range(ROWS, 0, -1):
+        same = (percent / 100) ** rows
+        bands = 1 if same == 1 else math.ceil(math.log(miss) / math.log1p(-same))
+        if bands <= MOST_BANDS or rows == 1:
+            break
+    return bands, rows
+
+
 def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of normalised bytes, and where they start: a polynomial per word."""
     data = np.frombuffer(raw, dtype=np.uint8)
@@ -92,7 +109,7 @@ def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> list[np.nda
     return out
 
 
-def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+def signature(shingles: np.ndarray, size: int) -> np.ndarray:
     """C-MinHash: the smallest of the second permutation, shifted once more for each coordinate."""
     scattered = (_mix(shingles ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
     shifts = np.arange(size, dtype=np.uint32)[:, None]
@@ -108,16 +125,17 @@ def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     return out
 
 
-def band_hashes(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_hashes(sig: np.ndarray, bands: int) -> np.ndarray:
     rows = len(sig) // bands
-    terms = (sig.astype(np.uint64) + np.uint64(1)) * _OF_ROW[: len(sig)]
+    terms = (sig.astype(np.uint64) + np.uint64(1)) * _constants(4, len(sig))
     return _mix(terms.reshape(bands, rows).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 85, miss: float = MISS) -> DataFrame:
     """``id_col``, ``n_shingles``, ``_s1`` and ``_s2`` (128 bits that tell the set) and ``_bands`` of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_shingles long, _s1 long, _s2 long, _bands array<long>"
+    count, rows = bands_for(percent, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +144,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 [_mix(s ^ np.uint64(seed)).sum(dtype=np.uint64).view(np.int64) for s in sets]
                 for seed in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
             ]
-            bands = [band_hashes(signature(s)) if len(s) else None for s in sets]
+            bands = [band_hashes(signature(s, count * rows), count) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -291,7 +309,7 @@ def _rest(stars: DataFrame, compared: DataFrame, known: DataFrame, sets: DataFra
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 85
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 85, miss: float = MISS
 ) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of ``percent`` hundredths at least.
 
@@ -299,6 +317,8 @@ def near_duplicates(
     words, A-Z lower-cased), ``component_id`` (the smallest id it is linked to, directly or not) and
     ``kept`` (it is that document itself).
 
+    The bands follow from ``percent`` and ``miss``, the probability that a pair at the threshold isn't found.
+
     Null and empty texts, and texts without words, have an empty set and are linked with nothing. Texts of
     fewer than five words are one shingle. Rows with a null id are linked with nothing (null) and kept.
     Ids stand for texts: a row that repeats both gets the same result, kept or not. An empty table gives an
@@ -311,7 +331,7 @@ def near_duplicates(
     of a group is ever written. The text is shuffled once, for the documents with candidates.
     """
     plain = docs.select(id_col, text_col)
-    sig = materialize(signatures(plain, id_col, text_col), "signatures")
+    sig = materialize(signatures(plain, id_col, text_col, percent=percent, miss=miss), "signatures")
     some = sig.where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull())
     classes = some.groupBy("_s1", "_s2", "n_shingles").agg(F.min(id_col).alias("_rep"))
     members = materialize(
