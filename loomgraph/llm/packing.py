@@ -9,6 +9,7 @@ rank within their length.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -46,10 +47,10 @@ class TextEncoder:
     Between two characters that aren't white space, a single space always starts a new pre-token and a
     single newline is one of its own, so words can be encoded apart and remembered. Texts with other
     white space or runs of it are encoded whole. The ids are those of the ``.json`` tokenizer file, whose
-    vocabulary the rank file holds; strings of special tokens count as ordinary text.
+    vocabulary the rank file holds; a text is split at the file's added tokens, ``added``, which have their own ids.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int]):
         import re
 
         import tiktoken
@@ -60,8 +61,17 @@ class TextEncoder:
         self.mid, self.head = _Memo(self.whole, " "), _Memo(self.whole, "")
         self.newline = np.array(self.whole("\n"), dtype="<u4").tobytes()
         self.odd = re.compile(r"[^\S \n]").search
+        self.added = {k: np.array([v], dtype="<u4").tobytes() for k, v in added.items()}
+        longest = "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True))
+        self.split = re.compile(f"({longest})").split if added else lambda text: [text]
 
     def ids(self, text: str) -> bytes:
+        parts = self.split(text)
+        if len(parts) == 1:
+            return self.ordinary(text)
+        return b"".join(self.added[x] if k % 2 else self.ordinary(x) for k, x in enumerate(parts))
+
+    def ordinary(self, text: str) -> bytes:
         if (
             not text
             or "  " in text
@@ -83,6 +93,15 @@ class TextEncoder:
         return b"".join(parts)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file, which are found in the text itself, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if odd := [x["content"] for x in tokens if x["single_word"] or x["lstrip"] or x["rstrip"]]:
+        raise ValueError(f"added tokens that look at their surroundings: {odd}")
+    return {x["content"]: x["id"] for x in tokens}
+
+
 def token_pieces(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -101,12 +120,13 @@ def token_pieces(
     import public_tokenizers
 
     path, pattern = public_tokenizers.path(f"{vocabulary}.tiktoken"), public_tokenizers.PATTERN
+    added = added_tokens(public_tokenizers.path(f"{vocabulary}.json"))
     end = np.array([end_id], dtype="<u4").tobytes()
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(path, pattern)
+        encoder = TextEncoder(path, pattern, added)
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
