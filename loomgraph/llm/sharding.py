@@ -54,11 +54,17 @@ def assign_shards(
     meet their cell in one equi-join. The directory stays a distributed table. The first pass is made
     wide enough for the whole table, so that later ones only see hot keys.
     """
+    return _assign(docs, key_col, text_col, max_bytes, step).drop("_row")
+
+
+def _assign(docs: DataFrame, key_col: str, text_col: str, max_bytes: int, step: int, row: Column | None = None) -> DataFrame:
+    """``assign_shards`` with ``_row``, a column that comes back beside its row's shard."""
     key = F.coalesce(F.concat(F.lit("k"), F.col(key_col).cast("string")), F.lit("null"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(
         docs.select(
             F.col(key_col).alias("_key"),
+            *([] if row is None else [row.alias("_row")]),
             hash_bits(F.coalesce(F.col(key_col).cast("string"), F.lit("null"))).alias("_h0"),
             hash_bits(F.concat(key, F.md5(text.cast("binary")))).alias("_h1"),
             hash_bits(F.monotonically_increasing_id().cast("string")).alias("_h2"),
@@ -117,8 +123,9 @@ def _split(rows: DataFrame, level: int, offset: int, width: int, max_bytes: int,
         "directory",
     )
     met = chunked.join(cells, ["_base", "_cell"])
+    ids = [c for c in ("_key", "_row") if c in rows.columns]
     placed = met.where(F.col("_shard").isNotNull()).select(
-        "_key",
+        *ids,
         F.col("_shard").alias("shard"),
         F.length("_shard").alias("depth"),
         F.col("_bytes").alias("n_bytes"),
@@ -126,16 +133,19 @@ def _split(rows: DataFrame, level: int, offset: int, width: int, max_bytes: int,
         "shard_rows",
     )
     active = met.where(F.col("_shard").isNull()).select(
-        "_key", "_h0", "_h1", "_h2", "_bytes", F.concat("_base", _bits(F.col("_cell"), F.lit(width))).alias("_base")
+        *ids, "_h0", "_h1", "_h2", "_bytes", F.concat("_base", _bits(F.col("_cell"), F.lit(width))).alias("_base")
     )
     return cells, placed, active
 
 
-def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text", **options) -> None:
-    """Write ``docs`` below ``path`` as one Parquet folder per shard. Keys must be unique here: a row is
-    found again by its key."""
-    shards = assign_shards(docs, key_col, text_col, **options).select(key_col, "shard")
-    docs.join(shards, key_col).repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(
+    docs: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text", *, max_bytes: int = SHARD_BYTES, step: int = 8
+) -> None:
+    """Write ``docs`` below ``path`` as one Parquet folder per shard, every row once. Keys may repeat or be null:
+    a row is found again by a number that is written once with it."""
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "shard-input")
+    shards = _assign(numbered, key_col, text_col, max_bytes, step, F.col("_row")).select("_row", "shard")
+    numbered.join(shards, "_row").drop("_row").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
