@@ -60,3 +60,12 @@ def test_hop_and_cycle_reach_every_nation(spark):
     got = {r["customer"]: r["n"] for r in run("q_cycle_close_all").collect()}
     assert got == {k: n for k, n in want.items() if n}
     assert {nation[k] for k in got} == {n for n in nation.values() if n in makers.values()}
+
+
+def test_unique_edges_makes_no_pairs(spark):
+    from loomgraph.plans import retail
+
+    got = retail.queries()["q_unique_edges"](spark, SF)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("l_linenumber") == 1  # edges meet their parts, not each other
+    assert got.count() and got.where("pairs < 2").isEmpty()
