@@ -12,6 +12,8 @@ from loomgraph.operators.match import Hop, Node, Rows
 from loomgraph.operators.model import Graph
 
 QUESTIONS: dict[str, Callable[..., DataFrame]] = {}
+#: The namespace that a question is about unless told otherwise: the one that every cluster has.
+NAMESPACE = "default"
 
 
 def _ask(name: str):
@@ -37,9 +39,9 @@ for _id, _label in {"e01": "Namespace", "e07": "Node", "e08": "StorageClass", "e
 for _id, _label in {"e03": "Pod", "e04": "Service", "e05": "Ingress", "e06": "EndpointSlice", "e10": "ServiceAccount",
                     "e11": "Deployment", "e12": "ReplicaSet", "e13": "StatefulSet", "e14": "DaemonSet", "e15": "Job",
                     "e16": "PersistentVolumeClaim", "e18": "ConfigMap", "e19": "NetworkPolicy", "e20": "Container"}.items():
-    QUESTIONS[_id] = lambda g, namespace="litmus", _label=_label: _names(_inside(g, "x", _label, namespace), name="x")
+    QUESTIONS[_id] = lambda g, namespace=NAMESPACE, _label=_label: _names(_inside(g, "x", _label, namespace), name="x")
 QUESTIONS["e02"] = lambda g: Rows(g).match(Node("x", "Namespace")).returns(aggs={"n": F.count(F.lit(1))})
-QUESTIONS["e17"] = lambda g, namespace="litmus": _inside(g, "x", "Pod", namespace).returns(aggs={"n": F.count(F.lit(1))})
+QUESTIONS["e17"] = lambda g, namespace=NAMESPACE: _inside(g, "x", "Pod", namespace).returns(aggs={"n": F.count(F.lit(1))})
 
 # medium: one hop from a label in a namespace to another
 for _id, (_a, _hop, _b) in {
@@ -49,7 +51,7 @@ for _id, (_a, _hop, _b) in {
     "m11": ("Pod", Hop("RunsOn"), "Node"), "m12": ("Pod", Hop("ClaimsVolume"), "PersistentVolumeClaim"),
     "m13": ("Container", Hop("Runs"), "Pod"), "m17": ("Service", Hop("Concerns", "in"), "Event"),
 }.items():
-    QUESTIONS[_id] = lambda g, namespace="litmus", _a=_a, _hop=_hop, _b=_b: _names(_inside(g, "a", _a, namespace).match(Node("a"), _hop, Node("b", _b)), a="a", b="b")
+    QUESTIONS[_id] = lambda g, namespace=NAMESPACE, _a=_a, _hop=_hop, _b=_b: _names(_inside(g, "a", _a, namespace).match(Node("a"), _hop, Node("b", _b)), a="a", b="b")
 
 _TO_PODS = (Hop("Manages"), Node(label="EndpointSlice"), Hop("ContainsEndpoint"), Node(label="Endpoint"), Hop("HasAddress"),
             Node(label="EndpointAddress"), Hop("IsAddressOf"), Node("p", "Pod"))
@@ -57,7 +59,7 @@ _TO_SERVICE = (Hop("DefinesBackend"), Node("b", "IngressServiceBackend"), Hop("T
 
 
 @_ask("m07")
-def service_pods(g: Graph, namespace: str = "litmus") -> DataFrame:
+def service_pods(g: Graph, namespace: str = NAMESPACE) -> DataFrame:
     rows = _inside(g, "s", "Service", namespace).match(Node("s"), *_TO_PODS)
     return rows.returns(lambda v: {"service": v.s["name"], "pod": v.p["name"]}, distinct=True)
 
@@ -68,25 +70,25 @@ def pods_on_node(g: Graph, node: str) -> DataFrame:
 
 
 @_ask("m10")
-def pod_events(g: Graph, namespace: str = "litmus") -> DataFrame:
+def pod_events(g: Graph, namespace: str = NAMESPACE) -> DataFrame:
     rows = _inside(g, "p", "Pod", namespace).match(Node("e", "Event"), Hop("Concerns"), Node("p"))
     return rows.returns(lambda v: {"pod": v.p["name"], "reason": v.e["reason"]})
 
 
 @_ask("m14")
-def container_logs(g: Graph, namespace: str = "litmus") -> DataFrame:
+def container_logs(g: Graph, namespace: str = NAMESPACE) -> DataFrame:
     """Logs are no part of the graph: always null."""
     return _inside(g, "c", "Container", namespace).returns(lambda v: {"container": v.c["name"], "log": F.lit(None).cast("string")})
 
 
 @_ask("m15")
-def ingress_services(g: Graph, namespace: str = "litmus") -> DataFrame:
+def ingress_services(g: Graph, namespace: str = NAMESPACE) -> DataFrame:
     rows = _inside(g, "i", "Ingress", namespace).match(Node("i"), *_TO_SERVICE)
     return rows.returns(lambda v: {"ingress": v.i["name"], "service": v.s["name"]}, distinct=True)
 
 
 @_ask("m16")
-def slice_pods(g: Graph, namespace: str = "litmus") -> DataFrame:
+def slice_pods(g: Graph, namespace: str = NAMESPACE) -> DataFrame:
     rows = _inside(g, "x", "EndpointSlice", namespace).match(Node("x"), *_TO_PODS[2:])
     return rows.returns(lambda v: {"slice": v.x["name"], "pod": v.p["name"]}, distinct=True)
 
@@ -129,21 +131,21 @@ def namespace_memory(g: Graph) -> DataFrame:
 
 
 @_ask("h04")
-def services_without_slices(g: Graph, namespace: str = "default") -> DataFrame:
+def services_without_slices(g: Graph, namespace: str = NAMESPACE) -> DataFrame:
     return _names(_inside(g, "s", "Service", namespace).not_exists(Node("s"), Hop("Manages"), Node(label="EndpointSlice")), service="s")
 
 
-QUESTIONS["h11"] = lambda g, namespace="litmus": services_without_slices(g, namespace)
+QUESTIONS["h11"] = lambda g, namespace=NAMESPACE: services_without_slices(g, namespace)
 
 
 @_ask("h05")
-def ingresses_with_endpoints(g: Graph, namespace: str = "litmus") -> DataFrame:
+def ingresses_with_endpoints(g: Graph, namespace: str = NAMESPACE) -> DataFrame:
     rows = _inside(g, "i", "Ingress", namespace).exists(Node("i"), *_TO_SERVICE, *_TO_PODS[:4])
     return _names(rows, ingress="i")
 
 
 @_ask("h06")
-def host_pods(g: Graph, host: str = "litmus.qa.agoda.is") -> DataFrame:
+def host_pods(g: Graph, host: str) -> DataFrame:
     rows = Rows(g).match(Node("h", "Host"), where=lambda v: v.h["name"] == host)
     rows = rows.match(Node("h"), Hop("IsClaimedBy"), Node(label="Ingress"), *_TO_SERVICE, *_TO_PODS)
     return rows.returns(lambda v: {"service": v.s["name"], "pod": v.p["name"]}, distinct=True)
@@ -166,7 +168,7 @@ def unready_deployments(g: Graph) -> DataFrame:
 
 
 @_ask("h09")
-def bare_pods(g: Graph, namespace: str = "storefront") -> DataFrame:
+def bare_pods(g: Graph, namespace: str = NAMESPACE) -> DataFrame:
     rows = _inside(g, "p", "Pod", namespace)
     for kind in ("Deployment", "StatefulSet", "DaemonSet", "Job", "ReplicaSet"):
         rows = rows.not_exists(Node("p"), Hop("Manages", "in"), Node(label=kind))
@@ -174,26 +176,26 @@ def bare_pods(g: Graph, namespace: str = "storefront") -> DataFrame:
 
 
 @_ask("h10")
-def claim_volumes(g: Graph, namespace: str = "pyroscope") -> DataFrame:
+def claim_volumes(g: Graph, namespace: str = NAMESPACE) -> DataFrame:
     rows = _inside(g, "c", "PersistentVolumeClaim", namespace).match(Node("c"), Hop("BoundTo"), Node("v", "PersistentVolume"), optional=True)
     rows = rows.match(Node("v"), Hop("UsesStorageClass"), Node("k", "StorageClass"), optional=True)
     return _names(rows, claim="c", volume="v", storage_class="k")
 
 
 @_ask("h12")
-def backends_without_slices(g: Graph, namespace: str = "litmus") -> DataFrame:
+def backends_without_slices(g: Graph, namespace: str = NAMESPACE) -> DataFrame:
     rows = _inside(g, "i", "Ingress", namespace).match(Node("i"), *_TO_SERVICE)
     rows = rows.not_exists(Node("s"), Hop("Manages"), Node(label="EndpointSlice"))
     return rows.returns(lambda v: {"ingress": v.i["name"], "service": v.s["name"]}, distinct=True)
 
 
 @_ask("h13")
-def unbound_claims(g: Graph, namespace: str = "litmus") -> DataFrame:
+def unbound_claims(g: Graph, namespace: str = NAMESPACE) -> DataFrame:
     return _names(_inside(g, "c", "PersistentVolumeClaim", namespace).not_exists(Node("c"), Hop("BoundTo"), Node(label="PersistentVolume")), claim="c")
 
 
 @_ask("h14")
-def pods_without_class(g: Graph, namespace: str = "litmus") -> DataFrame:
+def pods_without_class(g: Graph, namespace: str = NAMESPACE) -> DataFrame:
     rows = _inside(g, "p", "Pod", namespace).match(Node("p"), Hop("ClaimsVolume"), Node(label="PersistentVolumeClaim"), Hop("BoundTo"), Node("v", "PersistentVolume"))
     rows = rows.not_exists(Node("v"), Hop("UsesStorageClass"), Node(label="StorageClass"))
     return rows.returns(lambda v: {"pod": v.p["name"]}, distinct=True)
@@ -207,14 +209,14 @@ def spread_nodes(g: Graph) -> DataFrame:
 
 
 @_ask("h16")
-def deployment_pods(g: Graph, namespace: str = "litmus") -> DataFrame:
+def deployment_pods(g: Graph, namespace: str = NAMESPACE) -> DataFrame:
     rows = _inside(g, "d", "Deployment", namespace)
     rows = rows.match(Node("d"), Hop("Manages"), Node(label="ReplicaSet"), Hop("Manages"), Node("p", "Pod"), optional=True)
     return rows.returns(lambda v: {"deployment": v.d["name"]}, lambda v: {"n": F.count(v.p["uid"])})
 
 
 @_ask("h17")
-def warned_pods(g: Graph, namespace: str = "litmus") -> DataFrame:
+def warned_pods(g: Graph, namespace: str = NAMESPACE) -> DataFrame:
     return _names(_inside(g, "p", "Pod", namespace).exists(Node("e", "Event"), Hop("Concerns"), Node("p"), where=lambda v: v.e["type"] == "Warning"), pod="p")
 
 
@@ -233,6 +235,6 @@ def host_services(g: Graph) -> DataFrame:
 
 
 @_ask("h20")
-def service_phases(g: Graph, namespace: str = "litmus") -> DataFrame:
+def service_phases(g: Graph, namespace: str = NAMESPACE) -> DataFrame:
     rows = _inside(g, "s", "Service", namespace).match(Node("s"), *_TO_PODS)
     return rows.returns(lambda v: {"service": v.s["name"], "phase": _field(v.p["status"], "phase")}, lambda v: {"n": F.count_distinct(v.p["uid"])})
