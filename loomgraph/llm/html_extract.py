@@ -18,14 +18,15 @@ SURGE = 40
 #: A line with a greater part of its text in links is a menu.
 LINK_PART = 0.6
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video|title|button|datalist)"
-    r"\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\b[^>]*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+# possessive, so a tag is read once; quotes count after an equals sign only
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>")
+_TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: Elements left out with all they hold, even to the end of the page, ...
+_RAW = frozenset("script style noscript template textarea iframe title".split())
+#: ... and those of which only the tag is left out if they are never closed.
+_CLOSED = frozenset("select svg math object canvas audio video button datalist".split())
+_END_OF = {x: re.compile(rf"</{x}(?![^\s/>])", re.IGNORECASE) for x in _RAW | _CLOSED}
+_LONG_NUMBER = re.compile(r"&#0*+([0-9]{8,});?")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
@@ -80,12 +81,64 @@ class Line:
         return " ".join("".join(self.parts).split())
 
 
+def _decoded(text: str) -> str:
+    """With character references replaced; numbers beyond Unicode become U+FFFD, however long."""
+    try:
+        return html.unescape(text)
+    except ValueError:
+        return html.unescape(_LONG_NUMBER.sub("�", text))
+
+
+def _tokens(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text before the tag, whether it closes, name, attributes) of every tag, then the text at the end with no name.
+
+    Comments, declarations and elements left out with their content have no name. Every place is read a
+    bounded number of times: searches that fail aren't made again, and where the quotes of the rest of the
+    page don't pair up, tags end at the next bracket.
+    """
+    at = text_from = 0
+    paired, unclosed = True, set()
+    while (at := page.find("<", at)) >= 0:
+        following = page[at + 1 : at + 2]
+        if following in ("!", "?"):
+            closing = "-->" if page.startswith("<!--", at) else ">"
+            end = page.find(closing, at + (4 if closing == "-->" else 2))
+            yield page[text_from:at], False, "", ""
+            at = text_from = end + len(closing) if end >= 0 else len(page)
+            continue
+        head = _TAG_NAME.match(page, at)
+        if not head:  # a bracket in the text
+            at += 1
+            continue
+        tag = _TAG.match(page, at) if paired else None
+        paired = tag is not None
+        end = tag.end() if tag else page.find(">", head.end()) + 1
+        before, close, name = page[text_from:at], bool(head[1]), head[2].lower()
+        attributes = page[head.end() : end - 1] if end else ""
+        at = text_from = end or len(page)
+        if not end:  # the page ends inside a tag
+            yield before, False, "", ""
+        elif close or name not in _END_OF or name in _CLOSED and (name in unclosed or attributes.endswith("/")):
+            yield before, close, "" if name in _CLOSED else name, attributes
+        else:
+            yield before, False, "", ""
+            over = _END_OF[name].search(page, at)
+            if over:
+                end = page.find(">", over.end())
+                at = text_from = end + 1 if end >= 0 else len(page)
+            elif name in _CLOSED:
+                unclosed.add(name)
+            else:
+                at = text_from = len(page)
+    yield page[text_from:], False, "", ""
+
+
 def lines_of(page: str) -> list[Line | None]:
     """The page's lines in order; None marks where something beside the article was left out."""
     lines: list[Line | None] = []
     line = Line(0)
     skipped: list[str] = []  # open elements that are left out: the outermost and those of its name inside
-    heading_only, articles, open_articles, links, at = 0, 0, [], 0, 0
+    heading_only, articles, open_articles, links = 0, 0, [], 0
 
     def flush() -> None:
         nonlocal line
@@ -94,21 +147,18 @@ def lines_of(page: str) -> list[Line | None]:
         line = Line(open_articles[-1] if open_articles else 0)
 
     in_heading = False
-    for m in _TOKEN.finditer(page):
-        text, at = page[at : m.start()], m.end()
+    for text, closing, tag, attributes in _tokens(page):
         if text and not skipped and (not heading_only or in_heading):
-            decoded = html.unescape(text)
+            decoded = _decoded(text)
             line.parts.append(decoded)
             if links:
                 line.linked += len(decoded.strip())
-        tag = (m[3] or "").lower()
         if not tag:  # a comment, a declaration, or an element left out with its content
             continue
-        closing = bool(m[2])
         if skipped:
             if closing and tag == skipped[0]:
                 skipped.pop()
-            elif not closing and tag == skipped[0] and not m[4].rstrip().endswith("/"):
+            elif not closing and tag == skipped[0] and not attributes.rstrip().endswith("/"):
                 skipped.append(tag)
             elif tag == "main" and not closing or skipped[0] == "form" and tag == "article" and not closing:
                 skipped.clear()
@@ -118,7 +168,7 @@ def lines_of(page: str) -> list[Line | None]:
                 continue
             if closing:
                 continue
-        if not closing and tag not in _VOID and _outside(tag, m[4], bool(open_articles)):
+        if not closing and tag not in _VOID and _outside(tag, attributes, bool(open_articles)):
             flush()
             lines.append(None)
             skipped = [tag]
@@ -142,8 +192,6 @@ def lines_of(page: str) -> list[Line | None]:
                     open_articles.pop()
                 line.article = open_articles[-1] if open_articles else 0
                 line.parts = []
-    if not skipped and (rest := page[at:]):
-        line.parts.append(html.unescape(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", rest)))
     flush()
     return lines
 
@@ -168,12 +216,12 @@ def main_text(page: str | None) -> str:
         if n and x[0].linked > LINK_PART * n and x[0].article not in wanted:
             n = 0  # a menu counts as an empty line
         plain.append(n)
-        # on a page that marks its article, a line outside the mark weighs what it has if it makes a surge alone
-        weight.append(n if not wanted or n >= SURGE or x and x[0].article else 0)
-    kept = _between(plain, weight)
-    if wanted:  # what the windows left of the marked text, such as short lines between gaps
-        kept |= {i for i, x in enumerate(lines) if plain[i] and x[0].article}
-    return " ".join(lines[i][1] for i in sorted(kept))
+        # the mark is one more weight: a marked line makes a surge, and on a page with marks the others
+        # weigh what they have only if they make one alone
+        if n and wanted:
+            n = n + SURGE if x[0].article else n if n >= SURGE else 0
+        weight.append(n)
+    return " ".join(lines[i][1] for i in sorted(_between(plain, weight)))
 
 
 def _between(plain: list[int], weight: list[int]) -> set[int]:
