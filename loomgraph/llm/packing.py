@@ -1,8 +1,8 @@
 """Best-fit packing by exact-complement hashing.
 
 Documents become token pieces of at most one sequence; the counts of the piece lengths, at most
-``size`` numbers whatever the corpus, are packed on the driver: sums of one, two and three lengths that
-fill a gap exactly are used up first, best fit takes the rest. Pieces then find their place by their
+``size`` numbers whatever the corpus, are packed on the driver: hash tables from sums to one, two and three
+lengths give what fills a gap exactly, which is used up first; best fit takes the rest. Pieces then find their place by their
 rank within their length.
 """
 
@@ -156,85 +156,93 @@ def token_pieces(
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-class _Counts:
-    """How many pieces of each length are left."""
+class SumIndex:
+    """Hash tables from a sum to the single, pair and triple lengths that have it, with the counts left.
+
+    Counts only fall, so a pair that has run out is taken off its list for good, and a lookup reads what
+    is still there. Within a list the larger lengths come first: they are harder to place.
+    """
 
     def __init__(self, counts: dict[int, int], size: int):
-        self.size = size
-        self.left = np.zeros(size + 1, dtype=np.int64)
+        self.size, self.left = size, [0] * (size + 1)
         for length, n in counts.items():
             self.left[length] = n
+        lengths = sorted((x for x in counts if x < size and counts[x]), reverse=True)
+        self.single = {x: x for x in lengths}
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        for small in lengths:  # the last of a list is looked at first: the one with the largest length
+            for big in reversed(lengths):
+                if big >= small and big + small < size:
+                    self.pairs.setdefault(big + small, []).append((big, small))
+        for found in self.pairs.values():
+            found.sort()
+        self.triples: dict[int, list[tuple[int, int]]] = {}  # (one length, the sum of the other two)
+        for one in reversed(lengths):
+            for rest in self.pairs:
+                if one + rest < size:
+                    self.triples.setdefault(one + rest, []).append((one, rest))
 
     def has(self, lengths: list[int]) -> int:
         """How often these lengths can be taken together."""
-        return min(int(self.left[x]) // lengths.count(x) for x in set(lengths))
+        return min(self.left[x] // lengths.count(x) for x in set(lengths))
 
-    def complement(self, longest: int) -> list[int] | None:
-        """Lengths that with ``longest`` fill a sequence exactly: one, a pair or a triple of those left."""
+    def take(self, lengths: list[int], times: int) -> None:
+        for x in lengths:
+            self.left[x] -= times
+
+    def exact(self, longest: int) -> list[int] | None:
+        """``longest`` and a single, a pair or a triple that fill a sequence exactly."""
         gap = self.size - longest
-        self.left[longest] -= 1
-        try:
-            if 0 < gap and self.left[gap]:
-                return [gap]
-            return self._pair(gap) or self._triple(gap)
-        finally:
-            self.left[longest] += 1
-
-    def _pair(self, gap: int) -> list[int] | None:
-        big = np.arange(gap - 1, (gap - 1) // 2, -1)  # the larger half first: it is harder to place
-        small = gap - big
-        ok = (self.left[big] > (big == small)) & (self.left[small] > 0)
-        return [int(big[k]), int(small[k])] if len(big) and ok[k := int(ok.argmax())] else None
-
-    def _triple(self, gap: int) -> list[int] | None:
-        for big in range(gap - 2, (gap + 2) // 3 - 1, -1):
-            if self.left[big]:
-                self.left[big] -= 1
-                pair = self._pair(gap - big)
-                self.left[big] += 1
-                if pair and pair[0] <= big:
-                    return [big, *pair]
+        if gap in self.single and self.has([longest, gap]):
+            return [longest, gap]
+        if pair := self._pair(gap, [longest]):
+            return [longest, *pair]
+        for one, rest in reversed(self.triples.get(gap, ())):
+            if self.has([longest, one]) and (pair := self._pair(rest, [longest, one])):
+                return [longest, one, *pair]
         return None
 
+    def _pair(self, total: int, beside: list[int]) -> tuple[int, int] | None:
+        found = self.pairs.get(total, [])
+        while found and not self.has(list(found[-1])):
+            found.pop()
+        return next((p for p in reversed(found) if self.has([*beside, *p])), None)
+
     def best_fit(self, longest: int) -> list[int]:
-        """The longest length that fits, again and again."""
-        out, gap = [], self.size - longest
-        self.left[longest] -= 1
-        while gap and len(fits := np.flatnonzero(self.left[1 : gap + 1])):
-            out.append(x := int(fits[-1]) + 1)
-            self.left[x] -= 1
+        """``longest`` and, again and again, the longest length that still fits."""
+        out, gap = [longest], self.size - longest
+        while gap:
+            x = next((x for x in range(gap, 0, -1) if self.left[x] > out.count(x)), 0)
+            if not x:
+                break
+            out.append(x)
             gap -= x
-        for x in [longest, *out]:
-            self.left[x] += 1
         return out
 
 
+def _plan(counts: dict[int, int], size: int, exact_up_to: int) -> list[tuple[int, list[int]]]:
+    index, plan = SumIndex(counts, size), []
+    for longest in range(size, 0, -1):
+        while index.left[longest]:
+            fills = longest == size or longest > exact_up_to
+            lengths = (None if fills else index.exact(longest)) or index.best_fit(longest)
+            n = index.has(lengths)
+            index.take(lengths, n)
+            plan.append((n, lengths))
+    return plan
+
+
 def plan_packing(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, list[int]]]:
     """(how many sequences, lengths in each) for a histogram of piece lengths.
 
-    Exact fills go first, from the longest length down; every use takes as many as are available, so
-    a step uses up some length and the plan is short whatever the counts.
+    From the longest length down, a sequence is filled exactly where the sum index has a way to, else by
+    best fit; every use takes as many as are available, so a step uses up some length and the plan is
+    short whatever the counts. An exact pair or triple may take the short lengths that longer ones need:
+    of three plans, whose exact fills begin at the longest length, at three quarters and at half of it
+    (above, best fit takes the exact single if there is one), the one with the fewest sequences is taken.
     """
-    left, plan = _Counts(counts, size), []
-
-    def take(lengths: list[int]) -> None:
-        n = left.has(lengths)
-        for x in lengths:
-            left.left[x] -= n
-        plan.append((n, lengths))
-
-    for longest in range(size, 0, -1):
-        while left.left[longest]:
-            if longest == size:
-                take([size])
-            elif others := left.complement(longest):
-                take([longest, *others])
-            else:
-                break
-    for longest in range(size, 0, -1):
-        while left.left[longest]:
-            take([longest, *left.best_fit(longest)])
-    return plan
+    plans = [_plan(counts, size, cut) for cut in (size, size * 3 // 4, size // 2)]
+    return min(plans, key=lambda plan: sum(n for n, _ in plan))
 
 
 def pack(pieces: DataFrame, id_col: str = "doc_id", *, size: int = SEQUENCE) -> DataFrame:
