@@ -13,7 +13,6 @@ from loomgraph.llm.common import let, words_of
 
 SYMBOLS = "#*$%&|<>"
 SYMBOL = f"[{SYMBOLS}]"
-SYMBOL_WORD = "[^\\x20\\x09-\\x0D#*$%&|<>]*[#*$%&|<>][^\\x20\\x09-\\x0D]*"
 SEPARATOR = "(?<![^\\x20\\x09-\\x0D])[|>»·•/](?![^\\x20\\x09-\\x0D])"
 SHOUT = "!!(?![^\\x20\\x09-\\x0D])"
 SENTENCE_MARK = "[.!?…。！？؟।]"
@@ -42,7 +41,7 @@ def line_fails(line: Column) -> Column:
         has_symbol = line.rlike(SYMBOL)
         return (
             F.when(n == 0, False)
-            .when(has_symbol & share(F.regexp_count(line, F.lit(SYMBOL_WORD)), 0.3), True)
+            .when(has_symbol & share(F.size(F.filter(words, lambda w: w.rlike(SYMBOL))), 0.3), True)
             .when(F.contains(line, F.lit("!!")) & share(F.regexp_count(line, F.lit(SHOUT)), 0.3), True)
             .when((n >= 20) & ~line.rlike(SENTENCE_MARK), True)
             .when((n >= 10) & (F.size(F.array_distinct(words)) < n * 0.4), True)
