@@ -25,6 +25,27 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running_sum(numbers: Column, chunk: int = 256) -> Column:
+    """Array of the sums of the first, the first two, ... numbers (ints).
+
+    Appending copies an array, so sums are made within chunks and of the chunks, not in one run.
+    """
+
+    def summed(part: Column) -> Column:
+        none = F.expr("cast(array() as array<int>)")
+        last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))
+        return F.aggregate(part, none, lambda a, x: F.array_append(a, last(a) + x))
+
+    def joined(parts: Column) -> Column:
+        totals = summed(F.transform(parts, lambda p: F.try_element_at(p, F.lit(-1))))
+        shifted = lambda before: F.transform(parts, lambda p, k: F.transform(p, lambda x: x + F.coalesce(F.get(before, k - 1), F.lit(0))))
+        return F.flatten(let(totals, shifted))
+
+    n = F.size(numbers)
+    starts = F.when(n == 0, F.expr("cast(array() as array<int>)")).otherwise(F.sequence(F.lit(1), n, F.lit(chunk)))
+    return let(F.transform(starts, lambda k: summed(F.slice(numbers, k, chunk))), joined)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. All-ASCII strings (as many bytes as code points) take the fast built-in."""
     return F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(

@@ -38,4 +38,5 @@ def oracle_sql() -> dict:
         "op4_line_dedup": line_dedup.OP4_SQL,
         "op5_near_dedup": near_dedup.OP5_SQL,
         "op8_sharding": sharding.OP8_SQL,
+        "op9_secret_scan": secret_scan.OP9_SQL,
     }

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import let, materialize
+from loomgraph.llm.common import let, materialize, running_sum, scratch_dir
 
 RULE_VERSION = "1"
 SPAN = "struct<kind_order:int,kind:string,start:int,end:int>"
@@ -49,12 +50,13 @@ BASE_RULES = (
 #: Formats of well-known credentials, beyond the base kinds.
 MORE_RULES = (
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", gate="-----BEGIN"),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", gate="eyJ"),
+    # the first part of these two is bounded, so that a long run isn't read anew from each of its places
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,300}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", gate="eyJ"),
     Rule("forge", "(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})", gate="gh[pousr]_|glpat-"),
     Rule("chat", "xox[abeoprs]-[A-Za-z0-9-]{10,}", gate="xox[abeoprs]-"),
     Rule("cloud", "AIza[A-Za-z0-9_-]{35}", gate="AIza"),
     Rule("payment", "[rs]k_live_[A-Za-z0-9]{16,}", gate="k_live_"),
-    Rule("login", "[a-z][a-z0-9+.-]*://[^\\x00-\\x20/?#@:]+:[^\\x00-\\x20/?#@]+@", gate="://"),
+    Rule("login", "[a-z][a-z0-9+.-]{0,20}://[^\\x00-\\x20/?#@:]+:[^\\x00-\\x20/?#@]+@", gate="://"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -64,43 +66,27 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
 
     The text split at the matches, and the matches, alternate; their lengths add up to the places.
     """
-    pattern = rule.pattern
-
-    def placed(gaps: Column) -> Column:
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        sizes = F.transform(found, lambda m: F.char_length(m))
-        kept = (
-            F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)), lambda m: F.char_length(m))
-            if rule.group
-            else sizes
-        )
-
-        def walk(state: Column, item: Column) -> Column:
-            start = state["at"] + item["gap"]
-            end = start + item["size"]
-            span = F.struct(
-                F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), start.alias("start"), end.alias("end")
-            )
+    pattern = F.lit(rule.pattern)
+    sizes_of = lambda group: F.transform(F.regexp_extract_all(text, pattern, F.lit(group)), lambda m: F.char_length(m))
+
+    def placed(gaps: Column, sizes: Column) -> Column:
+        ends = running_sum(F.zip_with(sizes, gaps, lambda size, gap: size + F.coalesce(F.char_length(gap), F.lit(0))))
+
+        def span(end: Column, i: Column) -> Column:
+            size = F.get(sizes, i)
             return F.struct(
-                end.alias("at"),
-                F.when(item["kept"] >= rule.min_chars, F.array_append(state["spans"], span))
-                .otherwise(state["spans"])
-                .alias("spans"),
+                F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), (end - size).alias("start"), end.alias("end")
             )
 
-        items = F.arrays_zip(
-            F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda g: F.char_length(g)).alias("gap"),
-            sizes.alias("size"),
-            kept.alias("kept"),
-        )
-        items = F.transform(
-            items, lambda x: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), x["kept"].alias("kept"))
-        )
-        none = F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("spans")
-        return F.aggregate(items, F.struct(*none), walk)["spans"]
+        spans = F.transform(F.slice(ends, F.lit(1), F.size(sizes)), span)
+        if not rule.min_chars:
+            return spans
+        kept = sizes_of(rule.group) if rule.group else sizes
+        return let(kept, lambda k: F.filter(spans, lambda s, i: F.get(k, i) >= rule.min_chars))
 
-    there = text.rlike(rule.gate or pattern)
-    return F.when(there, let(F.split(text, pattern, -1), placed)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    there = text.rlike(rule.gate or rule.pattern)
+    found = let(F.split(text, rule.pattern, -1), lambda gaps: let(sizes_of(0), lambda sizes: placed(gaps, sizes)))
+    return F.when(there, found).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
 
 def find_secrets(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -126,15 +112,32 @@ def scan_new(
     rule_version: str = RULE_VERSION,
 ) -> DataFrame:
     """The ledger's new rows: each blob among ``versions`` not yet scanned by this rule version, with its
-    findings (none is an entry too, so that clean blobs aren't scanned again)."""
-    texts = versions.select(blob_of(F.col(text_col)).alias("blob"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    findings (none is an entry too, so that clean blobs aren't scanned again).
+
+    With a ledger the unseen addresses are found first, on a table of addresses; where they are few the
+    other texts aren't shuffled.
+    """
+    blob = blob_of(F.col(text_col)).alias("blob")
+    texts = versions.select(blob, F.coalesce(text_col, F.lit("")).alias("_text"))
+    once = texts.groupBy("blob").agg(F.min("_text").alias("_text"))  # a blob in many paths is combined early
     if ledger is not None:
         known = ledger.where(F.col("rule_version") == rule_version).select("blob")
-        texts = texts.join(known, "blob", "left_anti")
-    once = texts.groupBy("blob").agg(F.first("_text").alias("_text"))  # a blob in many paths is combined early
+        unseen = versions.select(blob).distinct().join(known, "blob", "left_anti")
+        # on the grouping key, so it is pushed below the aggregate where the unseen are few enough to broadcast
+        once = once.join(materialize(unseen, "unseen-blobs"), "blob", "left_semi")
     return once.select("blob", F.lit(rule_version).alias("rule_version"), find_secrets(F.col("_text"), rules).alias("findings"))
 
 
+def report_findings(versions: DataFrame, ledger: DataFrame, text_col: str = "text", *, rule_version: str = RULE_VERSION) -> DataFrame:
+    """``versions`` without the text, plus ``blob`` and the ``findings`` that the ledger has for it."""
+    hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
+    paths = versions.drop("blob", "findings").withColumn("blob", blob_of(F.col(text_col))).drop(text_col)
+    report = paths.join(hits, "blob", "left").withColumn(
+        "findings", F.coalesce("findings", F.expr(f"cast(array() as array<{SPAN}>)"))
+    )
+    return report.select(*[F.col(f"`{c}`") for c in paths.columns], "findings")
+
+
 def scan_versions(
     versions: DataFrame,
     ledger: DataFrame | None = None,
@@ -148,19 +151,41 @@ def scan_versions(
 
     Null and empty texts are one blob, without findings. Repeated rows and copies share a blob: it is
     scanned once and each row gets the findings. Columns of the added names in the input are replaced.
-    An empty table gives an empty report and leaves the ledger as it is. Texts are scanned whole.
+    An empty table gives an empty report and leaves the ledger as it is. Texts are scanned whole, in time
+    that grows with their length.
 
     Plan: texts meet once, by content address, with copies combined before the shuffle; the scan's
     result is written, and joined to the paths by address in a join whose hot blobs can be split.
     """
     fresh = materialize(scan_new(versions, ledger, text_col, rules=rules, rule_version=rule_version), "ledger")
     full = fresh if ledger is None else ledger.unionByName(fresh)
-    hits = full.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
-    paths = versions.drop("blob", "findings").withColumn("blob", blob_of(F.col(text_col))).drop(text_col)
-    report = paths.join(hits, "blob", "left").withColumn(
-        "findings", F.coalesce("findings", F.expr(f"cast(array() as array<{SPAN}>)"))
-    )
-    return report.select(*[F.col(f"`{c}`") for c in paths.columns], "findings"), full
+    return report_findings(versions, full, text_col, rule_version=rule_version), full
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger in a folder; None where there is none yet."""
+    try:
+        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+def scan_into_ledger(
+    versions: DataFrame,
+    path: str,
+    text_col: str = "text",
+    *,
+    rules: tuple[Rule, ...] = RULES,
+    rule_version: str = RULE_VERSION,
+) -> DataFrame:
+    """``scan_versions`` with the ledger kept in the folder ``path``: what is new is scanned and appended,
+    and the report is read from the ledger alone."""
+    spark = versions.sparkSession
+    fresh = scan_new(versions, read_ledger(spark, path), text_col, rules=rules, rule_version=rule_version)
+    fresh.write.mode("append").partitionBy("rule_version").parquet(path)
+    return report_findings(versions, spark.read.schema(LEDGER_SCHEMA).parquet(path), text_col, rule_version=rule_version)
 
 
 def _joined(spans: Column) -> Column:
@@ -169,7 +194,9 @@ def _joined(spans: Column) -> Column:
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    report, _ = scan_versions(docs)
+    ledger = f"{scratch_dir(spark)}/ledger"
+    scan_into_ledger(docs, ledger)  # the first version set: all of it is new
+    report = scan_into_ledger(docs, ledger)  # the next one: only what the ledger doesn't know is scanned
     count = lambda k: F.size(F.filter("findings", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("findings", lambda s: s["kind_order"] < len(BASE_RULES))
     return report.select(
@@ -178,3 +205,37 @@ def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("findings")).alias("spans"),
     )
+
+
+def _sql() -> str:
+    """For each rule the i-th match stands behind i gaps and the matches before it."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    sizes = "list_transform({}, lambda x: length(x))"
+    per_rule = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS o, '{r.kind}' AS kind, {r.min_chars} AS least, "
+        + f"{sizes.format(f'regexp_split_to_array(t, {quoted(r.pattern)})')} AS g, "
+        + f"{sizes.format(f'regexp_extract_all(t, {quoted(r.pattern)}, 0)')} AS m, "
+        + f"{sizes.format(f'regexp_extract_all(t, {quoted(r.pattern)}, {r.group})')} AS k FROM d"
+        for i, r in enumerate(RULES)
+    )
+    counts = ", ".join(f"count(*) FILTER (s.kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    text = "s.kind || ':' || s.a || ':' || s.b"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), r AS (
+  {per_rule}
+), s AS (
+  SELECT doc_id, o, kind, a, a + m[i] AS b FROM (
+    SELECT *, CAST(list_sum(g[1:i]) + coalesce(list_sum(m[1:i - 1]), 0) AS BIGINT) AS a
+    FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM r WHERE len(m) > 0)
+  ) WHERE k[i] >= least
+)
+SELECT d.doc_id, {counts},
+       sha256(coalesce(string_agg({text}, ',' ORDER BY s.a, s.o) FILTER (s.o < {len(BASE_RULES)}), '')) AS base_sha256,
+       coalesce(string_agg({text}, ',' ORDER BY s.a, s.o), '') AS spans
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+OP9_SQL = _sql()

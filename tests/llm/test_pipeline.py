@@ -26,7 +26,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert full.select(*keys).exceptAll(docs.select(*keys)).isEmpty() and full.count() == docs.count()
 
 
-@pytest.mark.parametrize("name", ["op1_quality_rules", "op2_decontamination", "op4_line_dedup", "op5_near_dedup", "op8_sharding"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op2_decontamination", "op4_line_dedup", "op5_near_dedup", "op8_sharding", "op9_secret_scan"])
 def test_queries_against_sql(spark, name):
     from loomgraph.llm import queries
 
