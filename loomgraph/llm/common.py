@@ -97,3 +97,20 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Keys at most that are met by broadcast because they are hot: each holds over 1 / HOT_KEYS of all rows.
+HOT_KEYS = 4096
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, which has a row per key and, as ``count``, how many rows have it.
+
+    A key of over 1 / HOT_KEYS of ``total``, the number of rows, would be one large task of a shuffle join. There
+    are fewer than HOT_KEYS such keys whatever the data, so they are broadcast and their rows stay where
+    they are; the others are shuffled. ``per_key`` should be a written table, it is read three times.
+    """
+    is_hot = F.col(count) * HOT_KEYS > F.lit(total)
+    hot, cold = F.broadcast(per_key.where(is_hot)), per_key.where(~is_hot)
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(cold, keys))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import TRIM_CHARS, ascii_lower, two_hashes
+from loomgraph.llm.common import TRIM_CHARS, ascii_lower, join_hot, materialize, two_hashes
 
 
 def lines_of(text: Column) -> Column:
@@ -42,9 +42,10 @@ def dedup_lines(
     is not dropped, and each row is rebuilt from its own text. A document that loses all lines gets ''.
     An empty table gives an empty table.
 
-    Plan: lines are exploded once as (hash, id, position), 40 bytes each, never with their text. Per
-    hash only count-like aggregates are kept, so a line found in every document is combined on the map
-    side; the join back is skew-splittable. The text itself is shuffled once, to meet the positions.
+    Plan: lines are exploded once as (hash, id, position), 40 bytes each, never with their text, and
+    written. Per hash only count-like aggregates are kept, so a line found in every document is combined
+    on the map side; on the way back hot lines meet their key by broadcast (see ``join_hot``). The text
+    itself is shuffled once, to meet the positions, which are a written table, too.
     """
     src = docs.select(
         F.col(id_col).alias("_id"),
@@ -53,29 +54,32 @@ def dedup_lines(
     )
     key = line_key(F.col("_line"))
     h1, h2 = two_hashes(F.col("_key"))
-    lines = (
+    lines = materialize(
         src.select("_id", "_row", "_pos", key.alias("_key"))
         .where(F.char_length("_key") >= min_chars)
-        .select("_id", "_row", "_pos", h1.alias("_h1"), h2.alias("_h2"))
+        .select("_id", "_row", "_pos", h1.alias("_h1"), h2.alias("_h2")),
+        "lines",
     )
+    of_key = [F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")]
     if min_docs == 2:  # two documents: smallest and largest id differ; no distinct count to shuffle
         per_key = lines.groupBy("_h1", "_h2").agg(
-            F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.max(F.col("_id").isNull()).alias("_null")
+            *of_key, F.max("_id").alias("_last"), F.max(F.col("_id").isNull()).alias("_null")
         )
         repeated = per_key.where((F.col("_first") != F.col("_last")) | (F.col("_null") & F.col("_first").isNotNull()))
     else:
-        per_key = (
-            lines.select("_h1", "_h2", "_id")
-            .distinct()
-            .groupBy("_h1", "_h2")
-            .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_docs"))
+        per_doc = lines.groupBy("_h1", "_h2", "_id").agg(F.count(F.lit(1)).alias("_lines"))
+        repeated = (
+            per_doc.groupBy("_h1", "_h2")
+            .agg(F.min("_id").alias("_first"), F.sum("_lines").alias("_n"), F.count(F.lit(1)).alias("_docs"))
+            .where(F.col("_docs") >= min_docs)
         )
-        repeated = per_key.where(F.col("_docs") >= min_docs)
-    dropped = (
-        lines.join(repeated.select("_h1", "_h2", "_first"), ["_h1", "_h2"])
+    repeated = materialize(repeated.select("_h1", "_h2", "_first", "_n"), "repeated-lines")
+    dropped = materialize(
+        join_hot(lines, repeated, ["_h1", "_h2"], "_n", lines.count())
         .where(~F.col("_id").eqNullSafe(F.col("_first")))
         .groupBy("_id", "_row")
-        .agg(F.collect_set("_pos").alias("_dropped"))
+        .agg(F.collect_set("_pos").alias("_dropped")),
+        "dropped-lines",
     )
     plain = docs.drop("kept_text", "n_lines", "n_dropped")
     keyed = plain.withColumn("_row_of_text", F.xxhash64(F.col(text_col)))
