@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize
+from loomgraph.llm.common import join_hot, materialize
 
 SHINGLE = 5
 #: Rows of a band at most, and the bands up to which that many are taken.
@@ -212,6 +212,8 @@ def _sizes_allow(n, m, percent: int):
 
 #: Members of a group, and bytes of their sets, that are compared in one task.
 BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+#: A group of more blocks than this is first rid of the members that can't have a partner in it.
+FEW_BLOCKS = 4
 
 
 def _links_in_block(percent: int):
@@ -261,6 +263,25 @@ def _links_in_block(percent: int):
     return run
 
 
+def _with_partners(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members (``_head``, ``_id``) that can have a partner in their group.
+
+    A partner outside the own component holds ``percent`` hundredths of a member's shingles at least, so
+    as many of them have to occur in some other component of the group. Exact, and what a common passage
+    drew together without being alike goes here, in work that grows with its shingles.
+    """
+    rows = materialize(
+        group.join(sets, "_id").select("_head", "_id", "_n", "_component", F.explode("_set").alias("_token")), "group-shingles"
+    )
+    where = rows.groupBy("_head", "_token").agg(
+        F.min("_component").alias("_lo"), F.max("_component").alias("_hi"), F.count(F.lit(1)).alias("_rows")
+    )
+    where = materialize(where.select("_head", "_token", "_rows", (F.col("_lo") != F.col("_hi")).alias("_both")), "shared-shingles")
+    met = join_hot(rows.select("_head", "_token", "_id", "_n"), where, ["_head", "_token"], "_rows", rows.count())
+    shared = met.groupBy("_head", "_id", "_n").agg(F.sum(F.col("_both").cast("long")).alias("_shared"))
+    return shared.where(100 * F.col("_shared") >= percent * F.col("_n")).select("_head", "_id")
+
+
 def _rest(stars: DataFrame, compared: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among those that share a bucket's head, but not, as far as known, its component."""
     apart = F.when(F.col("_inter").isNotNull(), 1 - F.col("_inter") / (F.col("_n") + F.col("_head_n") - F.col("_inter")))
@@ -276,20 +297,30 @@ def _rest(stars: DataFrame, compared: DataFrame, known: DataFrame, sets: DataFra
         )
     )
     group = materialize(group, "groups")
-    mixed = (
-        group.groupBy("_head")
-        .agg(
-            F.min("_component").alias("_lo"),
-            F.max("_component").alias("_hi"),
-            F.count(F.lit(1)).alias("_members"),
-            F.sum(F.col("_n") * 8).alias("_bytes"),
-        )
-        .where("_lo <> _hi")
-        .select(
-            "_head",
-            F.greatest(F.ceil(F.col("_members") / BLOCK_ROWS), F.ceil(F.col("_bytes") / BLOCK_BYTES)).cast("int").alias("_blocks"),
+
+    def in_blocks(group: DataFrame) -> DataFrame:
+        return (
+            group.groupBy("_head")
+            .agg(
+                F.min("_component").alias("_lo"),
+                F.max("_component").alias("_hi"),
+                F.count(F.lit(1)).alias("_members"),
+                F.sum(F.col("_n") * 8).alias("_bytes"),
+            )
+            .where("_lo <> _hi")
+            .select(
+                "_head",
+                F.greatest(F.ceil(F.col("_members") / BLOCK_ROWS), F.ceil(F.col("_bytes") / BLOCK_BYTES)).cast("int").alias("_blocks"),
+            )
         )
-    )
+
+    mixed = materialize(in_blocks(group), "mixed-groups")
+    wide = mixed.where(F.col("_blocks") > FEW_BLOCKS).select("_head")
+    if not wide.isEmpty():
+        left = _with_partners(group.join(wide, "_head"), sets, percent)
+        narrow = group.join(mixed.where(F.col("_blocks") <= FEW_BLOCKS).select("_head"), "_head")
+        group = materialize(narrow.unionByName(group.join(left, ["_head", "_id"], "left_semi")), "groups")
+        mixed = in_blocks(group)
     dealt = group.join(mixed, "_head").withColumn("_block", F.pmod(F.xxhash64("_id"), "_blocks").cast("int"))
     meeting = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     pairs = dealt.withColumn("_other", meeting).select(
@@ -326,24 +357,24 @@ def near_duplicates(
 
     Documents with equal sets are one node from the start, whatever their number. Per band and bucket
     every node is first compared with the smallest one, which finds most components; what of a bucket is
-    still apart is then compared in blocks, all with all, in tasks of bounded size that give back a
-    spanning forest, so no link between different texts that share a band is lost, and no list of pairs
+    still apart is then, in large groups after those that share too few shingles with any other, compared
+    in blocks, all with all, in tasks of bounded size that give back a spanning forest, so no link between different texts that share a band is lost, and no list of pairs
     of a group is ever written. The text is shuffled once, for the documents with candidates.
     """
     plain = docs.select(id_col, text_col)
     sig = materialize(signatures(plain, id_col, text_col, percent=percent, miss=miss), "signatures")
     some = sig.where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull())
-    classes = some.groupBy("_s1", "_s2", "n_shingles").agg(F.min(id_col).alias("_rep"))
-    members = materialize(
-        some.join(classes, ["_s1", "_s2", "n_shingles"]).select(
-            id_col, "n_shingles", "_rep", F.when(F.col(id_col) == F.col("_rep"), F.col("_bands")).alias("_bands")
-        ),
-        "members",
+    same = ["_s1", "_s2", "n_shingles"]
+    classes = materialize(some.groupBy(*same).agg(F.min(id_col).alias("_rep"), F.count(F.lit(1)).alias("_rows")), "classes")
+    # one row of each class, found by its id, so that the rows of a hot class never meet
+    nodes = materialize(
+        some.join(classes.drop("_rows").withColumn(id_col, F.col("_rep")), [id_col, *same], "left_semi")
+        .select(F.col(id_col).alias("_id"), F.col("n_shingles").alias("_n"), "_bands")
+        .dropDuplicates(["_id", "_n"]),
+        "nodes",
     )
     # a band's hash tells its band too, so a bucket is one number
-    buckets = members.where(F.col("_bands").isNotNull()).select(
-        F.col("_rep").alias("_id"), F.explode("_bands").alias("_bucket")
-    )
+    buckets = nodes.select("_id", F.explode("_bands").alias("_bucket"))
     heads = (
         buckets.groupBy("_bucket")
         .agg(F.min("_id").alias("_head"), F.max("_id").alias("_last"))
@@ -351,7 +382,7 @@ def near_duplicates(
         .drop("_last")
     )
     met = buckets.join(heads, "_bucket").where("_id <> _head").select("_head", "_id").distinct()
-    size = members.where(F.col("_bands").isNotNull()).select(F.col("_rep").alias("_id"), F.col("n_shingles").alias("_n")).distinct()
+    size = nodes.select("_id", "_n")
     stars = materialize(
         met.join(size, "_id").join(size.select(F.col("_id").alias("_head"), F.col("_n").alias("_head_n")), "_head"), "stars"
     )
@@ -373,10 +404,11 @@ def near_duplicates(
     known = materialize(components(first_links), "components")
     links = first_links.unionByName(_rest(stars, compared, known, sets, percent))
     final = components(links)
-    component = F.coalesce(F.col("component"), F.col("_rep"))
-    linked = members.join(final, F.col("_rep") == F.col("node"), "left").select(
-        id_col, "n_shingles", component.alias("component_id"), (component == F.col(id_col)).alias("kept")
+    whole = classes.join(final, F.col("_rep") == F.col("node"), "left").select(
+        *same, "_rows", F.coalesce("component", "_rep").alias("component_id")
     )
+    linked = join_hot(some.select(id_col, *same), materialize(whole, "class-components"), same, "_rows", some.count())
+    linked = linked.select(id_col, "n_shingles", "component_id", (F.col("component_id") == F.col(id_col)).alias("kept"))
     alone = sig.where((F.col("n_shingles") == 0) | F.col(id_col).isNull()).select(
         id_col, "n_shingles", F.col(id_col).alias("component_id"), F.lit(True).alias("kept")
     )
