@@ -88,15 +88,17 @@ def drop_dir(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    Unlike a local checkpoint the copy outlives the executors that wrote it.
-    """
+def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared folder and read back, and the folder's path."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage by ``write_table``; unlike a local checkpoint the copy outlives the executors that wrote it."""
+    return write_table(df, name)[0]
 
 
 #: Keys at most that are met by broadcast because they are hot: each holds over 1 / HOT_KEYS of all rows.

@@ -16,11 +16,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import drop_dir, materialize, write_table
+
 WINDOW = 13
 SHARD_BITS = 20
 SAMPLE = 16
 #: Benchmark words in one block; a larger benchmark is searched block after block.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
+#: Words of an item that stay together; longer items are cut with an overlap in which every window is whole.
+PART_WORDS = 1 << 16
 
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -155,7 +159,7 @@ class Windows:
             for k in range(max(1, len(coded) - window + 1) if coded else 0):
                 found.setdefault(coded[k : k + window], set()).add(number[name])
         self.lengths = np.array([len(w) for w in found], dtype=np.int64)
-        self.patterns = np.zeros((len(found), window), dtype=np.int64)
+        self.patterns = np.zeros((len(found), window), dtype=np.int32)
         for i, w in enumerate(found):
             self.patterns[i, : len(w)] = w
         self.items = [sorted(x) for x in found.values()]
@@ -222,18 +226,46 @@ class Windows:
         return sequence, doc_of, word_of
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[Windows]:
-    """The benchmark in blocks of bounded size; the driver holds one at a time."""
-    block, held = [], 0
-    for name, text in items.select(F.col(item_col).cast("string"), text_col).toLocalIterator():
-        found = words(text)
-        if found and name is not None:
-            block.append((name, found))
-            held += len(found)
-            if held >= block_words:
-                yield Windows(block, window)
-                block, held = [], 0
-    yield Windows(block, window)
+def _blocks(items: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> DataFrame:
+    """The benchmark's windows in blocks of bounded size, a pickled ``Windows`` a row.
+
+    Tasks cut the items and build the blocks; the driver only counts words and hands one block on at a time.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(PART_WORDS, block_words))
+        for batch in batches:
+            names, parts, sizes = [], [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = words(text) if name is not None else []
+                for a in range(0, max(len(found) and 1, len(found) - window + 1), step):
+                    part = found[a : a + step + window - 1]
+                    names.append(name)
+                    parts.append(b" ".join(part).decode("utf-8", "surrogatepass"))
+                    sizes.append(len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.string()), pa.array(sizes, pa.int64())], ["name", "part", "n"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(block: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(Windows(block, window))], pa.binary())], ["block"])
+
+        block, held = [], 0
+        for batch in batches:
+            for name, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = words(part)
+                if block and held + len(found) > block_words:
+                    yield packed(block)
+                    block, held = [], 0
+                block.append((name, found))
+                held += len(found)
+        if block:
+            yield packed(block)
+
+    named = items.select(F.col(item_col).cast("string"), text_col)
+    parts = materialize(named.mapInArrow(cut, "name string, part string, n long"), "benchmark-parts")
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dealt = parts.select("name", "part").repartition(total // block_words + 1)
+    return materialize(dealt.mapInArrow(build, "block binary"), "benchmark-blocks")
 
 
 def find_benchmark(
@@ -261,8 +293,9 @@ def find_benchmark(
     with none left nothing is hit. Repeated rows are looked at one by one; an empty table gives an empty
     table. Texts are searched whole: those longer than a shard in overlapping parts.
 
-    Nothing is shuffled. Only a block of the benchmark, of at most ``block_words`` words and one item
-    more, is sent to the tasks; a larger benchmark makes further passes over the same rows.
+    No document is shuffled. Only a block of the benchmark, of at most ``block_words`` words (and a part of
+    an item), is sent to the tasks. With more than one block every pass is written and the pass before it
+    dropped, so that one block is held at a time, on the driver and on the executors.
     """
     spark = docs.sparkSession
     plain = docs.drop("n_words", "n_hit", "items", "spans")
@@ -272,8 +305,19 @@ def find_benchmark(
         F.expr("cast(array() as array<string>) as items"),
         F.expr("cast(array() as array<int>) as _hit"),
     )
-    for block in _blocks(items, item_col, item_text_col, window, block_words):
-        out = _search(out, text_col, spark.sparkContext.broadcast(cloudpickle.dumps(block)))
+    blocks = _blocks(items, item_col, item_text_col, window, block_words)
+    passes, before = blocks.count(), None
+    if not passes:
+        out = _search(out, text_col, spark.sparkContext.broadcast(cloudpickle.dumps(Windows([], window))))
+    for row in blocks.toLocalIterator():
+        block = spark.sparkContext.broadcast(bytes(row["block"]))
+        out = _search(out, text_col, block)
+        if passes > 1:
+            out, path = write_table(out, "benchmark-pass")
+            block.destroy()
+            if before:
+                drop_dir(spark, before)
+            before = path
     out = _spans(out, text_col)
     keep = [c for c in plain.columns if keep_text or c != text_col]
     return out.select(*[F.col(f"`{c}`") for c in keep], "n_words", F.col("_n_hit").alias("n_hit"), "items", "spans")
