@@ -12,15 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import words_of
+from loomgraph.llm.common import materialize, words_of
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most (about: rows are dealt by hash).
 FIT_ROWS = 10_000
-#: Terms in the lexicon, at most.
-MAX_TERMS = 500
-#: Marks a term as a whole word; lengths of the beginnings of words that are counted; log-odds that need no more letters.
+#: Marks a term as a whole word, of any length; a stem has so many letters; log-odds that need no more letters.
 END = "\x01"
-SHORTEST, LONGEST = 3, 14
+SHORTEST, STEM = 3, 24
 SURE = 4.0
 #: Words that make up a hit's context, before and after it.
 CONTEXT = 6
@@ -31,7 +29,9 @@ MEMO = 400_000
 FUZZY, QUOTED = 0.7, 0.3
 MIN_SUPPORT = 10
 
-_EDGE = re.compile(r"^[^\w@$]+|[^\w]+$|_+$")
+# a run at the end is looked at from its start only
+_EDGE = re.compile(r"^[^\w@$]++|(?<!\W)\W++$|(?<!_)_++$")
+_NO_LETTERS = "^\\P{L}++|(?<=\\p{L})\\P{L}++$"
 _LOOKALIKE = str.maketrans("013457@$!|", "oieastasii")
 _OPENING = tuple("\"'“‘«„")
 _CLOSING = re.compile(r"[\"'”’»“][.,;:!?)]*$")
@@ -92,6 +92,7 @@ class Lexicon:
                     self.ends.add(word[half:])
                 else:  # after a stem anything may follow, so its second half stands where the first one ends
                     self.middles.update((at, word[half:]) for at in (half - 1, half, half + 1))
+        self.longest = max((len(t.rstrip(END)) for t in terms), default=0)
         self.head_sizes = sorted({len(x) for x in self.heads})
         self.end_sizes = sorted({len(x) for x in self.ends})
         self.middle_sizes = sorted({(at, len(x)) for at, x in self.middles})
@@ -123,7 +124,8 @@ class Lexicon:
             return term, 0
         if len(word) < 4 or not self.near(word):
             return None
-        automaton, best = LevenshteinAutomaton(word[:40], 1), None
+        # what follows the longest term and two letters can't change whether some term is one edit away
+        automaton, best = LevenshteinAutomaton(word[: self.longest + 2], 1), None
         stack = [(self.trie, automaton.start, "")]
         while stack:
             node, state, path = stack.pop()
@@ -190,6 +192,18 @@ class Finder:
         return any(w.strip(".,:;") in _REPORTING for w in words[max(0, at - 3) : at])
 
 
+_LAST_FINDER: dict = {}
+
+
+def _finder(terms: list[str], weights: list[float]) -> Finder:
+    """The worker's finder for a lexicon: what it remembers of words serves all tasks of the worker."""
+    key = (tuple(terms), tuple(weights))
+    if key not in _LAST_FINDER:
+        _LAST_FINDER.clear()
+        _LAST_FINDER[key] = Finder(terms, weights)
+    return _LAST_FINDER[key]
+
+
 class Model:
     """Term weights and a logistic curve over the strongest hit, all hits, and all hits for the text's length."""
 
@@ -222,29 +236,28 @@ def _descend(prefix: str, count: dict[str, tuple[int, int]], below: dict[str, li
             yield from _descend(c, count, below, odds)
 
 
-def learn_lexicon(train: DataFrame, text_col: str, label_col: str, max_terms: int = MAX_TERMS) -> tuple[list, list]:
+def learn_lexicon(train: DataFrame, text_col: str, label_col: str) -> tuple[list, list]:
     """Words and stems far likelier in texts labelled 1: (terms, log-odds).
 
-    Spark counts, for every beginning of a word and for whole words, the documents of either label; the
-    trie of those that tell the labels apart is cut where its branches stop agreeing.
+    Spark counts, for every beginning of a word and for whole words, the texts of either label; the
+    trie of those that tell the labels apart is cut where its branches stop agreeing. How many terms that
+    leaves follows from the support and the odds that a term needs, and from the rows.
     """
     n1, n0 = train.agg(
         F.coalesce(F.sum(F.col(label_col)), F.lit(0)), F.coalesce(F.sum(1 - F.col(label_col)), F.lit(0))
     ).first()
     if not n1 or not n0:
         return [], []
-    bare = F.array_distinct(
-        F.transform(words_of(F.lower(text_col)), lambda w: F.regexp_replace(w, "^[^\\p{L}]+|[^\\p{L}]+$", ""))
-    )
-    beginnings = F.transform(
+    bare = F.array_distinct(F.transform(words_of(F.lower(text_col)), lambda w: F.regexp_replace(w, _NO_LETTERS, "")))
+    terms = F.transform(
         F.filter(bare, lambda w: F.char_length(w) >= SHORTEST),
-        lambda w: F.transform(
-            F.sequence(F.lit(SHORTEST), F.least(F.char_length(w) + 1, F.lit(LONGEST))),
-            lambda k: F.substring(F.concat(w, F.lit(END)), F.lit(1), k),
+        lambda w: F.array_append(
+            F.transform(F.sequence(F.lit(SHORTEST), F.least(F.char_length(w), F.lit(STEM))), lambda k: F.substring(w, F.lit(1), k)),
+            F.concat(w, F.lit(END)),
         ),
     )
     counts = (
-        train.select(label_col, F.explode(F.array_distinct(F.flatten(beginnings))).alias("term"))
+        train.select(label_col, F.explode(F.array_distinct(F.flatten(terms))).alias("term"))
         .groupBy("term")
         .agg(F.sum(label_col).alias("n1"), F.sum(1 - F.col(label_col)).alias("n0"))
     )
@@ -252,42 +265,42 @@ def learn_lexicon(train: DataFrame, text_col: str, label_col: str, max_terms: in
     told = (
         counts.withColumn("odds", log_odds)
         .where((F.col("n1") >= max(4, n1 * 0.01)) & (F.col("odds") >= 1) & (F.col("odds") * F.col("n1") >= 15))
-        .orderBy(F.desc(F.col("odds") * F.col("n1")), "term")
-        .limit(max_terms * LONGEST)
-        .collect()
+        .collect()  # terms of a bounded number of rows
     )
     count = {r["term"]: (r["n1"], r["n0"]) for r in told}
     below: dict[str, list[str]] = {}
+    roots = []
     for t in sorted(count):
-        below.setdefault(t[:-1], []).append(t)
+        above = next((t[:k] for k in range(min(len(t) - 1, STEM), SHORTEST - 1, -1) if t[:k] in count), None)
+        roots.append(t) if above is None else below.setdefault(above, []).append(t)
 
     def odds(term: str) -> float:
         a, b = count[term]
         return math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
 
-    roots = [t for t in sorted(count) if not any(t[:k] in count for k in range(SHORTEST, len(t)))]
-    terms = [t for r in roots for t in _descend(r, count, below, odds)]
-    terms = sorted(terms, key=lambda t: (-odds(t) * count[t][0], t))[:max_terms]
+    terms = sorted((t for r in roots for t in _descend(r, count, below, odds)), key=lambda t: (-odds(t) * count[t][0], t))
     return terms, [odds(t) for t in terms]
 
 
-def fit(train: DataFrame, text_col: str = "text", label_col: str = "toxic", *, max_terms: int = MAX_TERMS) -> Model:
+def fit(train: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled rows; their number must be bounded, see ``sample_labelled``.
 
-    Without rows of both labels there is no lexicon and every score is the label's share.
+    Each text with its label counts once, so copies and repeated rows lend a term no support; null and
+    empty texts are texts without hits. Without rows of both labels there is no lexicon and every score is
+    the label's share. Other columns, whatever their names, aren't looked at.
     """
-    terms, weights = learn_lexicon(train, text_col, label_col, max_terms)
+    train = materialize(train.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).distinct(), "labelled")
+    terms, weights = learn_lexicon(train, "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(terms, weights)
+        finder = _finder(terms, weights)
         for batch in batches:
             found = [finder.hits(t) for t in batch.column(0).to_pylist()]
             hits = pa.array([[list(h) for h in x] for x, _ in found], pa.list_(pa.list_(pa.int32())))
             sizes = pa.array([n for _, n in found], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(1), hits, sizes], ["label", "hits", "n_words"])
 
-    seen = train.select(text_col, F.col(label_col).cast("int").alias("label"))
-    rows = seen.mapInArrow(run, "label int, hits array<array<int>>, n_words int").collect()  # bounded, as the sample is
+    rows = train.mapInArrow(run, "label int, hits array<array<int>>, n_words int").collect()  # bounded, as the sample is
     label = np.array([r["label"] for r in rows], dtype=float)
     hits = [[tuple(h) for h in r["hits"]] for r in rows]
 
@@ -346,7 +359,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
     schema = plain.select("*", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_terms")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(model.terms, model.weights)
+        finder = _finder(model.terms, model.weights)
         for batch in batches:
             hits = [finder.hits(t) for t in batch.column(names.index(text_col)).to_pylist()]
             scores = pa.array([model.score(h, n) for h, n in hits], pa.float64())
