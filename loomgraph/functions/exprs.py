@@ -176,12 +176,19 @@ def to_float(x: Column, *, compat: bool = False) -> Column:
 # ---- lists and maps --------------------------------------------------------------------------------------
 
 
-def index(items: Column, i: Column) -> Column:
-    """0-based; negative and out of range give null."""
+def index(items: Column, i: Column, kind: str = "list") -> Column:
+    """Of a list 0-based; negative and out of range give null. Of a map by key; a missing one gives null."""
+    if kind == "map":
+        return F.try_element_at(items, i)
     i = i.cast("int")
     return F.when(i >= 0, F.get(items, i))
 
 
+def count_distinct(x: Column, *, approx: bool = False) -> Column:
+    """Aggregate: the number of different values; ``approx`` keeps a sketch per group instead of the values."""
+    return F.approx_count_distinct(x) if approx else F.count_distinct(x)
+
+
 def slice_(items: Column, start: Column | None, end: Column | None) -> Column:
     """0-based and half-open; negative bounds are 0, a missing one is open."""
     n = F.size(items)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -70,6 +71,33 @@ class Scope:
 
 
 Where = Callable[[Scope], Column]
+Items = dict[str, "Column | Var"] | list["Column | Var"]
+
+
+def default_name(item: Column | Var, index: int) -> str:
+    """The name of a result that has none: of a variable its name, of a property its key, of a call the
+    function, else ``expr_<index>``."""
+    if isinstance(item, Var):
+        return item.name
+    text = re.fullmatch(r"Column<'(.*)'>", str(item), re.DOTALL)[1]
+    if found := re.fullmatch(r"(?:\w+?__)?(\w+)(?:\[\w+\])*", text):
+        return re.findall(r"\w+", text)[-1] if "[" in text else found[1]
+    call = re.fullmatch(r"(\w+)\(.*\)", text, re.DOTALL)
+    return call[1].lower() if call else f"expr_{index}"
+
+
+def _named(items: Items | None, start: int, compat: bool) -> dict[str, Column | Var]:
+    """Items by name. A list's items get default names; a name that comes again is an error, or, under
+    ``compat``, stands for the last of its items."""
+    if not isinstance(items, list):
+        return dict(items or {})
+    out: dict[str, Column | Var] = {}
+    for i, x in enumerate(items, start):
+        name = default_name(x, i)
+        if name in out and not compat:
+            raise ValueError(f"two results are called {name}: name them")
+        out[name] = x
+    return out
 
 
 @dataclass(frozen=True)
@@ -84,6 +112,11 @@ class Rows:
     variables: tuple[Var, ...] = ()
     compat: bool = False
 
+    @property
+    def _source(self) -> DataFrame:
+        """The rows so far; before any clause one row without columns."""
+        return self.graph.spark.range(1).select() if self.df is None else self.df
+
     @property
     def scope(self) -> Scope:
         return Scope({v.name: v for v in self.variables})
@@ -114,7 +147,7 @@ class Rows:
         shared = [k for k in path.keys if k in bound]
         if self.df is None:
             if optional:
-                unit = Rows(self.graph, self.graph.spark.range(1).select(), (), self.compat)
+                unit = Rows(self.graph, self._source, (), self.compat)
                 return unit.match(*pattern, where=where, optional=True, unique_edges=unique_edges, allow_cross=True)
             return Rows(self.graph, path.df.select(*path.bound_columns()), path.variables, self.compat).where(where)
         if path.hops and not fresh and not optional and path.names_all_bound(bound):
@@ -139,8 +172,9 @@ class Rows:
         condition = conditions[0] if conditions else F.lit(True)
         for c in conditions[1:]:
             condition = condition & c
-        joined = self.df.join(right, condition, how) if conditions else self.df.crossJoin(right)
-        if how in ("left_semi", "left_anti"):
+        semi = how in ("left_semi", "left_anti")
+        joined = self.df.join(right, condition, how) if conditions or semi else self.df.crossJoin(right)
+        if semi:
             return joined
         return joined.select(*self.df.columns, *[c for v in fresh for c in v.columns()])
 
@@ -155,8 +189,13 @@ class Rows:
         path = _Path(self, pattern, False)
         return replace(self, df=self._with_path(path, (), how, where))
 
-    def exists_flag(self, name: str, *pattern: Node | Hop, where: Where | None = None) -> Rows:
-        """Bind a boolean: does the pattern have a match? The inner part may use its own variables only."""
+    def exists_flag(self, name: str, *pattern: Node | Hop, where: Where | None = None, outer: bool = False) -> Rows:
+        """Bind a boolean: does the pattern have a match? ``where`` may use outer variables if ``outer`` is
+        set; the rows are then told apart by a semi and an anti join instead of one join with marks."""
+        if outer:
+            there = self.exists(*pattern, where=where).df.withColumn(name, F.lit(True))
+            flagged = there.unionByName(self.not_exists(*pattern, where=where).df.withColumn(name, F.lit(False)))
+            return replace(self, df=flagged, variables=(*self.variables, Var(name, (), "value")))
         path = _Path(self, pattern, False)
         keys = [k for k in path.keys if k in self._bound()]
         inner = Rows(self.graph, path.df, path.variables, self.compat).where(where).df
@@ -173,11 +212,11 @@ class Rows:
         """Keep rows for which the condition is true (neither false nor null)."""
         if condition is None:
             return self
-        return replace(self, df=self.df.where(condition if isinstance(condition, Column) else condition(self.scope)))
+        return replace(self, df=self._source.where(condition if isinstance(condition, Column) else condition(self.scope)))
 
     def unwind(self, values: Column | Callable[[Scope], Column], name: str) -> Rows:
         """One row per element; null and empty arrays give none, another value gives one row."""
-        df = self.graph.spark.range(1).select() if self.df is None else self.df
+        df = self._source
         values = values if isinstance(values, Column) else values(self.scope)
         kind = df.select(values.alias("_x")).schema["_x"].dataType.typeName()
         if kind == "array":
@@ -188,8 +227,8 @@ class Rows:
 
     def with_(
         self,
-        items: dict[str, Column | Var] | Callable[[Scope], dict] | None = None,
-        aggs: dict[str, Column] | Callable[[Scope], dict] | None = None,
+        items: Items | Callable[[Scope], Items] | None = None,
+        aggs: Items | Callable[[Scope], Items] | None = None,
         *,
         distinct: bool = False,
         where: Where | None = None,
@@ -199,16 +238,25 @@ class Rows:
     ) -> Rows:
         """Project to ``items``; with ``aggs`` the items are the grouping keys. Then distinct, order, skip and
         limit, and last ``where`` (before the order under ``compat``). ``items=None`` keeps all variables.
+        Items and aggregates in a list get their default names (see ``default_name``).
 
         Without items an aggregation gives one row; under ``compat`` none if there are no rows.
         """
         items = items(self.scope) if callable(items) else items
         aggs = aggs(self.scope) if callable(aggs) else aggs
+        source = self._source
         if items is None and aggs is None:
-            chosen, variables = [F.col(c) for c in self.df.columns], self.variables
+            chosen, variables = [F.col(c) for c in source.columns], self.variables
         else:
             chosen, variables = [], ()
-            for name, x in (items or {}).items():
+            items = _named(items, 0, self.compat)
+            if aggs is not None:
+                aggs = _named(aggs, len(items), self.compat)
+                if both := (items.keys() & aggs.keys()):
+                    if not self.compat:
+                        raise ValueError(f"two results are called {min(both)}: name them")
+                    items = {k: v for k, v in items.items() if k not in both}
+            for name, x in items.items():
                 if isinstance(x, Var):
                     v = Var(name, x.fields, x.kind)
                     chosen += [F.col(a).alias(b) for a, b in zip(x.columns(), v.columns(), strict=True)]
@@ -217,15 +265,15 @@ class Rows:
                     chosen.append(x.alias(name))
                 variables += (v,)
         if aggs is None:
-            df = self.df.select(*chosen)
+            df = source.select(*chosen)
         else:
             made = [c.alias(n) for n, c in aggs.items()]
             if chosen:
-                df = self.df.groupBy(*chosen).agg(*made)
+                df = source.groupBy(*chosen).agg(*made)
             elif self.compat:
-                df = self.df.agg(*made, F.count(F.lit(1)).alias("_n")).where("_n > 0").drop("_n")
+                df = source.agg(*made, F.count(F.lit(1)).alias("_n")).where("_n > 0").drop("_n")
             else:
-                df = self.df.agg(*made)
+                df = source.agg(*made)
             variables += tuple(Var(n, (), "value") for n in aggs)
         out = replace(self, df=df.distinct() if distinct else df, variables=variables)
         if self.compat:
@@ -263,6 +311,9 @@ class _Path:
         self.graph, self.outer = rows.graph, rows._bound()
         for n in nodes:
             self.graph.check_label(n.label)
+        if not rows.compat:  # the embedded engine finds nothing for a type that it doesn't know
+            for h in hops:
+                self.graph.check_types(h.type)
         self.hops, self.pattern, self.variables, self.keys = len(hops), pattern, (), {}
         self.rel_keys: dict[str, dict[str, str]] = {}
         self.df: DataFrame | None = None

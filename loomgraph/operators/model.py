@@ -147,6 +147,13 @@ class Graph:
         if label is not None and label not in self.node_tables:
             raise ValueError(f"unknown label: {label}")
 
+    def check_types(self, types: str | list[str] | None) -> None:
+        """A type that no triple has, in any case of its letters, is an error."""
+        known = {t.lower() for _, t, _ in self.edge_tables}
+        for t in [types] if isinstance(types, str) else types or []:
+            if t.lower() not in known:
+                raise ValueError(f"unknown edge type: {t}")
+
     def nodes(self, label: str | None = None) -> DataFrame:
         """The nodes of a label with their properties, or all nodes with the common columns and ``props``."""
         self.check_label(label)

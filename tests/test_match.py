@@ -69,7 +69,9 @@ def test_cross_needs_consent(chain):
 def test_unknown_names(chain):
     with pytest.raises(ValueError, match="unknown label"):
         Rows(chain).match(Node("x", "Nope"))
-    assert names(Rows(chain).match(Node("p", "Pod"), Hop("Nope"), Node("q", "Pod")), "p") == []
+    with pytest.raises(ValueError, match="unknown edge type"):
+        Rows(chain).match(Node("p", "Pod"), Hop("Nope"), Node("q", "Pod"))
+    assert names(Rows(chain, compat=True).match(Node("p", "Pod"), Hop("Nope"), Node("q", "Pod")), "p") == []
 
 
 def test_first_match_only_filters(chain):
@@ -138,3 +140,52 @@ def test_schema_triples():
     known = set(LABELS) | set(LOGICAL_LABELS)
     assert len(SCHEMA_TRIPLES) == 77 == len(set(SCHEMA_TRIPLES))
     assert all(s in known and d in known and t in EDGE_TYPES for s, t, d in SCHEMA_TRIPLES)
+
+
+def test_source_less_pipeline(chain):
+    """Before any clause there is one row."""
+    assert rows(Rows(chain).returns({"x": F.lit(1), "y": F.lit("a")})) == [(1, "a")]
+    assert rows(Rows(chain).returns(aggs={"n": F.count(F.lit(1))})) == [(1,)]
+    assert rows(Rows(chain).where(F.lit(False)).returns({"x": F.lit(1)})) == []
+    assert rows(Rows(chain).with_({"x": F.lit(2)}).unwind(F.array(F.col("x"), F.lit(3)), "y").returns({"x": F.col("x"), "y": F.col("y")})) == [(2, 2), (2, 3)]
+
+
+def test_default_names(chain):
+    r = Rows(chain).match(Node("p", "Pod"))
+    out = r.returns(lambda v: [v.p, v.p["name"], F.upper(v.p["namespace"]), v.p["namespace"] == "ns1"])
+    assert out.columns == ["p", "name", "upper", "expr_3"]
+    assert r.returns(lambda v: [v.p["namespace"]], lambda v: [F.count(F.lit(1)), F.min(v.p["name"])]).columns == ["namespace", "count", "min"]
+    renamed = r.with_(lambda v: {"q": v.p, "m": F.create_map(F.lit("k"), v.p["name"])})
+    assert renamed.returns(lambda v: [v.q["name"], F.col("m"), F.lit(1) + F.lit(2)]).columns == ["name", "m", "expr_2"]
+    with pytest.raises(ValueError, match="called name"):
+        r.returns(lambda v: [v.p["name"], v.p["name"]])
+    twice = Rows(chain, compat=True).match(Node("p", "Pod"), Hop("Sees"), Node("q", "Pod")).returns(lambda v: [v.p["name"], v.q["name"]])
+    assert twice.columns == ["name"] and rows(twice) == [("alpha",)]
+
+
+def test_exists_of_a_node(chain):
+    """Any node of the label will do; its condition may use the rows' variables."""
+    r = Rows(chain).match(Node("d", "Deployment"))
+    assert names(r.exists(Node(label="Pod")), "d") == [("alone",), ("deploy",)]
+    assert names(r.exists(Node("p", "Pod"), where=lambda v: v.p["name"] == "nobody"), "d") == []
+    assert names(r.exists(Node("q", "ReplicaSet"), where=lambda v: (v.q["namespace"] == v.d["namespace"]) & (v.d["name"] == "deploy")), "d") == [("deploy",)]
+    assert names(r.not_exists(Node("q", "Pod"), where=lambda v: v.q["namespace"] == v.d["namespace"]), "d") == []
+    bound = Rows(chain).match(Node("p", "Pod"))
+    assert names(bound.exists(Node("p", "Pod"), where=lambda v: v.p["name"] != "beta"), "p") == [("alpha",), ("gamma",)]
+
+
+def test_exists_in_an_expression_with_outer_variables(chain):
+    r = Rows(chain).match(Node("d", "Deployment"))
+    hop = (Node("d"), Hop("Manages"), Node("r", "ReplicaSet"))
+    flagged = r.exists_flag("same", *hop, where=lambda v: v.r["namespace"] == v.d["namespace"], outer=True)
+    out = flagged.returns(lambda v: {"d": v.d["name"], "x": F.col("same") | (v.d["name"] == "alone")})
+    assert rows(out) == [("alone", True), ("deploy", True)]
+    other = r.exists_flag("other", *hop, where=lambda v: v.r["namespace"] != v.d["namespace"], outer=True)
+    assert rows(other.returns(lambda v: {"d": v.d["name"], "other": F.col("other")})) == [("alone", False), ("deploy", False)]
+
+
+def test_bound_node_is_checked_again(chain):
+    r = Rows(chain).match(Node("d", "Deployment")).match(Node("d"), Hop("Manages"), Node("r", "ReplicaSet"), optional=True)
+    assert names(r.match(Node("d", "Deployment")), "d") == [("alone",), ("deploy",)]
+    assert names(r.match(Node("r", "ReplicaSet")), "d") == [("deploy",)]  # a null binding goes
+    assert names(r.match(Node("d", "Pod")), "d") == []  # the label has to fit
