@@ -21,11 +21,12 @@ def edge(src: Column, src_label: str | Column, etype: str, dst: Column, dst_labe
 
 
 def name_lookup(items: DataFrame, *, by_namespace: bool) -> DataFrame:
-    """``(_name, [_ns,] _uid)``: of several objects of a name the last by uid. Without ``by_namespace`` names
+    """``(_name, [_ns,] _uid)``: of several objects of a name the last in their order. Without ``by_namespace`` names
     are looked up across namespaces, as the embedded engine does."""
     keys = [F.col("metadata.name").alias("_name")] + [F.col("metadata.namespace").alias("_ns")] * by_namespace
     named = items.where(meta("name").isNotNull() & meta("uid").isNotNull())
-    return named.groupBy(*keys).agg(F.max("metadata.uid").alias("_uid"))
+    placed = named.select(*keys, meta("uid").alias("_uid"), F.monotonically_increasing_id().alias("_at"))
+    return placed.groupBy(*[c for c in placed.columns if c not in ("_uid", "_at")]).agg(F.max_by("_uid", "_at").alias("_uid"))
 
 
 @dataclass
@@ -94,7 +95,10 @@ def build_edges(snapshot: dict[str, DataFrame], derived: Derived, nodes: DataFra
     rules.append(about.where(F.col("regarding.kind").isin(*LABELS)).select(*edge(meta("uid"), "Event", "Concerns", F.col("regarding.uid"), F.col("regarding.kind"), 17)))
     rejects.append(about.where(~F.col("regarding.kind").isin(*LABELS)).select(F.lit("Concerns").alias("rule"), F.col("regarding.kind").alias("kind"), meta("uid").alias("uid")))
 
-    made = only_known(union_all(rules).where(F.col("src").isNotNull() & F.col("dst").isNotNull()), triples_frame(nodes.sparkSession, SCHEMA_TRIPLES))
+    every = union_all(rules).where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    triples = triples_frame(nodes.sparkSession, SCHEMA_TRIPLES)
+    made = only_known(every, triples)
+    rejects.append(outside_schema(every, triples))
     made = without_dangling(made, nodes)
     return EdgeSet((made.drop("ord").distinct() if multi else one_per_pair(made)).select(*EDGE_COLUMNS), union_all(rejects))
 
@@ -104,6 +108,12 @@ def only_known(edges: DataFrame, triples: DataFrame) -> DataFrame:
     return edges.join(F.broadcast(triples), ["src_label", "etype", "dst_label"], "left_semi")
 
 
+def outside_schema(edges: DataFrame, triples: DataFrame) -> DataFrame:
+    """The edges that ``only_known`` drops, as rejects: their triple as the kind, their source as the uid."""
+    left = edges.join(F.broadcast(triples), ["src_label", "etype", "dst_label"], "left_anti")
+    return left.select(F.lit("schema").alias("rule"), F.concat_ws(" ", "src_label", "etype", "dst_label").alias("kind"), F.col("src").alias("uid"))
+
+
 def without_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both of whose ends are nodes."""
     for end in ("src", "dst"):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.model import Graph, union_all
+from loomgraph.sources.snapshot import cleanup_metadata
 
 
 def meta(name: str) -> Column:
@@ -96,12 +97,15 @@ def derive(snapshot: dict[str, DataFrame]) -> Derived:
 
 
 def observed_nodes(kind: str, objects: DataFrame) -> DataFrame:
-    """Objects of a kind as nodes with their typed fields; those without uid are left to ``without_uid``."""
+    """Objects of a kind as nodes with their typed fields and cleaned metadata; of those of one uid the last
+    in the order of the objects. Those without uid are left to ``without_uid``."""
+    objects = cleanup_metadata(objects)
     version = F.lit(None).cast("string") if kind == "Event" else meta("resourceVersion")
-    return objects.where(meta("uid").isNotNull()).select(
+    nodes = objects.where(meta("uid").isNotNull()).select(
         meta("uid").alias("uid"), meta("name").alias("name"), meta("namespace").alias("namespace"), version.alias("resource_version"),
-        *[c for c in objects.columns if c != "metadata"], F.col("metadata"),
+        *[c for c in objects.columns if c != "metadata"], F.col("metadata"), F.monotonically_increasing_id().alias("_at"),
     )
+    return upsert(nodes, F.col("_at")).drop("_at")
 
 
 def without_uid(snapshot: dict[str, DataFrame]) -> DataFrame:
@@ -121,8 +125,19 @@ def upsert(nodes: DataFrame, order: Column) -> DataFrame:
     return nodes.groupBy("uid").agg(F.max_by(F.struct(*rest), order).alias("_x")).select("uid", "_x.*").select(*nodes.columns)
 
 
+def one_label_per_uid(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A uid under several labels stays under the last of them, in the order of the tables.
+
+    Only uids are shuffled; the few that come again are taken out of the tables where they lose.
+    """
+    places = union_all([t.select("uid", F.lit(i).alias("_i")) for i, t in enumerate(tables.values())])
+    again = places.groupBy("uid").agg(F.max("_i").alias("_last"), F.min("_i").alias("_first")).where("_first <> _last")
+    loses = lambda i: again.where((F.col("_first") <= i) & (F.col("_last") > i)).select("uid")
+    return {label: t.join(loses(i), "uid", "left_anti") for i, (label, t) in enumerate(tables.items())}
+
+
 def node_tables(snapshot: dict[str, DataFrame], derived: Derived) -> dict[str, DataFrame]:
-    """All node tables by label."""
+    """All node tables by label, each uid once in each."""
     tables = {k: observed_nodes(k, df) for k, df in snapshot.items() if k != "Cluster"}
     tables["Cluster"] = cluster_node(snapshot["Cluster"])
     links = {"pod_uid", "ingress_uid", "slice_uid", "endpoint_uid", "e"}
@@ -141,8 +156,9 @@ def node_tables(snapshot: dict[str, DataFrame], derived: Derived) -> dict[str, D
 def build_graph(snapshot: dict[str, DataFrame], *, compat: bool = False, store: str | None = None) -> tuple[Graph, DataFrame]:
     """The graph of a snapshot, and what was rejected: ``(rule, kind, uid)``.
 
-    With ``store``, a path, the objects, the nodes' identities and the edges are written there and read back,
-    which keeps later plans short; else all is lazy.
+    With ``store``, a path, the objects, the nodes and the edges are written there and read back, which keeps
+    later plans short; else all is lazy. Rejected are objects without uid, references that lead nowhere
+    and edges whose triple the schema doesn't have.
     """
     from loomgraph.operators import edges as rules
     from loomgraph.operators.model import SCHEMA_TRIPLES
@@ -154,6 +170,9 @@ def build_graph(snapshot: dict[str, DataFrame], *, compat: bool = False, store:
     derived.endpoints = keep(derived.endpoints, "endpoints")
     derived.addresses = addresses(derived.endpoints)
     tables = node_tables(snapshot, derived)
+    if store:  # else every plan would hold the search for uids under several labels
+        tables = one_label_per_uid(tables)
+    tables = {k: keep(t, f"tables/{k}") for k, t in tables.items()}
     nodes = keep(union_all([t.select("uid", "name", "namespace", F.lit(x).alias("label")) for x, t in tables.items()]), "identities")
     found = rules.build_edges(snapshot, derived, nodes, compat=compat)
     graph = Graph(tables, dict.fromkeys(SCHEMA_TRIPLES), keep(found.edges, "edges"))

@@ -61,10 +61,10 @@ def property_schema(nodes: DataFrame, props: str = "props") -> DataFrame:
 
 
 def metadata(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The labels and edge types in use: ``(what, name)``."""
-    return nodes.select(F.lit("label").alias("what"), F.col("label").alias("name")).distinct().unionByName(
-        edges.select(F.lit("edge").alias("what"), F.col("etype").alias("name")).distinct()
-    )
+    """The labels and edge types in use and the cluster: ``(what, name)``."""
+    named = lambda df, what, column: df.select(F.lit(what).alias("what"), F.col(column).alias("name"))
+    used = named(nodes, "label", "label").distinct().unionByName(named(edges, "edge", "etype").distinct())
+    return used.unionByName(named(nodes.where(F.col("label") == "Cluster"), "cluster", "name"))
 
 
 def canonical_nodes(nodes: DataFrame) -> DataFrame:

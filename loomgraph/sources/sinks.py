@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +13,28 @@ from loomgraph.operators.quality import canonical_edges, canonical_nodes
 from loomgraph.sources.snapshot import SCHEMAS
 
 
+def _array_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines of a JSON array of the partition's objects."""
+    before = "["
+    for batch in batches:
+        for row in batch["line"]:
+            yield pd.DataFrame({"line": [before, row]})
+            before = ","
+    yield pd.DataFrame({"line": ["[", "]"] if before == "[" else ["]"]})
+
+
 def write_snapshot(snapshot: dict[str, DataFrame], path: str, *, format: str = "ndjson") -> None:
-    """One folder per kind: JSON lines or Parquet, both of which are read back in parallel."""
+    """One folder per kind, as ``read_snapshot`` reads it: JSON lines or Parquet, which are read back in
+    parallel, or, as ``json``, files with an array each, one per partition."""
     for kind, df in snapshot.items():
-        writer = df.write.mode("overwrite")
         target = f"{path}/{SCHEMAS[kind][0]}"
-        writer.option("ignoreNullFields", "true").json(target) if format == "ndjson" else writer.parquet(target)
+        if format == "json":
+            lines = df.select(F.to_json(F.struct(*df.columns)).alias("line")).mapInPandas(_array_lines, "line string")
+            lines.write.mode("overwrite").text(f"{target}.json")
+        elif format == "ndjson":
+            df.write.mode("overwrite").option("ignoreNullFields", "true").json(target)
+        else:
+            df.write.mode("overwrite").parquet(target)
 
 
 def write_graph(graph: Graph, path: str) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from loomgraph.operators import changes
 from loomgraph.operators.model import EDGE_COLUMNS, Graph
 from loomgraph.operators.nodes import build_graph
+from loomgraph.sources.scratch import scratch_dir, stored
 from loomgraph.sources.snapshot import read_snapshot
 
 NODES = "uid string, name string, namespace string, resource_version string, label string, props string"
@@ -53,8 +54,9 @@ class GraphStore:
         old_nodes, old_edges = self.read(self.last(before=version))
         columns = old_nodes.columns
         new_nodes, new_edges = graph.nodes().select(*columns), graph.all_edges()
-        node_changes = changes.node_diff(new_nodes, old_nodes)
-        edge_changes = changes.edge_diff(new_edges, old_edges)
+        work = scratch_dir(self.spark)  # each difference is made once: it is looked at first, then applied
+        node_changes = stored(changes.node_diff(new_nodes, old_nodes), f"{work}/nodes")
+        edge_changes = stored(changes.edge_diff(new_edges, old_edges), f"{work}/edges")
         if changes.is_empty(node_changes, edge_changes):
             return False
         self.write(version, *changes.apply_diff(old_nodes, old_edges, node_changes, new_nodes, edge_changes))
