@@ -14,6 +14,8 @@ from loomgraph.llm.common import materialize
 
 LEVEL_BITS = 60
 SHARD_BYTES = 16 * 1024 * 1024
+#: The limit of the registered query: small, so that tables of any size split.
+QUERY_BYTES = 1024 * 1024
 
 
 def hash_bits(text: Column) -> Column:
@@ -46,8 +48,9 @@ def assign_shards(
     The hash is that of the key; rows that agree in all 60 bits (one hot key) go on splitting on the hash
     of their text, and whole repeated rows on a third level, a number given to each row, so that no key
     and no group of copies is too large to split. A bucket of one row is final even where that row alone
-    is over the limit. Null keys hash as one key of their own, null texts have 0 bytes. An empty table
-    gives an empty table.
+    is over the limit, however long its text. Null keys hash as one key of their own, null texts have 0
+    bytes. Of the input only the key and the text are read, so other columns may have any name. An empty
+    table gives an empty table.
 
     Plan: one narrow table (key, three hashes, bytes) is written; per pass the bytes are summed in
     cells of ``step`` more bits with map-side combine, the directory is found on the cells, and rows
@@ -150,7 +153,7 @@ def write_shards(
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return assign_shards(docs)
+    return assign_shards(docs, max_bytes=QUERY_BYTES)
 
 
 OP8_SQL = f"""
@@ -163,7 +166,7 @@ WITH r AS (
   SELECT d, pre, sum(n_bytes) AS b, count(*) AS n FROM p GROUP BY d, pre
 ), m AS (
   SELECT p.doc_id, p.n_bytes, min(p.d) AS depth, arg_min(p.pre, p.d) AS pre, arg_min(s.b, p.d) AS b, arg_min(s.n, p.d) AS n
-  FROM p JOIN s USING (d, pre) WHERE s.b <= {SHARD_BYTES} OR s.n = 1 GROUP BY p.doc_id, p.n_bytes
+  FROM p JOIN s USING (d, pre) WHERE s.b <= {QUERY_BYTES} OR s.n = 1 GROUP BY p.doc_id, p.n_bytes
 )
 SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(pre), CAST(depth AS INTEGER), '0') END AS shard,
        CAST(depth AS INTEGER) AS depth, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(b AS BIGINT) AS shard_bytes, n AS shard_rows
