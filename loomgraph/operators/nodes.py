@@ -96,16 +96,17 @@ def derive(snapshot: dict[str, DataFrame]) -> Derived:
     return Derived(containers(snapshot["Pod"]), hosts(snapshot["Ingress"]), backends(snapshot["Ingress"]), ends, addresses(ends), provisioners)
 
 
-def observed_nodes(kind: str, objects: DataFrame) -> DataFrame:
+def observed_nodes(kind: str, objects: DataFrame, *, unique: bool = False) -> DataFrame:
     """Objects of a kind as nodes with their typed fields and cleaned metadata; of those of one uid the last
-    in the order of the objects. Those without uid are left to ``without_uid``."""
+    in the order of the objects; ``unique`` says that there is one each. Those without uid are left to
+    ``without_uid``."""
     objects = cleanup_metadata(objects)
     version = F.lit(None).cast("string") if kind == "Event" else meta("resourceVersion")
     nodes = objects.where(meta("uid").isNotNull()).select(
         meta("uid").alias("uid"), meta("name").alias("name"), meta("namespace").alias("namespace"), version.alias("resource_version"),
         *[c for c in objects.columns if c != "metadata"], F.col("metadata"), F.monotonically_increasing_id().alias("_at"),
     )
-    return upsert(nodes, F.col("_at")).drop("_at")
+    return nodes.drop("_at") if unique else upsert(nodes, F.col("_at")).drop("_at")
 
 
 def without_uid(snapshot: dict[str, DataFrame]) -> DataFrame:
@@ -136,9 +137,18 @@ def one_label_per_uid(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {label: t.join(loses(i), "uid", "left_anti") for i, (label, t) in enumerate(tables.items())}
 
 
-def node_tables(snapshot: dict[str, DataFrame], derived: Derived) -> dict[str, DataFrame]:
-    """All node tables by label, each uid once in each."""
-    tables = {k: observed_nodes(k, df) for k, df in snapshot.items() if k != "Cluster"}
+def kinds_with_repeated_uids(snapshot: dict[str, DataFrame]) -> set[str]:
+    """The kinds that hold a uid that comes again, in them or in another; only uids are shuffled."""
+    uids = union_all([df.select(meta("uid").alias("uid"), F.lit(k).alias("kind")) for k, df in snapshot.items() if k != "Cluster"])
+    again = uids.where("uid is not null").groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.collect_set("kind").alias("kinds")).where("n > 1")
+    return {r[0] for r in again.select(F.explode("kinds")).distinct().collect()}  # names of kinds
+
+
+def node_tables(snapshot: dict[str, DataFrame], derived: Derived, repeated: set[str] | None = None) -> dict[str, DataFrame]:
+    """All node tables by label, each uid once. ``repeated`` names the kinds where uids come again; None: any may."""
+    tables = {k: observed_nodes(k, df, unique=repeated is not None and k not in repeated) for k, df in snapshot.items() if k != "Cluster"}
+    if repeated is None or repeated:
+        tables = one_label_per_uid(tables)
     tables["Cluster"] = cluster_node(snapshot["Cluster"])
     links = {"pod_uid", "ingress_uid", "slice_uid", "endpoint_uid", "e"}
     found = {"Container": derived.containers, "Host": derived.hosts, "IngressServiceBackend": derived.backends,
@@ -169,10 +179,10 @@ def build_graph(snapshot: dict[str, DataFrame], *, compat: bool = False, store:
     derived = derive(snapshot)
     derived.endpoints = keep(derived.endpoints, "endpoints")
     derived.addresses = addresses(derived.endpoints)
-    tables = node_tables(snapshot, derived)
-    if store:  # else every plan would hold the search for uids under several labels
-        tables = one_label_per_uid(tables)
-    tables = {k: keep(t, f"tables/{k}") for k, t in tables.items()}
+    repeated = kinds_with_repeated_uids(snapshot) if store else None
+    tables = node_tables(snapshot, derived, repeated)
+    if repeated:
+        tables = {k: keep(t, f"tables/{k}") for k, t in tables.items()}
     nodes = keep(union_all([t.select("uid", "name", "namespace", F.lit(x).alias("label")) for x, t in tables.items()]), "identities")
     found = rules.build_edges(snapshot, derived, nodes, compat=compat)
     graph = Graph(tables, dict.fromkeys(SCHEMA_TRIPLES), keep(found.edges, "edges"))

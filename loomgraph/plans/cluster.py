@@ -16,13 +16,17 @@ from loomgraph.sources.scratch import scratch_dir
 from loomgraph.sources.snapshot import SCHEMAS, schema_of
 
 
-def _meta(uid: Column, name: Column, namespace: Column | None = None, owner: tuple[str, Column, Column] | None = None) -> Column:
+#: Orders whose keys fall into one range of this length share a customer's endpoint slice.
+SLICE_KEYS = 4096
+
+
+def _meta(uid: Column, name: Column, namespace: Column | None = None, owner: tuple | list | None = None) -> Column:
     text = lambda c: c.cast("string")
     owners = F.expr("cast(null as array<struct<kind:string,name:string,uid:string>>)")
     if owner is not None:
-        kind, owner_uid, there = owner
-        one = F.array(F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("name"), owner_uid.alias("uid")))
-        owners = F.when(there, one)
+        for kind, owner_uid, there in owner if isinstance(owner, list) else [owner]:
+            one = F.array(F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("name"), owner_uid.alias("uid")))
+            owners = F.when(there, one).otherwise(owners)
     none = F.lit(None)
     return F.struct(
         text(name).alias("name"), text(uid).alias("uid"), text(none if namespace is None else namespace).alias("namespace"), F.lit("1").alias("resourceVersion"),
@@ -43,6 +47,12 @@ def cluster_snapshot(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     order = t["orders"].join(customer, F.col("o_custkey") == F.col("c_custkey"))
     c, o = F.col("c_custkey"), F.col("o_orderkey")
     always = F.lit(True)
+    # pods of ten: one has no owner, three are owned by other kinds than replica sets
+    owner = lambda kind, prefix, there: (kind, _id(prefix, "c_custkey"), there)
+    pods_owner = [owner("StatefulSet", "sts:", o % 10 == 1), owner("DaemonSet", "ds:", o % 10 == 2), owner("Job", "job:", o % 10 == 3), owner("ReplicaSet", "rs:", o % 10 > 3)]
+    of_customer = lambda kind, prefix: customer.select(_meta(_id(f"{prefix}:", "c_custkey"), _id(f"{prefix}-", "c_custkey"), space))
+    number = F.floor(o / SLICE_KEYS).cast("bigint")  # a customer's endpoints are dealt to slices of a bounded size
+    eps = lambda mark: F.concat(F.lit(f"eps{mark}"), c.cast("string"), F.lit("-"), F.col("_slice").cast("string"))
     memory = lambda x: F.create_map(F.lit("memory"), x)
     main = F.array(F.struct(F.lit("main").alias("name"), F.lit("img").alias("image"), F.struct(
         memory(F.concat((o % 512 + 1).cast("string"), F.lit("Mi"))).alias("requests"), memory(F.concat((o % 4 + 1).cast("string"), F.lit("Gi"))).alias("limits")).alias("resources")))
@@ -57,14 +67,17 @@ def cluster_snapshot(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                                       F.struct(F.lit(3).alias("replicas"), F.when(c % 5 != 4, (c % 5).cast("int")).alias("readyReplicas")).alias("status")),
         "ReplicaSet": customer.select(_meta(_id("rs:", "c_custkey"), _id("rs-", "c_custkey"), space, ("Deployment", _id("dep:", "c_custkey"), always)),
                                       F.struct(F.lit(3).alias("replicas")).alias("spec"), F.lit(None).cast("struct<replicas:int,readyReplicas:int>").alias("status")),
-        "Pod": order.select(_meta(_id("pod:", "o_orderkey"), _id("pod-", "o_orderkey"), space, ("ReplicaSet", _id("rs:", "c_custkey"), o % 10 != 0)),
+        "Pod": order.select(_meta(_id("pod:", "o_orderkey"), _id("pod-", "o_orderkey"), space, pods_owner),
                             F.struct(F.format_string("Supplier#%09d", (o % 10 + 1)).alias("nodeName"), main.alias("containers"), F.when(o % 11 == 0, init).alias("initContainers"), claim.alias("volumes")).alias("spec"),
                             F.struct(F.col("o_orderstatus").alias("phase"), _id("10.0.", o % 65536).alias("podIP")).alias("status")),
         "Service": customer.select(_meta(_id("svc:", "c_custkey"), _id("svc-", "c_custkey"), space), F.struct(F.lit("ClusterIP").alias("type")).alias("spec")),
-        "EndpointSlice": order.where(c % 3 != 0).groupBy("c_custkey", "n_name").agg(F.collect_list(F.struct(
+        "StatefulSet": of_customer("StatefulSet", "sts"), "DaemonSet": of_customer("DaemonSet", "ds"), "Job": of_customer("Job", "job"),
+        "ConfigMap": of_customer("ConfigMap", "cm"), "NetworkPolicy": of_customer("NetworkPolicy", "np"),
+        "ServiceAccount": t["supplier"].join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey")).select(_meta(_id("sa:", "s_suppkey"), _id("sa-", "s_suppkey"), space)),
+        "EndpointSlice": order.where(c % 3 != 0).withColumn("_slice", number).groupBy("c_custkey", "n_name", "_slice").agg(F.collect_list(F.struct(
             F.array(_id("10.0.", o % 65536), _id("fd00::", o)).alias("addresses"),
             F.struct(F.lit("Pod").alias("kind"), _id("pod-", o).alias("name"), space.alias("namespace"), _id("pod:", o).alias("uid")).alias("targetRef"))).alias("endpoints"))
-            .select(_meta(_id("eps:", "c_custkey"), _id("eps-", "c_custkey"), space, ("Service", _id("svc:", "c_custkey"), always)), F.lit("IPv4").alias("addressType"), "endpoints"),
+            .select(_meta(eps(":"), eps("-"), space, ("Service", _id("svc:", "c_custkey"), always)), F.lit("IPv4").alias("addressType"), "endpoints"),
         "Ingress": customer.where(c % 5 == 0).select(_meta(_id("ing:", "c_custkey"), _id("ing-", "c_custkey"), space), F.struct(F.array(F.struct(
             F.concat(F.lit("h"), c.cast("string"), F.lit(".example")).alias("host"), F.struct(F.transform(F.array(F.lit("/"), F.lit("/api")), lambda p: F.struct(p.alias("path"), F.struct(
                 F.struct(_id("svc-", "c_custkey").alias("name")).alias("service")).alias("backend"))).alias("paths")).alias("http"))).alias("rules")).alias("spec")),
@@ -73,11 +86,19 @@ def cluster_snapshot(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "PersistentVolume": customer.where(c % 8 == 0).select(_meta(_id("pv:", "c_custkey"), _id("pv-", "c_custkey")), F.struct(
             F.when(c % 16 == 0, F.col("r_name")).alias("storageClassName"), F.struct(_id("pvc:", "c_custkey").alias("uid")).alias("claimRef")).alias("spec")),
         "Event": t["events"].select(_meta(_id("ev:", "event_id"), _id("ev-", "event_id")), F.when(F.col("value") > 50, "Warning").otherwise("Normal").alias("type"), F.col("event_type").alias("reason"),
-                                    F.struct(F.when(F.col("event_id") % 10 == 0, "Gizmo").otherwise("Deployment").alias("kind"), _id("dep:", "user_id").alias("uid")).alias("regarding")),
+                                    _about().alias("regarding")),
     }
     return {kind: _conform(made[kind], kind) if kind in made else spark.createDataFrame([], schema_of(kind)) for kind in SCHEMAS}
 
 
+def _about() -> Column:
+    """What an event is about: of ten one is about no known kind, one about a service, one about a pod."""
+    kind, uid = F.lit("Deployment"), _id("dep:", "user_id")
+    for k, label, there in ((0, "Gizmo", uid), (1, "Service", _id("svc:", "user_id")), (2, "Pod", _id("pod:", "event_id"))):
+        kind, uid = F.when(F.col("event_id") % 10 == k, label).otherwise(kind), F.when(F.col("event_id") % 10 == k, there).otherwise(uid)
+    return F.struct(kind.alias("kind"), uid.alias("uid"))
+
+
 def _conform(df: DataFrame, kind: str) -> DataFrame:
     """All fields of the kind, those not made as null, nested ones included."""
     return df.select(*[_fill(F.col(f.name) if f.name in df.columns else None, f.dataType, df.schema[f.name].dataType if f.name in df.columns else None).alias(f.name) for f in schema_of(kind)])
@@ -125,22 +146,26 @@ def _register(name: str, f: Callable[[Graph, DataFrame], DataFrame], sql: str) -
 
 _COUNTS = {
     "Namespace": "nation", "Node": "supplier", "Deployment": "customer", "ReplicaSet": "customer", "Service": "customer", "Pod": "orders",
-    "EndpointSlice": "(SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 3 <> 0)", "Endpoint": "(SELECT 1 FROM orders WHERE o_custkey % 3 <> 0)",
+    "EndpointSlice": "(SELECT DISTINCT o_custkey, o_orderkey // 4096 FROM orders WHERE o_custkey % 3 <> 0)", "Endpoint": "(SELECT 1 FROM orders WHERE o_custkey % 3 <> 0)",
     "EndpointAddress": "(SELECT unnest([1, 2]) FROM orders WHERE o_custkey % 3 <> 0)",
     "Ingress": "(SELECT 1 FROM customer WHERE c_custkey % 5 = 0)", "Host": "(SELECT 1 FROM customer WHERE c_custkey % 5 = 0)",
     "IngressServiceBackend": "(SELECT 1 FROM customer WHERE c_custkey % 5 = 0)", "StorageClass": "region", "Provisioner": "(SELECT DISTINCT r_regionkey % 2 FROM region)",
     "PersistentVolumeClaim": "(SELECT 1 FROM customer WHERE c_custkey % 4 = 0)", "PersistentVolume": "(SELECT 1 FROM customer WHERE c_custkey % 8 = 0)",
     "Container": "(SELECT unnest(CASE WHEN o_orderkey % 11 = 0 THEN [1, 2] ELSE [1] END) FROM orders)", "Event": "events", "Cluster": "(SELECT 1)",
+    **dict.fromkeys(("StatefulSet", "DaemonSet", "Job", "ConfigMap", "NetworkPolicy"), "customer"), "ServiceAccount": "supplier",
 }
+_MORE = ("StatefulSet", "DaemonSet", "Job", "ConfigMap", "NetworkPolicy", "ServiceAccount")
 _EDGES = {
-    **{(x, "PartOf", "Cluster"): _COUNTS[x] for x in ("Namespace", "Node", "Deployment", "ReplicaSet", "Service", "Pod", "EndpointSlice", "Ingress", "StorageClass", "Provisioner", "PersistentVolumeClaim", "PersistentVolume", "Container")},
-    **{(x, "BelongsTo", "Namespace"): _COUNTS[x] for x in ("Deployment", "ReplicaSet", "Service", "Pod", "EndpointSlice", "Ingress", "PersistentVolumeClaim", "Container")},
-    ("Deployment", "Manages", "ReplicaSet"): "customer", ("ReplicaSet", "Manages", "Pod"): "(SELECT 1 FROM orders WHERE o_orderkey % 10 <> 0)", ("Service", "Manages", "EndpointSlice"): _COUNTS["EndpointSlice"],
+    **{(x, "PartOf", "Cluster"): _COUNTS[x] for x in ("Namespace", "Node", "Deployment", "ReplicaSet", "Service", "Pod", "EndpointSlice", "Ingress", "StorageClass", "Provisioner", "PersistentVolumeClaim", "PersistentVolume", "Container", *_MORE)},
+    **{(x, "BelongsTo", "Namespace"): _COUNTS[x] for x in ("Deployment", "ReplicaSet", "Service", "Pod", "EndpointSlice", "Ingress", "PersistentVolumeClaim", "Container", *_MORE)},
+    ("Deployment", "Manages", "ReplicaSet"): "customer", ("ReplicaSet", "Manages", "Pod"): "(SELECT 1 FROM orders WHERE o_orderkey % 10 > 3)", ("Service", "Manages", "EndpointSlice"): _COUNTS["EndpointSlice"],
     ("Container", "Runs", "Pod"): _COUNTS["Container"], ("Pod", "RunsOn", "Node"): "(SELECT 1 FROM orders JOIN supplier ON o_orderkey % 10 + 1 = s_suppkey)", ("Pod", "ClaimsVolume", "PersistentVolumeClaim"): "(SELECT 1 FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey % 4 = 0)",
     ("PersistentVolume", "UsesStorageClass", "StorageClass"): "(SELECT 1 FROM customer WHERE c_custkey % 16 = 0)", ("PersistentVolumeClaim", "BoundTo", "PersistentVolume"): _COUNTS["PersistentVolume"],
     ("StorageClass", "UsesProvisioner", "Provisioner"): "region", ("Ingress", "DefinesBackend", "IngressServiceBackend"): _COUNTS["Ingress"], ("IngressServiceBackend", "TargetsService", "Service"): _COUNTS["Ingress"],
     ("Host", "IsClaimedBy", "Ingress"): _COUNTS["Ingress"], ("EndpointSlice", "ContainsEndpoint", "Endpoint"): _COUNTS["Endpoint"], ("Endpoint", "HasAddress", "EndpointAddress"): _COUNTS["EndpointAddress"],
-    ("EndpointAddress", "ListedIn", "EndpointSlice"): _COUNTS["EndpointAddress"], ("EndpointAddress", "IsAddressOf", "Pod"): _COUNTS["EndpointAddress"], ("Event", "Concerns", "Deployment"): "(SELECT 1 FROM events WHERE event_id % 10 <> 0)",
+    ("EndpointAddress", "ListedIn", "EndpointSlice"): _COUNTS["EndpointAddress"], ("EndpointAddress", "IsAddressOf", "Pod"): _COUNTS["EndpointAddress"], ("Event", "Concerns", "Deployment"): "(SELECT 1 FROM events WHERE event_id % 10 > 2)",
+    ("Event", "Concerns", "Service"): "(SELECT 1 FROM events WHERE event_id % 10 = 1)", ("Event", "Concerns", "Pod"): "(SELECT 1 FROM events JOIN orders ON o_orderkey = event_id WHERE event_id % 10 = 2)",
+    **{(kind, "Manages", "Pod"): f"(SELECT 1 FROM orders WHERE o_orderkey % 10 = {k})" for k, kind in ((1, "StatefulSet"), (2, "DaemonSet"), (3, "Job"))},
 }
 _register(
     "q_cluster_nodes",
@@ -184,7 +209,66 @@ _question("h08", "SELECT c_name AS deployment FROM customer WHERE CASE WHEN c_cu
 _question("h09", f"SELECT 'pod-' || o_orderkey AS pod FROM {_O} WHERE n_name = 'NATION_8' AND o_orderkey % 10 = 0", namespace="NATION_8")
 _question("h10", f"SELECT 'pvc-' || c_custkey AS claim, CASE WHEN c_custkey % 8 = 0 THEN 'pv-' || c_custkey END AS volume, CASE WHEN c_custkey % 16 = 0 THEN r_name END AS storage_class "
           f"FROM {_C} JOIN region ON n_regionkey = r_regionkey WHERE n_name = 'NATION_8' AND c_custkey % 4 = 0", namespace="NATION_8")
-_question("h16", f"SELECT c_name AS deployment, count(o_orderkey) AS n FROM {_C} LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 10 <> 0 WHERE n_name = 'NATION_6' GROUP BY c_name", namespace="NATION_6")
+_question("h16", f"SELECT c_name AS deployment, count(o_orderkey) AS n FROM {_C} LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 10 > 3 WHERE n_name = 'NATION_6' GROUP BY c_name", namespace="NATION_6")
 _question("h18", f"SELECT n_name AS name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND (c_custkey % 3 = 0 OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) GROUP BY n_name")
 _question("h19", "SELECT 'h' || c_custkey || '.example' AS host, 'svc-' || c_custkey AS service FROM customer WHERE c_custkey % 5 = 0")
 _question("h20", f"SELECT 'svc-' || c_custkey AS service, o_orderstatus AS phase, count(*) AS n FROM {_O} WHERE n_name = 'NATION_6' AND c_custkey % 3 <> 0 GROUP BY c_custkey, o_orderstatus", namespace="NATION_6")
+
+# the other questions, in their order
+_IN = "WHERE n_name = 'NATION_6'"
+_N6 = {"namespace": "NATION_6"}
+_S = "supplier JOIN nation ON s_nationkey = n_nationkey"
+_SLICES = f"(SELECT DISTINCT o_custkey, n_name, o_orderkey // 4096 AS k FROM {_O} WHERE o_custkey % 3 <> 0)"
+_IDLE = "(c_custkey % 3 = 0 OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey))"
+_CONTAINERS = f"(SELECT unnest(CASE WHEN o_orderkey % 11 = 0 THEN ['main', 'setup'] ELSE ['main'] END) AS container, o_orderkey, n_name FROM {_O})"
+for _id_, _sql in {
+    "e01": "SELECT n_name AS name FROM nation",
+    "e02": "SELECT count(*) AS n FROM nation",
+    "e07": "SELECT s_name AS name FROM supplier",
+    "e08": "SELECT r_name AS name FROM region",
+    "e09": "SELECT 'pv-' || c_custkey AS name FROM customer WHERE c_custkey % 8 = 0",
+}.items():
+    _question(_id_, _sql)
+for _id_, _sql in {
+    "e04": f"SELECT 'svc-' || c_custkey AS name FROM {_C} {_IN}",
+    "e05": f"SELECT 'ing-' || c_custkey AS name FROM {_C} {_IN} AND c_custkey % 5 = 0",
+    "e06": f"SELECT 'eps-' || o_custkey || '-' || k AS name FROM {_SLICES} {_IN}",
+    "e10": f"SELECT 'sa-' || s_suppkey AS name FROM {_S} {_IN}",
+    "e11": f"SELECT c_name AS name FROM {_C} {_IN}",
+    "e12": f"SELECT 'rs-' || c_custkey AS name FROM {_C} {_IN}",
+    "e13": f"SELECT 'sts-' || c_custkey AS name FROM {_C} {_IN}",
+    "e14": f"SELECT 'ds-' || c_custkey AS name FROM {_C} {_IN}",
+    "e15": f"SELECT 'job-' || c_custkey AS name FROM {_C} {_IN}",
+    "e16": f"SELECT 'pvc-' || c_custkey AS name FROM {_C} {_IN} AND c_custkey % 4 = 0",
+    "e17": f"SELECT count(*) AS n FROM {_O} {_IN}",
+    "e18": f"SELECT 'cm-' || c_custkey AS name FROM {_C} {_IN}",
+    "e19": f"SELECT 'np-' || c_custkey AS name FROM {_C} {_IN}",
+    "e20": f"SELECT container AS name FROM {_CONTAINERS} {_IN}",
+    "m02": f"SELECT 'rs-' || o_custkey AS a, 'pod-' || o_orderkey AS b FROM {_O} {_IN} AND o_orderkey % 10 > 3",
+    "m03": f"SELECT 'ds-' || o_custkey AS a, 'pod-' || o_orderkey AS b FROM {_O} {_IN} AND o_orderkey % 10 = 2",
+    "m04": f"SELECT 'sts-' || o_custkey AS a, 'pod-' || o_orderkey AS b FROM {_O} {_IN} AND o_orderkey % 10 = 1",
+    "m05": f"SELECT 'job-' || o_custkey AS a, 'pod-' || o_orderkey AS b FROM {_O} {_IN} AND o_orderkey % 10 = 3",
+    "m06": f"SELECT 'svc-' || o_custkey AS a, 'eps-' || o_custkey || '-' || k AS b FROM {_SLICES} {_IN}",
+    "m09": f"SELECT 'pvc-' || c_custkey AS a, 'pv-' || c_custkey AS b FROM {_C} {_IN} AND c_custkey % 8 = 0",
+    "m10": f"SELECT 'pod-' || o_orderkey AS pod, event_type AS reason FROM {_O} JOIN events ON event_id = o_orderkey {_IN} AND event_id % 10 = 2",
+    "m11": f"SELECT 'pod-' || o_orderkey AS a, s_name AS b FROM {_O} JOIN supplier ON o_orderkey % 10 + 1 = s_suppkey {_IN}",
+    "m12": f"SELECT 'pod-' || o_orderkey AS a, 'pvc-' || o_custkey AS b FROM {_O} {_IN} AND o_orderkey % 7 = 0 AND o_custkey % 4 = 0",
+    "m13": f"SELECT container AS a, 'pod-' || o_orderkey AS b FROM {_CONTAINERS} {_IN}",
+    "m14": f"SELECT container, CAST(NULL AS VARCHAR) AS log FROM {_CONTAINERS} {_IN}",
+    "m15": f"SELECT 'ing-' || c_custkey AS ingress, 'svc-' || c_custkey AS service FROM {_C} {_IN} AND c_custkey % 5 = 0",
+    "m16": f"SELECT 'eps-' || o_custkey || '-' || o_orderkey // 4096 AS slice, 'pod-' || o_orderkey AS pod FROM {_O} {_IN} AND o_custkey % 3 <> 0",
+    "m17": f"SELECT 'svc-' || c_custkey AS a, 'ev-' || event_id AS b FROM {_C} JOIN events ON user_id = c_custkey {_IN} AND event_id % 10 = 1",
+    "h04": f"SELECT 'svc-' || c_custkey AS service FROM {_C} {_IN} AND {_IDLE}",
+    "h05": f"SELECT 'ing-' || c_custkey AS ingress FROM {_C} {_IN} AND c_custkey % 5 = 0 AND NOT {_IDLE}",
+    "h11": f"SELECT 'svc-' || c_custkey AS service FROM {_C} {_IN} AND {_IDLE}",
+    "h12": f"SELECT 'ing-' || c_custkey AS ingress, 'svc-' || c_custkey AS service FROM {_C} {_IN} AND c_custkey % 5 = 0 AND {_IDLE}",
+    "h13": f"SELECT 'pvc-' || c_custkey AS claim FROM {_C} {_IN} AND c_custkey % 8 = 4",
+    "h14": f"SELECT 'pod-' || o_orderkey AS pod FROM {_O} {_IN} AND o_orderkey % 7 = 0 AND o_custkey % 16 = 8",
+    "h17": f"SELECT 'pod-' || o_orderkey AS pod FROM {_O} {_IN} AND EXISTS (SELECT 1 FROM events WHERE event_id = o_orderkey AND event_id % 10 = 2 AND value > 50)",
+}.items():
+    _question(_id_, _sql, **_N6)
+_question("m08", "SELECT 'pod-' || o_orderkey AS pod FROM orders JOIN supplier ON o_orderkey % 10 + 1 = s_suppkey WHERE s_name = 'Supplier#000000003'", node="Supplier#000000003")
+_question("m18", "SELECT 'pv-' || c_custkey AS volume, r_name AS storage_class FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 16 = 0")
+_question("m20", "SELECT n_name AS name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
+_question("h06", "SELECT 'svc-' || o_custkey AS service, 'pod-' || o_orderkey AS pod FROM orders WHERE 'h' || o_custkey || '.example' = 'h10.example'", host="h10.example")
+_question("h15", f"SELECT s_name AS name, count(DISTINCT n_nationkey) AS n FROM {_O} JOIN supplier ON o_orderkey % 10 + 1 = s_suppkey GROUP BY s_suppkey, s_name HAVING count(DISTINCT n_nationkey) > 1")
