@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import quality
-from loomgraph.operators.model import Graph
+from loomgraph.operators.model import Graph, union_all
 from loomgraph.operators.nodes import build_graph
 from loomgraph.plans.questions import QUESTIONS
+from loomgraph.sources import sinks
 from loomgraph.sources.scratch import scratch_dir
-from loomgraph.sources.snapshot import SCHEMAS, schema_of
+from loomgraph.sources.snapshot import SCHEMAS, read_snapshot, schema_of
 
 
 #: Orders whose keys fall into one range of this length share a customer's endpoint slice.
@@ -117,16 +118,24 @@ def _fill(column: Column | None, wanted, have) -> Column:
 
 
 _BUILT: dict[tuple[str, str], tuple[Graph, DataFrame]] = {}
+_STORES: dict[str, tuple[Graph, DataFrame]] = {}
 
 
 def cluster_graph(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
     """The graph and its rejects, built and stored once per session and input."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _BUILT:
-        _BUILT[key] = build_graph(cluster_snapshot(spark, sf_dir), store=scratch_dir(spark))
+        root = scratch_dir(spark)
+        _BUILT[key] = _STORES[root] = build_graph(cluster_snapshot(spark, sf_dir), store=root)
     return _BUILT[key]
 
 
+def stored_snapshot(g: Graph) -> dict[str, DataFrame]:
+    """The objects that the graph was built from, as its build has stored them."""
+    root = next(root for root, (built, _) in _STORES.items() if built is g)
+    return {k: g.spark.read.schema(schema_of(k)).parquet(f"{root}/objects/{k}") for k in SCHEMAS}
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -190,6 +199,29 @@ _register(
 )
 
 
+
+
+def _round_trip(g: Graph, _) -> DataFrame:
+    """The objects, written as a snapshot folder and read back: their number by kind, and rows that differ."""
+    spark = g.spark
+    made, path = stored_snapshot(g), f"{scratch_dir(spark)}/snapshot"
+    sinks.write_snapshot(made, path, format="json")
+    lines = lambda df: df.select(F.to_json(F.struct(*df.columns)).alias("line"))
+    parts = []
+    for kind, back in read_snapshot(spark, path, format="json").items():
+        signed = lines(made[kind]).withColumn("s", F.lit(1)).unionByName(lines(back).withColumn("s", F.lit(-1)))
+        per_line = signed.groupBy("line").agg(F.sum("s").alias("d"), F.count_if(F.col("s") > 0).alias("n"))
+        parts.append(per_line.agg(F.lit(kind).alias("kind"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.abs("d")), F.lit(0)).alias("differing")))
+    return union_all(parts).where("n > 0")
+
+
+_register(
+    "q_cluster_snapshot_round_trip",
+    _round_trip,
+    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{x}' AS kind, count(*) AS n, 0 AS differing FROM {t}" for x, t in _COUNTS.items() if x in SCHEMAS) + ") WHERE n > 0",
+)
+
+
 def _question(name: str, sql: str, **arguments) -> None:
     _register(f"q_cluster_{name}", lambda g, _: QUESTIONS[name](g, **arguments), sql)
 

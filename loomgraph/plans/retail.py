@@ -763,6 +763,17 @@ def q_content_hash(g: Graph) -> DataFrame:
     return quality.content_hash(quality.canonical_nodes(g.nodes()), quality.canonical_edges(g.all_edges()))
 
 
+@query("SELECT (SELECT sum(n) FROM (" + _NODE_COUNTS + "))::BIGINT AS node_count, (SELECT sum(n) FROM (" + _EDGE_COUNTS + "))::BIGINT AS edge_count, true AS same, false AS other")
+def q_content_hash_compare(g: Graph) -> DataFrame:
+    """The hash stays when the rows are dealt anew and changes with one edge type less."""
+    lines, links = quality.canonical_nodes(g.nodes()), quality.canonical_edges(g.all_edges())
+    whole = quality.content_hash(lines, links).select("node_count", "edge_count", F.col("graph_hash").alias("_a"))
+    again = quality.content_hash(lines.repartition(7, "line"), links.repartition(5, "dst")).select(F.col("graph_hash").alias("_b"))
+    less = quality.content_hash(lines, links.where("rel <> 'PartOf'")).select(F.col("graph_hash").alias("_c"))
+    # three single rows
+    return whole.crossJoin(again).crossJoin(less).select("node_count", "edge_count", (F.col("_a") == F.col("_b")).alias("same"), (F.col("_a") == F.col("_c")).alias("other"))
+
+
 @query("WITH d AS (SELECT CAST(ts AS DATE) AS batch_ts, count(*) AS v FROM events GROUP BY 1) SELECT CAST(batch_ts AS VARCHAR) AS batch_ts, v AS value, "
        "array_to_string(list(v) OVER (ORDER BY batch_ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), ',') AS history FROM d")
 def q_pulse_history(g: Graph) -> DataFrame:
