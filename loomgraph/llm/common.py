@@ -58,6 +58,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
+def set_aside(df: DataFrame, *kept: str) -> DataFrame:
+    """``kept`` and, in one struct ``_rest``, all other columns, so that none has a name that an operator uses."""
+    rest = [f"`{c}`" for c in df.columns if c not in kept]
+    return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys(kept)], *[F.struct(*rest).alias("_rest")] * bool(rest))
+
+
+def put_back(columns: list[str], *kept: str) -> list[Column]:
+    """The columns that ``set_aside`` was given, under their names."""
+    return [F.col(f"`{c}`" if c in kept else f"_rest.`{c}`").alias(c) for c in columns]
+
+
 def two_hashes(col: Column) -> list[Column]:
     """128 bits as two longs from differently seeded hashes; 64 would collide at 10^12 keys."""
     return [F.xxhash64(col), F.xxhash64(F.lit(1), col)]

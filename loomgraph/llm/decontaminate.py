@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import drop_dir, materialize, write_table
+from loomgraph.llm.common import drop_dir, materialize, put_back, set_aside, write_table
 
 WINDOW = 13
 SHARD_BITS = 20
@@ -298,7 +298,8 @@ def find_benchmark(
     dropped, so that one block is held at a time, on the driver and on the executors.
     """
     spark = docs.sparkSession
-    plain = docs.drop("n_words", "n_hit", "items", "spans")
+    columns = docs.drop("n_words", "n_hit", "items", "spans").columns
+    plain = set_aside(docs.select(*[F.col(f"`{c}`") for c in columns]), text_col)
     out = plain.select(
         *[F.col(f"`{c}`") for c in plain.columns],
         F.expr("cast(null as bigint) as n_words"),
@@ -319,8 +320,8 @@ def find_benchmark(
                 drop_dir(spark, before)
             before = path
     out = _spans(out, text_col)
-    keep = [c for c in plain.columns if keep_text or c != text_col]
-    return out.select(*[F.col(f"`{c}`") for c in keep], "n_words", F.col("_n_hit").alias("n_hit"), "items", "spans")
+    keep = [c for c in columns if keep_text or c != text_col]
+    return out.select(*put_back(keep, text_col), "n_words", F.col("_n_hit").alias("n_hit"), "items", "spans")
 
 
 def _search(docs: DataFrame, text_col: str, block) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import TRIM_CHARS, ascii_lower, join_hot, materialize, two_hashes
+from loomgraph.llm.common import TRIM_CHARS, ascii_lower, join_hot, materialize, put_back, set_aside, two_hashes
 
 
 def lines_of(text: Column) -> Column:
@@ -35,7 +35,7 @@ def dedup_lines(
     ``min_docs`` distinct documents loses all its lines, except in the smallest ``id_col`` holding it.
 
     Returns the columns of ``docs`` plus ``kept_text``, ``n_lines`` (before) and ``n_dropped``; columns
-    of these names in the input are replaced.
+    of these names in the input are replaced, others may have any name.
 
     Null text: one empty line, nothing dropped, ``kept_text`` ''. Null ids together are one document,
     sorted after all others. Rows that repeat an id are one document: a key repeated only among them
@@ -81,8 +81,8 @@ def dedup_lines(
         .agg(F.collect_set("_pos").alias("_dropped")),
         "dropped-lines",
     )
-    plain = docs.drop("kept_text", "n_lines", "n_dropped")
-    keyed = plain.withColumn("_row_of_text", F.xxhash64(F.col(text_col)))
+    columns = docs.drop("kept_text", "n_lines", "n_dropped").columns
+    keyed = set_aside(docs.select(*[F.col(f"`{c}`") for c in columns]), id_col, text_col).withColumn("_row_of_text", F.xxhash64(F.col(text_col)))
     both = keyed.join(
         dropped,
         keyed[id_col].eqNullSafe(dropped["_id"]) & (keyed["_row_of_text"] == dropped["_row"]),
@@ -91,12 +91,14 @@ def dedup_lines(
     n = F.size("_lines")
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_dropped"))
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
-    return both.select(
-        *[F.col(f"`{c}`") for c in plain.columns],
+    # in two steps: beside columns of any name, a lambda's names could be taken for theirs
+    made = both.select(
+        *keyed.drop("_row_of_text").columns,
         F.when(F.col("_dropped").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept).alias("kept_text"),
         n.cast("long").alias("n_lines"),
         F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long").alias("n_dropped"),
     )
+    return made.select(*put_back(columns, id_col, text_col), "kept_text", "n_lines", "n_dropped")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

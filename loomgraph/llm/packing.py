@@ -115,7 +115,9 @@ def token_pieces(
     """One row per piece: ``id_col``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if asked for, ``ids``.
 
     A document is its ids and ``end_id``. One of over ``size`` ids is cut into pieces of ``size``, of which
-    the first may be shorter. Null and empty texts are ``end_id`` alone.
+    the first may be shorter. Null and empty texts are ``end_id`` alone; repeated rows are told in full each;
+    an empty table gives an empty table. Texts are encoded whole, however long. Of the input only the id
+    and the text are read, so other columns may have any name.
     """
     import public_tokenizers
 

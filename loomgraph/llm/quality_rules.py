@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import let, words_of
+from loomgraph.llm.common import let, put_back, set_aside, words_of
 
 SYMBOLS = "#*$%&|<>"
 SYMBOL = f"[{SYMBOLS}]"
@@ -101,7 +101,8 @@ def apply_quality_rules(docs: DataFrame, text_col: str = "text", *, min_kept: fl
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
              "n_lines_removed", "clean_text", "kept"]
-    plain = docs.drop(*added)
+    columns = docs.drop(*added).columns
+    plain = set_aside(docs.drop(*added), text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     has_word = lambda lines: F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     of_words = let(
@@ -143,7 +144,7 @@ def apply_quality_rules(docs: DataFrame, text_col: str = "text", *, min_kept: fl
     )
     enough = F.char_length("clean_text") >= min_kept * F.char_length(text)
     return judged.withColumn("kept", ~F.col("base_failed") & enough).select(
-        *[F.col(f"`{c}`") for c in [*plain.columns, *added]]
+        *put_back(columns, text_col), *added
     )
 
 
