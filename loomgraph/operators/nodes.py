@@ -144,11 +144,11 @@ def kinds_with_repeated_uids(snapshot: dict[str, DataFrame]) -> set[str]:
     return {r[0] for r in again.select(F.explode("kinds")).distinct().collect()}  # names of kinds
 
 
-def node_tables(snapshot: dict[str, DataFrame], derived: Derived, repeated: set[str] | None = None) -> dict[str, DataFrame]:
-    """All node tables by label, each uid once. ``repeated`` names the kinds where uids come again; None: any may."""
-    tables = {k: observed_nodes(k, df, unique=repeated is not None and k not in repeated) for k, df in snapshot.items() if k != "Cluster"}
-    if repeated is None or repeated:
-        tables = one_label_per_uid(tables)
+def node_tables(snapshot: dict[str, DataFrame], derived: Derived, repeated: set[str]) -> dict[str, DataFrame]:
+    """All node tables by label, each uid once. ``repeated`` names the kinds where uids come again."""
+    tables = {k: observed_nodes(k, df, unique=k not in repeated) for k, df in snapshot.items() if k != "Cluster"}
+    if repeated:
+        tables |= one_label_per_uid({k: t for k, t in tables.items() if k in repeated})
     tables["Cluster"] = cluster_node(snapshot["Cluster"])
     links = {"pod_uid", "ingress_uid", "slice_uid", "endpoint_uid", "e"}
     found = {"Container": derived.containers, "Host": derived.hosts, "IngressServiceBackend": derived.backends,
@@ -167,7 +167,7 @@ def build_graph(snapshot: dict[str, DataFrame], *, compat: bool = False, store:
     """The graph of a snapshot, and what was rejected: ``(rule, kind, uid)``.
 
     With ``store``, a path, the objects, the nodes and the edges are written there and read back, which keeps
-    later plans short; else all is lazy. Rejected are objects without uid, references that lead nowhere
+    later plans short; else all is lazy but for a look at the uids. Rejected are objects without uid, references that lead nowhere
     and edges whose triple the schema doesn't have.
     """
     from loomgraph.operators import edges as rules
@@ -179,10 +179,9 @@ def build_graph(snapshot: dict[str, DataFrame], *, compat: bool = False, store:
     derived = derive(snapshot)
     derived.endpoints = keep(derived.endpoints, "endpoints")
     derived.addresses = addresses(derived.endpoints)
-    repeated = kinds_with_repeated_uids(snapshot) if store else None
+    repeated = kinds_with_repeated_uids(snapshot)
     tables = node_tables(snapshot, derived, repeated)
-    if repeated:
-        tables = {k: keep(t, f"tables/{k}") for k, t in tables.items()}
+    tables |= {k: keep(tables[k], f"tables/{k}") for k in repeated}
     nodes = keep(union_all([t.select("uid", "name", "namespace", F.lit(x).alias("label")) for x, t in tables.items()]), "identities")
     found = rules.build_edges(snapshot, derived, nodes, compat=compat)
     graph = Graph(tables, dict.fromkeys(SCHEMA_TRIPLES), keep(found.edges, "edges"))
