@@ -318,9 +318,10 @@ class _Path:
         self.rel_keys: dict[str, dict[str, str]] = {}
         self.df: DataFrame | None = None
         self._count, self._edges = 0, []
-        here = self._start(nodes[0], bool(hops))
+        among = self._labels(nodes, hops)
+        here = self._start(nodes[0], bool(hops), among[0])
         for i, hop in enumerate(hops):
-            here = self._hop(nodes[i], here, hop, nodes[i + 1], i)
+            here = self._hop(nodes[i], here, hop, nodes[i + 1], i, among[i + 1])
         if unique_edges:
             for i, a in enumerate(self._edges):
                 for b in self._edges[:i]:
@@ -330,8 +331,18 @@ class _Path:
         self._count += 1
         return f"_p{self._count}"
 
-    def _scan(self, node: Node, name: str) -> DataFrame:
-        table = self.graph.nodes(node.label)
+    def _labels(self, nodes: list[Node], hops: list[Hop]) -> list[set[str] | None]:
+        """For each node the labels that the hops beside it leave, so that a node without a label scans the
+        tables of those only; None where all are left, or none (no rows then, whatever is scanned)."""
+        left: list[set[str] | None] = [None] * len(nodes)
+        for i, hop in enumerate(hops):
+            ends = self.graph.end_labels(hop.type, hop.direction, nodes[i].label, nodes[i + 1].label)
+            for j, found in zip((i, i + 1), ends, strict=True):
+                left[j] = found if left[j] is None else left[j] & found
+        return [(x & self.graph.node_tables.keys()) or None if x is not None else None for x in left]
+
+    def _scan(self, node: Node, name: str, among: set[str] | None) -> DataFrame:
+        table = self.graph.nodes(node.label, among)
         return table.select(*[F.col(c).alias(f"{name}__{c}") for c in table.columns])
 
     def _needs_scan(self, node: Node) -> bool:
@@ -342,12 +353,12 @@ class _Path:
         self.variables += (Var(node.var, fields),)
         self.keys[node.var] = f"{name}__uid"
 
-    def _start(self, node: Node, more: bool) -> str:
+    def _start(self, node: Node, more: bool, among: set[str] | None) -> str:
         """The column with the first node's uid; for an unnamed or bound first node the edge will give it."""
         if more and not self._needs_scan(node):
             return ""
         name = node.var if self._needs_scan(node) else self._name()
-        self.df = self._scan(node, name)
+        self.df = self._scan(node, name, among)
         if node.var is not None:
             if self._needs_scan(node):
                 self._bind(node, name, self.df)
@@ -355,7 +366,7 @@ class _Path:
                 self.keys[node.var] = f"{name}__uid"
         return f"{name}__uid"
 
-    def _hop(self, left: Node, here: str, hop: Hop, right: Node, number: int) -> str:
+    def _hop(self, left: Node, here: str, hop: Hop, right: Node, number: int, among: set[str] | None) -> str:
         step, e = self._oriented(left.label, hop, right.label), f"_e{number}"
         step = step.select(*[F.col(c).alias(f"{e}{c}") for c in ("from", "to", "t", "sl", "dl", "s", "d")])
         if self.df is None:
@@ -377,7 +388,7 @@ class _Path:
         if right.var is not None and right.var in self.keys:  # met before in this pattern: close the cycle
             self.df = self.df.where(F.col(there) == F.col(self.keys[right.var]))
         elif self._needs_scan(right):
-            scan = self._scan(right, right.var)
+            scan = self._scan(right, right.var, among)
             self.df = self.df.join(scan, F.col(there) == F.col(f"{right.var}__uid"))
             self._bind(right, right.var, scan)
         elif right.var is not None:

@@ -154,12 +154,14 @@ class Graph:
             if t.lower() not in known:
                 raise ValueError(f"unknown edge type: {t}")
 
-    def nodes(self, label: str | None = None) -> DataFrame:
-        """The nodes of a label with their properties, or all nodes with the common columns and ``props``."""
+    def nodes(self, label: str | None = None, among: Iterable[str] | None = None) -> DataFrame:
+        """The nodes of a label with their properties, or all nodes, or those of the labels ``among``, with the
+        common columns and ``props``."""
         self.check_label(label)
         if label is not None:
             return self.node_tables[label].withColumn("label", F.lit(label))
-        return union_all([self._common(x) for x in self.node_tables])
+        kept = set(self.node_tables if among is None else among)
+        return union_all([self._common(x) for x in self.node_tables if x in kept])
 
     def _common(self, label: str) -> DataFrame:
         table = self.node_tables[label]
@@ -170,6 +172,22 @@ class Graph:
             props = F.to_json(F.struct(*more)) if more else F.lit("{}")
         return table.select(*NODE_COLUMNS, F.lit(label).alias("label"), props.alias("props"))
 
+    def _allowed(self, types: str | list[str] | None, src_label: str | None, dst_label: str | None) -> list[Triple]:
+        wanted = None if types is None else {t.lower() for t in ([types] if isinstance(types, str) else types)}
+        return [
+            (s, t, d)
+            for s, t, d in self.edge_tables
+            if (wanted is None or t.lower() in wanted) and src_label in (None, s) and dst_label in (None, d)
+        ]
+
+    def end_labels(
+        self, types: str | list[str] | None, direction: str, left: str | None, right: str | None
+    ) -> tuple[set[str], set[str]]:
+        """The labels that either end of a hop can have; types match as in ``edges``."""
+        out = [(s, d) for s, _, d in self._allowed(types, left, right)] if direction != "in" else []
+        back = [(d, s) for s, _, d in self._allowed(types, right, left)] if direction != "out" else []
+        return {x for x, _ in out + back}, {x for _, x in out + back}
+
     def edges(
         self, types: str | list[str] | None = None, src_label: str | None = None, dst_label: str | None = None
     ) -> DataFrame | None:
@@ -177,17 +195,12 @@ class Graph:
 
         Type names match without regard to case.
         """
-        wanted = None if types is None else {t.lower() for t in ([types] if isinstance(types, str) else types)}
-        chosen = [
-            (s, t, d)
-            for s, t, d in self.edge_tables
-            if (wanted is None or t.lower() in wanted) and src_label in (None, s) and dst_label in (None, d)
-        ]
+        chosen = self._allowed(types, src_label, dst_label)
         if not chosen:
             return None
         if self.edge_table is not None:
             out = self.edge_table
-            for column, i, given in (("etype", 1, wanted), ("src_label", 0, src_label), ("dst_label", 2, dst_label)):
+            for column, i, given in (("etype", 1, types), ("src_label", 0, src_label), ("dst_label", 2, dst_label)):
                 if given is not None:
                     out = out.where(F.col(column).isin(*sorted({t[i] for t in chosen})))
             return out

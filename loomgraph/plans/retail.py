@@ -36,10 +36,12 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, *, text_ids: bool = False):
+    """Register a query over the graph with numbers for ids, or with texts, for what is stored or shown by id."""
+
     def register(f):
         name = f.__name__
-        _QUERIES[name] = lambda spark, sf_dir: f(retail_graph(spark, sf_dir))
+        _QUERIES[name] = lambda spark, sf_dir: f(retail_graph(spark, sf_dir, text_ids=text_ids))
         if sql:
             _SQL[name] = sql
         return f
@@ -47,11 +49,22 @@ def query(sql: str | None = None):
     return register
 
 
-def uid(label: str, key: str) -> Column:
+#: The label's number stands in the last bits of a numeric id.
+LABEL_BITS = 3
+LABEL_NUMBERS = {"Region": 0, "Nation": 1, "Customer": 2, "Supplier": 3, "Part": 4, "Order": 5, "Event": 6}
+
+
+def text_id(label: str, key: str) -> Column:
     return F.concat(F.lit(f"{label}:"), F.col(key).cast("string"))
 
 
-def retail_graph(spark: SparkSession, sf_dir: str) -> Graph:
+def number_id(label: str, key: str) -> Column:
+    """One long that no node of another label has: joins hash and shuffle it instead of a text."""
+    return F.shiftleft(F.col(key).cast("long"), LABEL_BITS) + F.lit(LABEL_NUMBERS[label]).cast("long")
+
+
+def retail_graph(spark: SparkSession, sf_dir: str, *, text_ids: bool = False) -> Graph:
+    uid = text_id if text_ids else number_id
     t = {x: spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in "region nation customer supplier part orders lineitem events".split()}
 
     def table_of(label: str, table: str, key: str, name: str | None, namespace: Column | None = None, **props: str) -> DataFrame:
@@ -93,8 +106,8 @@ def retail_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def key_of(v) -> Column:
-    """The number in a node's uid."""
-    return F.substring_index(v["uid"], ":", -1).cast("long")
+    """The table's key in a node's numeric id."""
+    return F.shiftright(v["uid"], LABEL_BITS)
 
 
 def rows_counted() -> dict[str, Column]:
@@ -171,7 +184,7 @@ def q_path3_region_orders(g: Graph) -> DataFrame:
 def q_shared_part_customers(g: Graph) -> DataFrame:
     rows = Rows(g).match(Node("o", "Order"), Hop("Contains"), Node("p", "Part"), where=lambda v: v.p["size"] == 7)
     rows = rows.match(Node("c", "Customer"), Hop("Manages"), Node("o"), where=lambda v: v.o["status"] == "O")
-    return rows.returns(lambda v: {"customer": F.substring_index(v.c["uid"], ":", -1).cast("long")}, rows_counted())
+    return rows.returns(lambda v: {"customer": key_of(v.c)}, rows_counted())
 
 
 @query(f"WITH e AS ({ORDERS}) SELECT a.l_partkey AS part, count(*) AS pairs FROM e a JOIN e b ON a.l_partkey = b.l_partkey "
@@ -179,7 +192,7 @@ def q_shared_part_customers(g: Graph) -> DataFrame:
 def q_unique_edges(g: Graph) -> DataFrame:
     # pairs of different edges into a part are only counted, so their number follows from that of the edges
     rows = Rows(g).match(Node(label="Order"), Hop("Contains"), Node("p", "Part"))
-    rows = rows.with_(lambda v: {"part": F.substring_index(v.p["uid"], ":", -1).cast("long")}, rows_counted(), where=lambda v: F.col("n") > 1)
+    rows = rows.with_(lambda v: {"part": key_of(v.p)}, rows_counted(), where=lambda v: F.col("n") > 1)
     return rows.returns({"part": F.col("part"), "pairs": F.col("n") * (F.col("n") - 1)})
 
 
@@ -194,7 +207,7 @@ def q_cross_match(g: Graph) -> DataFrame:
        "JOIN part ON l_partkey = p_partkey WHERE o_custkey = c_custkey)")
 def q_first_match(g: Graph) -> DataFrame:
     rows = Rows(g).match(Node("c", "Customer")).match(Node("c"), Hop("Manages"), Node(label="Order"), Hop("Contains"), Node(label="Part"))
-    return rows.returns(lambda v: {"customer": F.substring_index(v.c["uid"], ":", -1).cast("long")})
+    return rows.returns(lambda v: {"customer": key_of(v.c)})
 
 
 @query("SELECT count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN nation ON c_nationkey = n_nationkey")
@@ -217,15 +230,14 @@ def q_cycle_close_all(g: Graph) -> DataFrame:
     """Customer, order, part, supplier, nation and back to the customer, over all rows."""
     rows = Rows(g).match(Node("n", "Nation"), Hop("BelongsTo", "in"), Node("c", "Customer"), Hop("Manages"), Node(label="Order"), Hop("Contains"), Node("p", "Part"))
     rows = rows.match(Node("p"), Hop("Supplies", "in"), Node("s", "Supplier"), Hop("BelongsTo"), Node("n"))
-    return rows.returns(lambda v: {"customer": F.substring_index(v.c["uid"], ":", -1).cast("long")}, rows_counted())
+    return rows.returns(lambda v: {"customer": key_of(v.c)}, rows_counted())
 
 
 @query("SELECT c_custkey AS customer, o_orderkey AS orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 400000")
 def q_bound_relationship(g: Graph) -> DataFrame:
     rows = Rows(g).match(Node("c", "Customer"), Hop("Manages", var="r"), Node("o", "Order"), where=lambda v: v.o["totalprice"] > 400000)
     rows = rows.match(Node("c"), Hop("Manages", var="r"), Node("o"))
-    key = lambda x: F.substring_index(x["uid"], ":", -1).cast("long")
-    return rows.returns(lambda v: {"customer": key(v.c), "orderkey": key(v.o)})
+    return rows.returns(lambda v: {"customer": key_of(v.c), "orderkey": key_of(v.o)})
 
 
 # ---- optional, exists ------------------------------------------------------------------------------------
@@ -260,7 +272,7 @@ def q_exists_where(g: Graph) -> DataFrame:
     rows = Rows(g).match(Node("c", "Customer")).exists(
         Node("c"), Hop("Manages"), Node("o", "Order"), where=lambda v: (v.o["totalprice"] > v.c["acctbal"] * 40) & (v.o["status"] == "F")
     )
-    return rows.returns(lambda v: {"customer": F.substring_index(v.c["uid"], ":", -1).cast("long")})
+    return rows.returns(lambda v: {"customer": key_of(v.c)})
 
 
 @query("SELECT o_orderkey AS orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -350,7 +362,7 @@ def q_with_limit_where_compat(g: Graph) -> DataFrame:
 @query("SELECT DISTINCT c_mktsegment AS segment, n_regionkey AS region FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def q_distinct(g: Graph) -> DataFrame:
     rows = Rows(g).match(Node("c", "Customer"), Hop("BelongsTo"), Node(label="Nation"), Hop("PartOf"), Node("r", "Region"))
-    return rows.returns(lambda v: {"segment": v.c["segment"], "region": F.substring_index(v.r["uid"], ":", -1).cast("int")}, distinct=True)
+    return rows.returns(lambda v: {"segment": v.c["segment"], "region": key_of(v.r).cast("int")}, distinct=True)
 
 
 @query("SELECT o_orderkey AS orderkey, o_totalprice AS price FROM orders ORDER BY price DESC, orderkey LIMIT 10")
@@ -362,7 +374,7 @@ def q_topk(g: Graph) -> DataFrame:
 @query("SELECT c_custkey AS customer FROM customer ORDER BY c_acctbal, c_custkey LIMIT 20 OFFSET 15")
 def q_skip_limit(g: Graph) -> DataFrame:
     rows = Rows(g).match(Node("c", "Customer"))
-    rows = rows.with_(lambda v: {"customer": F.substring_index(v.c["uid"], ":", -1).cast("long"), "bal": v.c["acctbal"]},
+    rows = rows.with_(lambda v: {"customer": key_of(v.c), "bal": v.c["acctbal"]},
                       order_by=[F.asc("bal"), F.asc("customer")], skip=15, limit=20)
     return rows.returns({"customer": F.col("customer")})
 
@@ -371,14 +383,14 @@ def q_skip_limit(g: Graph) -> DataFrame:
        "ORDER BY x ASC NULLS FIRST, part LIMIT 12")
 def q_null_order(g: Graph) -> DataFrame:
     rows = Rows(g).match(Node("p", "Part"))
-    return rows.returns(lambda v: {"part": F.substring_index(v.p["uid"], ":", -1).cast("long"), "x": F.when(v.p["size"] <= 40, v.p["size"])},
+    return rows.returns(lambda v: {"part": key_of(v.p), "x": F.when(v.p["size"] <= 40, v.p["size"])},
                         order_by=[F.asc("x"), F.asc("part")], limit=12)
 
 
 def params_query(g: Graph, segment: str, least: float) -> DataFrame:
     """Parameters are arguments."""
     rows = Rows(g).match(Node("c", "Customer"), where=lambda v: (v.c["segment"] == segment) & (v.c["acctbal"] >= least))
-    return rows.returns(lambda v: {"customer": F.substring_index(v.c["uid"], ":", -1).cast("long")})
+    return rows.returns(lambda v: {"customer": key_of(v.c)})
 
 
 @query("SELECT c_custkey AS customer FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 5000")
@@ -466,7 +478,7 @@ def q_compare_compat(g: Graph) -> DataFrame:
     a = F.when(F.col("p__size") % 3 != 0, F.col("p__size"))
     b = F.when(F.col("p__size") % 5 != 0, F.lit(20))
     made = {f.__name__: f(a, b, compat=True) for f in (X.eq, X.ne, X.lt, X.gt, X.le, X.ge)}
-    return rows.returns(lambda v: {"part": F.substring_index(v.p["uid"], ":", -1).cast("long"), **made})
+    return rows.returns(lambda v: {"part": key_of(v.p), **made})
 
 
 @query("WITH t AS (SELECT p_partkey AS part, p_size > 10 AS a, CASE WHEN p_size % 2 = 0 THEN p_size > 30 END AS b FROM part) SELECT part, a AND b AS both, a OR b AS either, "
@@ -474,7 +486,7 @@ def q_compare_compat(g: Graph) -> DataFrame:
 def q_bool_ops(g: Graph) -> DataFrame:
     rows = Rows(g).match(Node("p", "Part"))
     a, b = F.col("p__size") > 10, F.when(F.col("p__size") % 2 == 0, F.col("p__size") > 30)
-    return rows.returns(lambda v: {"part": F.substring_index(v.p["uid"], ":", -1).cast("long"), "both": X.and_(a, b), "either": X.or_(a, b), "neither": X.not_(b),
+    return rows.returns(lambda v: {"part": key_of(v.p), "both": X.and_(a, b), "either": X.or_(a, b), "neither": X.not_(b),
                                    "x": X.xor(a, b, compat=True), "n2": X.not_(b, compat=True)})
 
 
@@ -499,7 +511,7 @@ def q_string_pred(g: Graph) -> DataFrame:
        "coalesce(CASE WHEN p_size > 25 THEN CAST(p_size AS DOUBLE) END, 0) + 1 AS z FROM part")
 def q_arith(g: Graph) -> DataFrame:
     rows = Rows(g).match(Node("p", "Part"))
-    size, price, part = F.col("p__size"), F.col("p__price"), F.substring_index(F.col("p__uid"), ":", -1).cast("long")
+    size, price, part = F.col("p__size"), F.col("p__price"), key_of({"uid": F.col("p__uid")})
     return rows.returns({"part": part, "a": X.add(size, price), "s": X.subtract(size, price), "m": X.multiply(size, F.lit(2)), "d": F.round(X.divide(price, size - 10), 6),
                          "r": X.modulo(size, part % 7), "w": X.power(size, F.lit(2)), "g": X.negate(size), "z": X.add(F.when(size > 25, size), F.lit(1), compat=True)})
 
@@ -520,7 +532,7 @@ def q_list_comp(g: Graph) -> DataFrame:
     size = F.col("p__size")
     doubled = X.comprehension(F.array(size, size - 10, F.lit(5)), lambda x: x > 10, lambda x: x * 2)
     total = F.when(F.size(doubled) > 0, F.aggregate(doubled, F.lit(0), lambda a, x: a + x)).cast("bigint")
-    return rows.returns({"part": F.substring_index(F.col("p__uid"), ":", -1).cast("long"), "total": total, "n": X.size(doubled)})
+    return rows.returns({"part": key_of({"uid": F.col("p__uid")}), "total": total, "n": X.size(doubled)})
 
 
 @query("SELECT p_partkey AS part, len(list_filter(l, lambda x: x > 20)) > 0 AS a, len(list_filter(l, lambda x: x > 20)) = len(l) AS b, len(list_filter(l, lambda x: x > 20)) = 0 AS c, "
@@ -529,7 +541,7 @@ def q_quantifiers(g: Graph) -> DataFrame:
     rows = Rows(g).match(Node("p", "Part"))
     size = F.col("p__size")
     items, p = F.array(size, size - 10, F.lit(25)), lambda x: x > 20
-    return rows.returns({"part": F.substring_index(F.col("p__uid"), ":", -1).cast("long"), "a": X.any_(items, p), "b": X.all_(items, p), "c": X.none(items, p), "d": X.single(items, p)})
+    return rows.returns({"part": key_of({"uid": F.col("p__uid")}), "a": X.any_(items, p), "b": X.all_(items, p), "c": X.none(items, p), "d": X.single(items, p)})
 
 
 @query("SELECT p_partkey AS part, CAST(length(p_name) AS BIGINT) AS chars, coalesce(CASE WHEN p_size > 25 THEN p_brand END, p_type) AS c, CAST(p_size AS VARCHAR) AS s, "
@@ -538,7 +550,7 @@ def q_functions(g: Graph) -> DataFrame:
     rows = Rows(g).match(Node("p", "Part"))
     brand, size = F.col("p__brand"), F.col("p__size")
     return rows.returns(lambda v: {
-        "part": F.substring_index(v.p["uid"], ":", -1).cast("long"), "chars": X.size(v.p["name"], "string"), "c": F.coalesce(F.when(size > 25, brand), v.p["type"]),
+        "part": key_of(v.p), "chars": X.size(v.p["name"], "string"), "c": F.coalesce(F.when(size > 25, brand), v.p["type"]),
         "s": X.to_string(size), "i": X.to_integer(F.regexp_replace(brand, "[^0-9]", "")), "bad": X.to_integer(F.concat(brand, F.lit(" x")), compat=True),
         "f": X.to_float(F.substring(brand, 7, 20)), "label": F.get(X.labels(v.p["label"]), F.lit(0))})
 
@@ -546,7 +558,7 @@ def q_functions(g: Graph) -> DataFrame:
 @query("WITH t AS (SELECT p_partkey AS part, p_size AS n, p_partkey % 5 AS k FROM part) SELECT part, CASE k WHEN 0 THEN n WHEN 1 THEN n * 1024.0 WHEN 2 THEN round(n * 1000000 / 1048576.0, 6) "
        "WHEN 3 THEN round(n / 1000.0 / 1048576, 12) END AS mib, CASE k WHEN 0 THEN n WHEN 1 THEN n * 1024.0 ELSE 0 END AS old FROM t")
 def q_quantity(g: Graph) -> DataFrame:
-    part = F.substring_index(F.col("p__uid"), ":", -1).cast("long")
+    part = key_of({"uid": F.col("p__uid")})
     suffix = X.case_value(part % 5, [(F.lit(0), F.lit("Mi")), (F.lit(1), F.lit("Gi")), (F.lit(2), F.lit("M")), (F.lit(3), F.lit("m"))], F.lit("??"))
     text = F.concat(F.col("p__size").cast("string"), suffix)
     value = X.quantity(text, "Mi")
@@ -571,7 +583,7 @@ def order_versions(g: Graph) -> tuple[DataFrame, DataFrame]:
     return base.where(key != 1), base.where(key != 0).withColumn("resource_version", F.when(key == 2, "2").otherwise("1"))
 
 
-@query("SELECT 'Order:' || o_orderkey AS uid, 'Order' AS kind, CASE o_orderkey % 10 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'modified' END AS op FROM orders WHERE o_orderkey % 10 IN (0, 1, 2)")
+@query("SELECT 'Order:' || o_orderkey AS uid, 'Order' AS kind, CASE o_orderkey % 10 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'modified' END AS op FROM orders WHERE o_orderkey % 10 IN (0, 1, 2)", text_ids=True)
 def q_snapshot_diff(g: Graph) -> DataFrame:
     old, new = order_versions(g)
     return changes.snapshot_diff(new, old).select("uid", "kind", "op")
@@ -589,14 +601,14 @@ def edge_versions(g: Graph) -> tuple[DataFrame, DataFrame]:
     return e.where(key != 1), e.where(key != 0)
 
 
-@query("SELECT 'Customer:' || o_custkey AS src, 'Manages' AS etype, 'Order:' || o_orderkey AS dst, CASE o_orderkey % 10 WHEN 0 THEN 'removed' ELSE 'added' END AS op FROM orders WHERE o_orderkey % 10 IN (0, 1)")
+@query("SELECT 'Customer:' || o_custkey AS src, 'Manages' AS etype, 'Order:' || o_orderkey AS dst, CASE o_orderkey % 10 WHEN 0 THEN 'removed' ELSE 'added' END AS op FROM orders WHERE o_orderkey % 10 IN (0, 1)", text_ids=True)
 def q_edge_diff(g: Graph) -> DataFrame:
     old, new = edge_versions(g)
     return changes.edge_diff(new, old).select("src", "etype", "dst", "op")
 
 
 @query("SELECT 'node' AS what, 'Order:' || o_orderkey AS uid, CASE WHEN o_orderkey % 10 = 2 THEN '2' ELSE '1' END AS more FROM orders WHERE o_orderkey % 10 <> 0 "
-       "UNION ALL SELECT 'edge', 'Customer:' || o_custkey, 'Order:' || o_orderkey FROM orders WHERE o_orderkey % 10 <> 0")
+       "UNION ALL SELECT 'edge', 'Customer:' || o_custkey, 'Order:' || o_orderkey FROM orders WHERE o_orderkey % 10 <> 0", text_ids=True)
 def q_apply_diff(g: Graph) -> DataFrame:
     old, new = order_versions(g)
     old_edges, new_edges = edge_versions(g)
@@ -606,7 +618,7 @@ def q_apply_diff(g: Graph) -> DataFrame:
     )
 
 
-@query("SELECT 'Customer:' || c_custkey AS uid, CASE c_custkey % 10 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'modified' END AS op FROM customer WHERE c_custkey % 10 IN (0, 1, 3)")
+@query("SELECT 'Customer:' || c_custkey AS uid, CASE c_custkey % 10 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'modified' END AS op FROM customer WHERE c_custkey % 10 IN (0, 1, 3)", text_ids=True)
 def q_node_diff(g: Graph) -> DataFrame:
     """Nodes without a version are compared by their content: of ten one is gone, one new, one has another balance."""
     key = F.substring_index("uid", ":", -1).cast("long") % 10
@@ -618,7 +630,7 @@ def q_node_diff(g: Graph) -> DataFrame:
     return changes.node_diff(new, old).select("uid", "op")
 
 
-@query("SELECT 'Order:' || o_orderkey AS uid, CASE WHEN o_orderkey % 4 = 1 THEN '2' ELSE '1' END AS resource_version, count(*) AS n FROM orders GROUP BY ALL")
+@query("SELECT 'Order:' || o_orderkey AS uid, CASE WHEN o_orderkey % 4 = 1 THEN '2' ELSE '1' END AS resource_version, count(*) AS n FROM orders GROUP BY ALL", text_ids=True)
 def q_node_upsert(g: Graph) -> DataFrame:
     """Of the rows of a uid the last one stays."""
     first = g.node_tables["Order"].select("uid", "name", F.lit("1").alias("resource_version"), F.lit(1).alias("_at"))
@@ -627,7 +639,7 @@ def q_node_upsert(g: Graph) -> DataFrame:
     return out.groupBy("uid", "resource_version").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS n, count(*) AS same, count(DISTINCT o_custkey) AS hashes FROM orders")
+@query("SELECT count(*) AS n, count(*) AS same, count(DISTINCT o_custkey) AS hashes FROM orders", text_ids=True)
 def q_endpoint_hash(g: Graph) -> DataFrame:
     """The hash of an endpoint doesn't know the order of its addresses and zones, but does know the target."""
     none = F.lit(None).cast("string")
@@ -672,7 +684,7 @@ def _counted(vertices: DataFrame, links: DataFrame) -> DataFrame:
     return per(vertices, "node").unionByName(per(links, "edge"))
 
 
-@query(f"{_NODE_COUNTS} UNION ALL {_EDGE_COUNTS}")
+@query(f"{_NODE_COUNTS} UNION ALL {_EDGE_COUNTS}", text_ids=True)
 def q_graph_store(g: Graph) -> DataFrame:
     """Written to the store and read back, as vertices and edges of a directed graph."""
     path = f"{scratch_dir(g.spark)}/store"
@@ -681,7 +693,7 @@ def q_graph_store(g: Graph) -> DataFrame:
     return _counted(vertices.select(F.col("type").alias("name")), links.select(F.col("type").alias("name")))
 
 
-@query(f"{_NODE_COUNTS} UNION ALL {_EDGE_COUNTS}")
+@query(f"{_NODE_COUNTS} UNION ALL {_EDGE_COUNTS}", text_ids=True)
 def q_canonical_export(g: Graph) -> DataFrame:
     """The canonical lines, read back and parsed."""
     path = f"{scratch_dir(g.spark)}/canonical"
@@ -690,7 +702,7 @@ def q_canonical_export(g: Graph) -> DataFrame:
     return _counted(field("nodes", "$.labels[0]"), field("edges", "$.rel"))
 
 
-@query(f"{_NODE_COUNTS} UNION ALL {_EDGE_COUNTS} UNION ALL SELECT 'version', 'last', 0")
+@query(f"{_NODE_COUNTS} UNION ALL {_EDGE_COUNTS} UNION ALL SELECT 'version', 'last', 0", text_ids=True)
 def q_store_rebuild(g: Graph) -> DataFrame:
     """The fallback writes everything; an update with the same graph then finds nothing to do and writes no version."""
     store = GraphStore(g.spark, f"{scratch_dir(g.spark)}/versions")
@@ -701,20 +713,20 @@ def q_store_rebuild(g: Graph) -> DataFrame:
     return _counted(vertices.select(F.col("label").alias("name")), links.select(F.col("etype").alias("name"))).unionByName(last)
 
 
-@query(f"SELECT what, name FROM ({_NODE_COUNTS.replace(chr(39) + 'node' + chr(39), chr(39) + 'label' + chr(39))} UNION ALL {_EDGE_COUNTS}) WHERE n > 0")
+@query(f"SELECT what, name FROM ({_NODE_COUNTS.replace(chr(39) + 'node' + chr(39), chr(39) + 'label' + chr(39))} UNION ALL {_EDGE_COUNTS}) WHERE n > 0", text_ids=True)
 def q_metadata(g: Graph) -> DataFrame:
     return quality.metadata(g.nodes(), g.all_edges())
 
 
 @query("SELECT label, schema FROM (SELECT 'Customer' AS label, 'OBJECT<acctbal: DOUBLE, segment: STRING>' AS schema, count(*) AS n FROM customer "
-       "UNION ALL SELECT 'Supplier', 'OBJECT<acctbal: DOUBLE>', count(*) FROM supplier UNION ALL SELECT 'Event', 'OBJECT<k: BIGINT>', count(*) FROM events) WHERE n > 0")
+       "UNION ALL SELECT 'Supplier', 'OBJECT<acctbal: DOUBLE>', count(*) FROM supplier UNION ALL SELECT 'Event', 'OBJECT<k: BIGINT>', count(*) FROM events) WHERE n > 0", text_ids=True)
 def q_property_schema(g: Graph) -> DataFrame:
     """JSON numbers with and without a fraction meet in one type, so it is asked for as text of the merged schema."""
     found = quality.property_schema(g.nodes().where(F.col("label").isin("Customer", "Supplier", "Event")))
     return found.select("label", F.regexp_replace("schema", "DECIMAL\\([0-9,]+\\)", "DOUBLE").alias("schema"))
 
 
-@query("SELECT 'Customer:' || o_custkey AS src, 'Order:' || o_orderkey AS dst, CASE WHEN o_orderkey % 3 = 0 THEN 'Returned' ELSE 'Manages' END AS etype FROM orders")
+@query("SELECT 'Customer:' || o_custkey AS src, 'Order:' || o_orderkey AS dst, CASE WHEN o_orderkey % 3 = 0 THEN 'Returned' ELSE 'Manages' END AS etype FROM orders", text_ids=True)
 def q_edge_dedupe(g: Graph) -> DataFrame:
     first = g.edges("Manages").withColumn("ord", F.lit(1))
     again = first.where(F.substring_index("dst", ":", -1).cast("long") % 3 == 0).withColumns({"etype": F.lit("Returned"), "ord": F.lit(2)})
@@ -758,12 +770,12 @@ def q_property_count(g: Graph) -> DataFrame:
     return metrics.property_count(g.node_tables["Event"].select(F.lit("Event").alias("label"), F.col("props").alias("props_json")))
 
 
-@query()
+@query(text_ids=True)
 def q_content_hash(g: Graph) -> DataFrame:
     return quality.content_hash(quality.canonical_nodes(g.nodes()), quality.canonical_edges(g.all_edges()))
 
 
-@query("SELECT (SELECT sum(n) FROM (" + _NODE_COUNTS + "))::BIGINT AS node_count, (SELECT sum(n) FROM (" + _EDGE_COUNTS + "))::BIGINT AS edge_count, true AS same, false AS other")
+@query("SELECT (SELECT sum(n) FROM (" + _NODE_COUNTS + "))::BIGINT AS node_count, (SELECT sum(n) FROM (" + _EDGE_COUNTS + "))::BIGINT AS edge_count, true AS same, false AS other", text_ids=True)
 def q_content_hash_compare(g: Graph) -> DataFrame:
     """The hash stays when the rows are dealt anew and changes with one edge type less."""
     lines, links = quality.canonical_nodes(g.nodes()), quality.canonical_edges(g.all_edges())

@@ -189,3 +189,23 @@ def test_bound_node_is_checked_again(chain):
     assert names(r.match(Node("d", "Deployment")), "d") == [("alone",), ("deploy",)]
     assert names(r.match(Node("r", "ReplicaSet")), "d") == [("deploy",)]  # a null binding goes
     assert names(r.match(Node("d", "Pod")), "d") == []  # the label has to fit
+
+
+def test_a_node_without_label_scans_what_its_hops_allow(spark, chain):
+    assert chain.end_labels("manages", "out", None, None) == ({"Deployment", "ReplicaSet"}, {"ReplicaSet", "Pod"})
+    assert chain.end_labels("Links", "both", None, None) == ({"Pod"}, {"Pod"})
+    assert chain.end_labels("Manages", "in", "Pod", None) == ({"Pod"}, {"ReplicaSet"})
+    assert names(Rows(chain).match(Node("a"), Hop("Manages"), Node("b"), Hop("Manages"), Node("c")), "a", "b", "c") == [("deploy", "rs", "alpha")]
+    assert names(Rows(chain).match(Node("a"), Hop("Manages", "both"), Node("p", "Pod")), "a", "p") == [("rs", "alpha"), ("rs2", "beta")]
+    assert names(Rows(chain).match(Node("a"), Hop(), Node("b")), "a", "b") == sorted(
+        [("deploy", "rs"), ("rs", "alpha"), ("rs2", "beta"), ("gamma", "gamma"), ("gamma", "alpha")], key=str)
+    # no edge of the type into that label: no rows, whatever is scanned
+    assert names(Rows(chain).match(Node("a"), Hop("Sees"), Node("b", "Deployment")), "a") == []
+
+
+def test_unlabelled_ends_leave_other_tables_unread(spark):
+    from loomgraph.plans import retail
+
+    plan = retail.queries()["q_hop_both"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "c_custkey" in plan and "s_suppkey" in plan
+    assert not any(x in plan for x in ("o_orderkey", "p_partkey", "event_id"))

@@ -69,3 +69,17 @@ def test_unique_edges_makes_no_pairs(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and plan.count("l_linenumber") == 1  # edges meet their parts, not each other
     assert got.count() and got.where("pairs < 2").isEmpty()
+
+
+def test_patterns_join_on_numbers(spark):
+    from loomgraph.plans import retail
+
+    g, named = retail.retail_graph(spark, SF), retail.retail_graph(spark, SF, text_ids=True)
+    assert {t.schema["uid"].dataType.typeName() for t in g.node_tables.values()} == {"long"}
+    assert {t.schema[c].dataType.typeName() for t in g.edge_tables.values() for c in ("src", "dst")} == {"long"}
+    ids = g.nodes().select("uid")
+    assert ids.distinct().count() == ids.count() == named.nodes().select("uid").distinct().count()
+    for label, key in (("Order", "o_orderkey"), ("Customer", "c_custkey")):
+        table = {"Order": "orders", "Customer": "customer"}[label]
+        keys = g.node_tables[label].select(retail.key_of({"uid": g.node_tables[label]["uid"]}).alias(key))
+        assert keys.exceptAll(spark.read.parquet(f"{SF}/{table}.parquet").select(key)).isEmpty()
