@@ -13,6 +13,7 @@ from loomgraph.llm import (
     secret_scan,
     sharding,
     toxicity,
+    warc,
 )
 
 
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_sharding": sharding.op8_sharding,
         "op9_secret_scan": secret_scan.op9_secret_scan,
         "op10_html_extraction": html_extract.op10_html_extraction,
+        "op12_warc": warc.op12_warc,
     }
 
 
@@ -39,4 +41,5 @@ def oracle_sql() -> dict:
         "op5_near_dedup": near_dedup.OP5_SQL,
         "op8_sharding": sharding.OP8_SQL,
         "op9_secret_scan": secret_scan.OP9_SQL,
+        "op12_warc": warc.OP12_SQL,
     }
