@@ -197,12 +197,14 @@ def write_archives(
 
 
 def _name_archives(spark: SparkSession, path: str) -> None:
-    """Give the committed files their ending; ``read_archives`` reads them under either name."""
+    """Give the committed files their ending; ``read_archives`` reads them under either name. Empty ones go."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for found in files.listStatus(there):
         name = found.getPath().getName()
-        if name.startswith("part-") and name.endswith(".txt"):
+        if not found.getLen():  # of a task without rows
+            files.delete(found.getPath(), False)
+        elif name.startswith("part-") and name.endswith(".txt"):
             files.rename(found.getPath(), found.getPath().getParent().suffix(f"/{name[:-4]}.warc.zst"))
 
 
@@ -210,19 +212,19 @@ def frames_of(data: memoryview) -> Iterator[tuple[int, memoryview, bool]]:
     """(offset, frame, whether it is skippable) of a file, by the sizes in block headers, without decompressing."""
     at = 0
     while at < len(data):
-        if (int.from_bytes(data[at : at + 4], "little") & 0xFFFFFFF0) == 0x184D2A50:
+        skippable = int.from_bytes(data[at : at + 4], "little") & 0xFFFFFFF0 == 0x184D2A50
+        if skippable:
             end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
-            yield at, data[at:end], True
         else:
             end, last = at + zstandard.frame_header_size(data[at : at + 18]), 0
-            while not last:
+            while not last and end < len(data):
                 block = int.from_bytes(data[end : end + 3], "little")
                 last, kind = block & 1, block >> 1 & 3
                 end += 3 + (1 if kind == 1 else block >> 3)
             end += 4 * zstandard.get_frame_parameters(data[at : at + 18]).has_checksum
-            yield at, data[at:end], False
         if end > len(data):
-            raise ValueError(f"the frame at {at} ends beyond the file")
+            raise ValueError(f"the frame at {at} goes beyond the file")
+        yield at, data[at:end], skippable
         at = end
 
 

@@ -71,7 +71,7 @@ def test_dictionary_is_trained_and_helps(spark):
     assert dictionary[:4] == b"\x37\xa4\x30\xec"  # a trained one has this magic number
     page = PAGE.replace("paragraph", "word999 of").encode()
     with_it = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).compress(page)
-    assert 2 * len(with_it) < len(zstandard.ZstdCompressor().compress(page))
+    assert 1.5 * len(with_it) < len(zstandard.ZstdCompressor().compress(page))
 
 
 def test_empty_and_null_tables(spark, tmp_path):
