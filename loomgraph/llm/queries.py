@@ -9,6 +9,7 @@ from loomgraph.llm import (
     near_dedup,
     packing,
     pii,
+    prefix_trie,
     quality_rules,
     secret_scan,
     sharding,
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op8_sharding": sharding.op8_sharding,
         "op9_secret_scan": secret_scan.op9_secret_scan,
         "op10_html_extraction": html_extract.op10_html_extraction,
+        "op11_conversation_trie": prefix_trie.op11_conversation_trie,
         "op12_warc": warc.op12_warc,
     }
 
@@ -41,5 +43,6 @@ def oracle_sql() -> dict:
         "op5_near_dedup": near_dedup.OP5_SQL,
         "op8_sharding": sharding.OP8_SQL,
         "op9_secret_scan": secret_scan.OP9_SQL,
+        "op11_conversation_trie": prefix_trie.OP11_SQL,
         "op12_warc": warc.OP12_SQL,
     }
