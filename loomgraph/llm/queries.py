@@ -13,6 +13,7 @@ from loomgraph.llm import (
     quality_rules,
     secret_scan,
     sharding,
+    token_alignment,
     toxicity,
     warc,
 )
@@ -32,6 +33,7 @@ def queries() -> dict:
         "op10_html_extraction": html_extract.op10_html_extraction,
         "op11_conversation_trie": prefix_trie.op11_conversation_trie,
         "op12_warc": warc.op12_warc,
+        "op13_token_alignment": token_alignment.op13_token_alignment,
     }
 
 
