@@ -23,6 +23,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +38,18 @@ A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k", "piece_bpe_32k"
 #: Bytes of a range of a long text; texts up to that are not cut.
 RANGE = 1 << 15
 #: Characters of text in a packet, about.
-PACKET = 4 << 20
+PACKET = 2 << 20
 #: Fragments that one task composes, one after the other, to one.
 FAN = 64
 #: Segments that a worker remembers before it starts afresh.
-MEMO = 400_000
+MEMO = 300_000
 
 #: Where a text may be cut: tokens of both sides end there.
 SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 ODD = re.compile(r"[^\S \n]").search
+INNER = re.compile(r"\s").search
+#: A group with more links than that isn't spelt out link by link.
+LARGE = 10_000
 
 
 # ---- fragments ------------------------------------------------------------------------------------------------
@@ -143,12 +147,17 @@ class Segments:
         with open(a_path, "rb") as f:
             ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
         self.a_bytes = dict(map(reversed, ranks.items()))
-        self.encode_a = tiktoken.Encoding("a", pat_str=a_pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("a", pat_str=a_pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encode_a, self.whole_a = encoding.encode_ordinary, encoding.encode_to_numpy
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if odd := [x for x in pieces if "\n" in x or re.search("[^▁]▁", x)]:
             raise ValueError(f"pieces that go on over a safe cut: {odd[:3]}")
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
+        self.a_size, self.b_size = np.zeros(max(self.a_bytes) + 1, np.int64), np.array([len(x) for x in self.b_bytes])
+        for i, x in self.a_bytes.items():
+            self.a_size[i] = len(x)
+        self.written = [f"{i}{x}".encode() for n, ends in ((len(self.a_size), ",|"), (len(self.b_size), ",;\n")) for x in ends for i in range(n)]
         self.forget()
 
     def forget(self) -> None:
@@ -194,10 +203,91 @@ class Segments:
         self.ok.append(ok)
         return len(self.texts) - 1
 
+    def encode_all(self, names: list[str], lead: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A for all segments, how many each has, and the same of B."""
+        plain = [i for i, x in enumerate(names) if not INNER(x)]
+        # a newline between them is a token of its own, so segments without white space are encoded in one call
+        text = "\n".join([lead + names[i] for i in plain])
+        ids = self.whole_a(text, allowed_special=set(), disallowed_special=()).astype(np.int64) if plain else np.zeros(0, np.int64)
+        at = np.cumsum(self.a_size[ids])
+        ends = np.cumsum([len((lead + names[i]).encode()) + 1 for i in plain]) - 1
+        upto = np.searchsorted(at, ends, "right")  # tokens up to a segment's end; the newline's follows
+        n_a = np.zeros(len(names), np.int64)
+        n_a[plain] = np.diff(upto, prepend=-1) - 1
+        ids = np.delete(ids, upto[:-1])
+        if len(plain) < len(names):
+            given = dict(zip(plain, np.split(ids, np.cumsum(n_a[plain])[:-1]), strict=True)) if plain else {}
+            for i in set(range(len(names))).difference(plain):
+                given[i] = np.array(self.encode_a(lead + names[i]), np.int64)
+                n_a[i] = len(given[i])
+            ids = np.concatenate([given[i] for i in range(len(names))])
+        skip = 0 if lead else 2  # tokens of a newline before it, which keeps B's own space away
+        found = self.b.encode(names if lead else ["\n" + x for x in names], num_threads=1)
+        n_b = np.fromiter(map(len, found), np.int64, len(found))
+        ids_b = np.fromiter(chain.from_iterable(found), np.int64, int(n_b.sum()))
+        if skip:
+            first = np.cumsum(n_b) - n_b
+            ids_b = np.delete(ids_b, np.concatenate([first, first + 1]))
+        return ids, n_a, ids_b, n_b - skip
+
     def learn(self, known: dict, names: set, lead: str) -> None:
+        """Number new segments, all at once; those with very large groups one by one (``add``)."""
         new = [x for x in names if x not in known]
-        for name, (tokens, ok) in zip(new, self.tokens([lead + x for x in new]) if new else [], strict=True):
-            known[name] = self.add(groups_of(tokens)[0] if ok else [], ok)
+        if not new:
+            return
+        raw = [(lead + x).encode() for x in new]
+        a, n_a, b, n_b = self.encode_all(new, lead)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        size_a, size_b = (_sums(sizes[ids], n) for sizes, ids, n in ((self.a_size, a, n_a), (self.b_size, b, n_b)))
+        good = (size_a == size) & (size_b == size)
+        joined = lambda ids, n, k, side: b"".join([side[i] for i in ids[np.repeat(k, n)].tolist()])
+        text = b"".join([x for x, k in zip(raw, good, strict=True) if k])
+        if joined(a, n_a, good, self.a_bytes) != text or joined(b, n_b, good, self.b_bytes) != text:
+            for i in np.flatnonzero(good):
+                one = np.arange(len(raw)) == i
+                good[i] = joined(a, n_a, one, self.a_bytes) == raw[i] == joined(b, n_b, one, self.b_bytes)
+        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+        end_a, end_b, ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), np.cumsum(size[good])
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        of_a, of_b, segment = np.searchsorted(common, end_a), np.searchsorted(common, end_b), np.searchsorted(ends, common)
+        in_a, in_b = np.bincount(of_a, minlength=len(common)), np.bincount(of_b, minlength=len(common))
+        large = np.zeros(len(ends), bool)
+        large[segment[in_a * in_b > LARGE]] = True
+        # links: each token of A with all tokens of B of its group
+        times = np.where(large[segment[of_a]], 0, in_b[of_a]) if len(a) else in_b[of_a]
+        first_b = np.cumsum(in_b) - in_b
+        place = np.repeat(first_b[of_a] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        codes, slots = np.unique(np.repeat(a, times) << 32 | b[place], return_inverse=True)
+        pairs = self.pairs
+        numbers = np.fromiter((pairs.setdefault(x, len(pairs)) for x in codes.tolist()), np.int64, len(codes))[slots]
+        links = np.bincount(np.repeat(segment[of_a], times), minlength=len(ends))
+        # groups as text: the tokens in order, each with what follows it
+        last_a, last_b = np.diff(of_a, append=-1) != 0, np.diff(of_b, append=-1) != 0
+        seg_end = np.diff(segment, append=-1) != 0
+        follows_b = np.where(last_b, np.where(seg_end[of_b], 2, 1), 0)
+        order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
+        written = np.concatenate([a + last_a * len(self.a_size), b + 2 * len(self.a_size) + follows_b * len(self.b_size)])[order]
+        texts = b"".join(map(self.written.__getitem__, written.tolist())).split(b"\n")
+        counts = [np.bincount(x, minlength=len(ends)) for x in (segment[of_a], segment[of_b], segment)]
+        where = np.full(len(raw), -1)
+        where[good] = np.arange(len(ends))
+        base = len(self.slots)
+        self.slots.frombytes(numbers.tobytes())
+        self.weights.frombytes(np.ones(len(numbers), np.int64).tobytes())
+        stats = np.zeros((len(raw), 4), np.int64)
+        stats[good] = np.stack([*counts, links], axis=1)
+        self.stats.frombytes(stats.tobytes())
+        per_name = np.zeros(len(raw), np.int64)
+        per_name[good] = links
+        self.ends.frombytes((base + np.cumsum(per_name)).tobytes())
+        begin = len(self.texts)
+        self.texts.extend([texts[k] if k >= 0 else b"" for k in where.tolist()])
+        self.ok.extend(good.tolist())
+        known.update(zip(new, range(begin, begin + len(new)), strict=True))
+        for i in np.flatnonzero(good):
+            if large[where[i]]:
+                ((tokens, ok),) = self.tokens([lead + new[i]])
+                known[new[i]] = self.add(groups_of(tokens)[0], ok)
 
     def numbers(self, texts: list[list[tuple[bool, list[str]]]]) -> list[list[int]]:
         """The numbers of the segments of texts, given as runs of (spaced, names)."""

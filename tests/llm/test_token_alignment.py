@@ -86,12 +86,12 @@ def long_texts():
     return [(100 + k, text(n)) for k, n in enumerate((30, 90, 200, 400))] + [(110, "word" * 700 + " " + text(20)), (111, text(60) + "▁" + text(60)), (112, " ".join(["same words"] * 200)), (112, " ".join(["same words"] * 200))]
 
 
-@pytest.mark.parametrize("range_size", [7, 40, 333, 1 << 15])
+@pytest.mark.parametrize("range_size", [7, 333, 1 << 15])
 def test_against_brute_force(spark, range_size):
     rows = ODD + long_texts()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     odd = docs.select("*", *[F.lit("x").alias(c) for c in ("row", "k", "pair", "n", "best", "packet", "n_a", "docs")])
-    assert Counter(map(tuple, m.align_tokens(odd, range_size=range_size, fan=3).collect())) == brute(rows)
+    assert Counter(map(tuple, m.align_tokens(odd, range_size=range_size, fan=4).collect())) == brute(rows)
 
 
 def test_empty_table(spark):
