@@ -38,11 +38,11 @@ A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k", "piece_bpe_32k"
 #: Bytes of a range of a long text; texts up to that are not cut.
 RANGE = 1 << 15
 #: Characters of text in a packet, about.
-PACKET = 2 << 20
+PACKET = 1 << 20
 #: Fragments that one task composes, one after the other, to one.
 FAN = 64
 #: Segments that a worker remembers before it starts afresh.
-MEMO = 300_000
+MEMO = 100_000
 
 #: Where a text may be cut: tokens of both sides end there.
 SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
@@ -528,9 +528,10 @@ def _short(docs: DataFrame, id_type: str, paths: tuple) -> DataFrame:
         for batch in batches:
             schema = schema or _schema(batch.schema.field(0).type)
             waiting, size = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                waiting.append((doc, runs_of(" " + text) if text else []))
-                size += len(text or "") + 64
+            for at in range(0, batch.num_rows, 64):  # a few texts at a time become Python's
+                for doc, text in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                    waiting.append((doc, runs_of(" " + text) if text else []))
+                    size += len(text or "") + 64
                 if size > PACKET:
                     yield _packed(packer, waiting, schema)
                     waiting, size = [], 0
