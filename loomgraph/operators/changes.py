@@ -37,13 +37,14 @@ def node_diff(current: DataFrame, previous: DataFrame, *, observed_labels: list[
     compared by their content, of which only a hash is shuffled. ``props`` is a JSON text column.
     """
     by_version = F.col("label").isin(*observed_labels) if observed_labels else F.col("resource_version").isNotNull()
-    content = F.xxhash64("name", "namespace", "props").cast("string")
+    more = ["typed"] if "typed" in current.columns and "typed" in previous.columns else []
+    content = F.xxhash64("name", "namespace", "props", *more).cast("string")
     mark = F.when(by_version, F.concat(F.lit("v"), F.coalesce("resource_version", F.lit("")))).otherwise(F.concat(F.lit("h"), content))
-    marked = lambda df: df.select("label", "uid", mark.alias("_mark"))
-    new, old = marked(current), marked(previous)
-    found = _diff(new, old, ["uid"], F.col("_new") != F.col("_old"))
-    label = new.unionByName(old).groupBy("uid").agg(F.max("label").alias("label"))
-    return found.join(label, "uid").select("label", "uid", "op")
+    side = lambda df, as_: df.where(F.col("uid").isNotNull()).select("uid", F.struct("label", mark.alias("mark")).alias(as_))
+    found = side(current, "_new").join(side(previous, "_old"), "uid", "full_outer")
+    op = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_new.mark") != F.col("_old.mark"), "modified")
+    label = F.greatest("_new.label", "_old.label")
+    return found.select(label.alias("label"), "uid", op.alias("op")).where(F.col("op").isNotNull())
 
 
 def edge_diff(current: DataFrame, previous: DataFrame) -> DataFrame:

@@ -32,17 +32,33 @@ class Hop:
 
 
 class Var:
-    """A bound variable: ``v["field"]`` is a column."""
+    """A bound variable: ``v["field"]`` is a column, ``v.get("field", type)`` one that may be missing.
 
-    def __init__(self, name: str, fields: tuple[str, ...], kind: str = "node"):
-        self.name, self.fields, self.kind = name, fields, kind
+    A field that the variable doesn't have is an error, or null if the variable is ``lenient``, as under ``compat``.
+    """
+
+    def __init__(self, name: str, fields: tuple[str, ...], kind: str = "node", lenient: bool = False, text: bool = False):
+        self.name, self.fields, self.kind, self.lenient, self.text = name, fields, kind, lenient, text
 
     def __getitem__(self, key: str) -> Column:
         if self.kind == "value":
             return F.col(self.name)[key]
-        if key not in self.fields:
-            return F.lit(None)  # a missing property is null
-        return F.col(self.column(key))
+        if key in self.fields:
+            return F.col(self.column(key))
+        if self.lenient:
+            return F.lit(None)
+        raise ValueError(f"{self.name} has no field {key}; get() reads properties of open shape and those that may be missing")
+
+    def get(self, key: str, type: str = "string") -> Column:
+        """A property as ``type``, null if it is missing or is no such value: a typed column, else a key of the open
+        ``props``, a VARIANT or (``text``) JSON text that is parsed here, else null."""
+        if key in self.fields:
+            return F.col(self.column(key)).try_cast(type)
+        if "props" not in self.fields:
+            return F.lit(None).cast(type)
+        props = F.col(self.column("props"))
+        quote = '"' if "'" in key else "'"
+        return F.try_variant_get(F.try_parse_json(props) if self.text else props, f"$[{quote}{key}{quote}]", type)
 
     def column(self, key: str) -> str:
         return self.name if self.kind == "value" else f"{self.name}__{key}"
@@ -187,6 +203,9 @@ class Rows:
 
     def _semi(self, pattern, where: Where | None, how: str) -> Rows:
         path = _Path(self, pattern, False)
+        if where is None and (found := path.reduced()) is not None:
+            name, ends = found
+            return replace(self, df=self.df.join(ends, F.col(f"{name}__uid") == F.col("_end"), how))
         return replace(self, df=self._with_path(path, (), how, where))
 
     def exists_flag(self, name: str, *pattern: Node | Hop, where: Where | None = None, outer: bool = False) -> Rows:
@@ -197,6 +216,11 @@ class Rows:
             flagged = there.unionByName(self.not_exists(*pattern, where=where).df.withColumn(name, F.lit(False)))
             return replace(self, df=flagged, variables=(*self.variables, Var(name, (), "value")))
         path = _Path(self, pattern, False)
+        if where is None and (found := path.reduced()) is not None:
+            marks = found[1].withColumn("_there", F.lit(True))
+            flagged = self.df.join(marks, F.col(f"{found[0]}__uid") == F.col("_end"), "left")
+            flagged = flagged.select(*self.df.columns, F.coalesce("_there", F.lit(False)).alias(name))
+            return replace(self, df=flagged, variables=(*self.variables, Var(name, (), "value")))
         keys = [k for k in path.keys if k in self._bound()]
         inner = Rows(self.graph, path.df, path.variables, self.compat).where(where).df
         marks = inner.select(*[F.col(path.keys[k]).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct().withColumn("_there", F.lit(True))
@@ -258,7 +282,7 @@ class Rows:
                     items = {k: v for k, v in items.items() if k not in both}
             for name, x in items.items():
                 if isinstance(x, Var):
-                    v = Var(name, x.fields, x.kind)
+                    v = Var(name, x.fields, x.kind, x.lenient, x.text)
                     chosen += [F.col(a).alias(b) for a, b in zip(x.columns(), v.columns(), strict=True)]
                 else:
                     v = Var(name, (), "value")
@@ -308,7 +332,7 @@ class _Path:
         nodes, hops = list(pattern[::2]), list(pattern[1::2])
         if len(pattern) % 2 == 0 or not all(isinstance(n, Node) for n in nodes) or not all(isinstance(h, Hop) for h in hops):
             raise ValueError("a pattern is nodes and hops in turn")
-        self.graph, self.outer = rows.graph, rows._bound()
+        self.graph, self.outer, self.compat = rows.graph, rows._bound(), rows.compat
         for n in nodes:
             self.graph.check_label(n.label)
         if not rows.compat:  # the embedded engine finds nothing for a type that it doesn't know
@@ -350,7 +374,8 @@ class _Path:
 
     def _bind(self, node: Node, name: str, df: DataFrame) -> None:
         fields = tuple(c[len(name) + 2 :] for c in df.columns if c.startswith(f"{name}__"))
-        self.variables += (Var(node.var, fields),)
+        text = "props" in fields and df.schema[f"{name}__props"].dataType.typeName() == "string"
+        self.variables += (Var(node.var, fields, lenient=self.compat, text=text),)
         self.keys[node.var] = f"{name}__uid"
 
     def _start(self, node: Node, more: bool, among: set[str] | None) -> str:
@@ -383,7 +408,7 @@ class _Path:
             else:
                 for k, c in made.items():
                     self.df = self.df.withColumn(f"{hop.var}__{k}", F.col(c))
-                self.variables += (Var(hop.var, REL_FIELDS, "rel"),)
+                self.variables += (Var(hop.var, REL_FIELDS, "rel", self.compat),)
         there = f"{e}to"
         if right.var is not None and right.var in self.keys:  # met before in this pattern: close the cycle
             self.df = self.df.where(F.col(there) == F.col(self.keys[right.var]))
@@ -409,6 +434,36 @@ class _Path:
             return self.graph.spark.createDataFrame([], "`from` string, `to` string, t string, sl string, dl string, s string, d string")
         return union_all(parts)
 
+    def reduced(self) -> tuple[str, DataFrame] | None:
+        """The variable at one end of the path, bound outside, and, as ``_end``, the distinct uids it may have.
+
+        The path is reduced from its far end: each hop keeps the edges whose end is among the distinct uids left
+        so far, so no two edges are ever joined and a hub adds no rows. None where that isn't the whole condition:
+        more than one bound node, a cycle, a bound edge, no hop.
+        """
+        nodes, hops = list(self.pattern[::2]), list(self.pattern[1::2])
+        names = [x.var for x in self.pattern if x.var is not None]
+        outside = [x for x in names if x in self.outer]
+        if not hops or len(outside) != 1 or len(set(names)) < len(names):
+            return None
+        among = self._labels(nodes, hops)
+        if nodes[0].var != outside[0]:
+            if nodes[-1].var != outside[0]:
+                return None
+            turned = {"in": "out", "out": "in", "both": "both"}
+            nodes, among, hops = nodes[::-1], among[::-1], [replace(h, direction=turned[h.direction]) for h in hops[::-1]]
+        ends = None
+        for i in range(len(hops) - 1, -1, -1):
+            right = nodes[i + 1]
+            step = self._oriented(nodes[i].label, hops[i], right.label).select("from", "to")
+            if right.var is not None:
+                there = self.graph.nodes(right.label, among[i + 1]).select(F.col("uid").alias("_uid"))
+                step = step.join(there, F.col("to") == F.col("_uid"), "left_semi")
+            if ends is not None:
+                step = step.join(ends, F.col("to") == F.col("_end"), "left_semi")
+            ends = step.select(F.col("from").alias("_end")).distinct()
+        return outside[0], ends
+
     def bound_columns(self) -> list[str]:
         return [c for v in self.variables for c in v.columns()]
 

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The labels, edge types and allowed triples of the cluster-inventory graph.
@@ -109,6 +109,23 @@ NODE_COLUMNS = ("uid", "name", "namespace", "resource_version")
 EDGE_COLUMNS = ("src", "src_label", "etype", "dst", "dst_label")
 
 
+#: Times in JSON text keep their microseconds.
+MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _typed(table: DataFrame) -> Column:
+    """The typed columns as JSON text."""
+    more = [c for c in table.columns if c not in NODE_COLUMNS and c != "props"]
+    return F.to_json(F.struct(*[f"`{c}`" for c in more]), MICROS) if more else F.lit("{}")
+
+
+def _props(table: DataFrame) -> Column:
+    """A node's properties as JSON text: its own ``props``, text or VARIANT, else its typed columns."""
+    if "props" not in table.columns:
+        return _typed(table)
+    return F.to_json("props") if table.schema["props"].dataType.typeName() == "variant" else F.col("props")
+
+
 def triples_frame(spark: SparkSession, triples: Iterable[Triple] = SCHEMA_TRIPLES) -> DataFrame:
     return spark.createDataFrame(list(triples), "src_label string, etype string, dst_label string")
 
@@ -131,14 +148,29 @@ class Graph:
     edge_table: DataFrame | None = None
 
     @classmethod
-    def from_tables(cls, nodes: DataFrame, edges: DataFrame, labels: Iterable[str], triples: Iterable[Triple]) -> Graph:
+    def from_tables(
+        cls, nodes: DataFrame, edges: DataFrame, labels: Iterable[str], triples: Iterable[Triple], properties: dict[str, str] | None = None
+    ) -> Graph:
         """From one ``nodes`` table (with ``label``) and one ``edges`` table, best partitioned by label and type.
 
         A scan or hop filters the one table, so a plan holds it once; ``triples`` are those a hop may use.
+        ``properties`` gives labels typed columns (label -> DDL) that are read from ``stored_nodes``' JSON text.
         """
         tables = {x: nodes.where(F.col("label") == x).drop("label") for x in labels}
+        for label, ddl in (properties or {}).items():
+            table = tables[label]
+            text = F.coalesce("typed", "props") if "typed" in table.columns else F.col("props")
+            read = table.withColumn("_typed", F.from_json(text, ddl, MICROS))
+            names = [f.name for f in read.schema["_typed"].dataType.fields]
+            own = ["props"] if "typed" in table.columns and "props" in names else []
+            tables[label] = read.select(*NODE_COLUMNS, *[F.col(f"_typed.`{c}`").alias(c) for c in names if c not in own], *own)
         return cls(tables, dict.fromkeys(triples), edges.select(*EDGE_COLUMNS))
 
+    def properties(self) -> dict[str, str]:
+        """Label -> DDL of its typed columns, for ``from_tables``."""
+        more = {x: t.drop(*NODE_COLUMNS).schema for x, t in self.node_tables.items()}
+        return {x: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) for x, schema in more.items() if schema}
+
     @property
     def spark(self) -> SparkSession:
         return next(iter(self.node_tables.values())).sparkSession
@@ -165,12 +197,14 @@ class Graph:
 
     def _common(self, label: str) -> DataFrame:
         table = self.node_tables[label]
-        more = [c for c in table.columns if c not in NODE_COLUMNS and c != "props"]
-        if "props" in table.columns:
-            props = F.col("props")
-        else:
-            props = F.to_json(F.struct(*more)) if more else F.lit("{}")
-        return table.select(*NODE_COLUMNS, F.lit(label).alias("label"), props.alias("props"))
+        return table.select(*NODE_COLUMNS, F.lit(label).alias("label"), _props(table).alias("props"))
+
+    def stored_nodes(self) -> DataFrame:
+        """All nodes as ``nodes()``, and as ``typed`` the typed columns, as JSON text, of tables that have ``props`` beside them."""
+        return union_all([
+            t.select(*NODE_COLUMNS, F.lit(x).alias("label"), _props(t).alias("props"), (_typed(t) if "props" in t.columns else F.lit(None).cast("string")).alias("typed"))
+            for x, t in self.node_tables.items()
+        ])
 
     def _allowed(self, types: str | list[str] | None, src_label: str | None, dst_label: str | None) -> list[Triple]:
         wanted = None if types is None else {t.lower() for t in ([types] if isinstance(types, str) else types)}

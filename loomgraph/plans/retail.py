@@ -12,7 +12,7 @@ from loomgraph.operators import changes, edges, metrics, nodes, quality
 from loomgraph.operators.match import Hop, Node, Rows, collect
 from loomgraph.operators.model import Graph, triples_frame
 from loomgraph.sources import sinks
-from loomgraph.sources.scratch import scratch_dir
+from loomgraph.sources.scratch import scratch, scratch_dir, stored
 from loomgraph.streaming.refresh import GraphStore
 
 TRIPLES = (
@@ -144,9 +144,11 @@ def q_hop_out(g: Graph) -> DataFrame:
     return rows.returns(lambda v: {"customer": v.c["name"], "nation": v.n["name"]})
 
 
-@query("SELECT c_name AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query("SELECT c_name AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey "
+       "UNION ALL SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def q_hop_out_all(g: Graph) -> DataFrame:
-    rows = Rows(g).match(Node("c", "Customer"), Hop("BelongsTo"), Node("n", "Nation"))
+    """A first node without label: every label that the hop allows."""
+    rows = Rows(g).match(Node("c"), Hop("BelongsTo"), Node("n", "Nation"))
     return rows.returns(lambda v: {"customer": v.c["name"], "nation": v.n["name"]})
 
 
@@ -196,6 +198,15 @@ def q_unique_edges(g: Graph) -> DataFrame:
     return rows.returns({"part": F.col("part"), "pairs": F.col("n") * (F.col("n") - 1)})
 
 
+@query("SELECT a.o_custkey AS customer, count(*) AS pairs FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey "
+       "WHERE a.o_orderstatus = 'P' GROUP BY a.o_custkey")
+def q_unique_edges_path(g: Graph) -> DataFrame:
+    """Out to a customer and back by another edge than the one that led there."""
+    rows = Rows(g).match(Node("a", "Order"), Hop("Manages", "in"), Node("c", "Customer"), Hop("Manages"), Node(label="Order"),
+                         where=lambda v: v.a["status"] == "P", unique_edges=True)
+    return rows.returns(lambda v: {"customer": key_of(v.c)}, {"pairs": F.count(F.lit(1))})
+
+
 @query("SELECT c_name AS customer, s_name AS supplier FROM customer, supplier WHERE c_custkey = s_suppkey")
 def q_cross_match(g: Graph) -> DataFrame:
     """Two patterns that share no variable; the condition relates them, so Catalyst makes an equi-join of it."""
@@ -689,10 +700,38 @@ def q_graph_store(g: Graph) -> DataFrame:
     """Written to the store and read back, as vertices and edges of a directed graph."""
     path = f"{scratch_dir(g.spark)}/store"
     sinks.write_graph(g, path)
-    vertices, links = sinks.directed_graph(sinks.read_graph(g.spark, path, list(g.node_tables), TRIPLES))
+    vertices, links = sinks.directed_graph(sinks.read_graph(g.spark, path))
     return _counted(vertices.select(F.col("type").alias("name")), links.select(F.col("type").alias("name")))
 
 
+def _kept(g: Graph) -> Graph:
+    path = f"{scratch_dir(g.spark)}/store"
+    sinks.write_graph(g, path)
+    return sinks.read_graph(g.spark, path)
+
+
+@query(f"WITH e AS ({ORDERS}) SELECT p_brand AS brand, o_orderstatus AS status, o_orderdate AS date, count(*) AS n, min(p_retailprice) AS least, min(o_totalprice) AS total "
+       "FROM e JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE p_size = 7 GROUP BY ALL")
+def q_store_properties(g: Graph) -> DataFrame:
+    """A pattern on typed properties of a graph that was written and read back: filters, keys and values."""
+    rows = Rows(_kept(g)).match(Node("o", "Order"), Hop("Contains"), Node("p", "Part"), where=lambda v: v.p["size"] == 7)
+    return rows.returns(
+        lambda v: {"brand": v.p["brand"], "status": v.o["status"], "date": v.o["date"]},
+        lambda v: {**rows_counted(), "least": F.min(v.p["price"]), "total": F.min(v.o["totalprice"])},
+    )
+
+
+@query("SELECT e.event_type AS type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, count(DISTINCT c_custkey) AS customers, CAST(NULL AS VARCHAR) AS missing "
+       "FROM events e JOIN customer ON user_id = c_custkey GROUP BY ALL")
+def q_store_open_properties(g: Graph) -> DataFrame:
+    """Keys of properties of open shape, which the store holds as VARIANT, beside typed columns; one that no node has."""
+    rows = Rows(_kept(g)).match(Node("e", "Event"), Hop("Concerns"), Node("c", "Customer"))
+    return rows.returns(
+        lambda v: {"type": v.e["type"], "k": v.e.get("k", "bigint"), "missing": v.e.get("no such key")},
+        lambda v: {**rows_counted(), "customers": F.count_distinct(v.c["uid"])},
+    )
+
+
 @query(f"{_NODE_COUNTS} UNION ALL {_EDGE_COUNTS}", text_ids=True)
 def q_canonical_export(g: Graph) -> DataFrame:
     """The canonical lines, read back and parsed."""
@@ -713,6 +752,33 @@ def q_store_rebuild(g: Graph) -> DataFrame:
     return _counted(vertices.select(F.col("label").alias("name")), links.select(F.col("etype").alias("name"))).unionByName(last)
 
 
+_VERSION = ("SELECT {v} AS version, {status} AS status, count(*) AS n, min(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE {where} GROUP BY ALL")
+_LATER = {"status": "CASE WHEN o_orderkey % 100 = 0 THEN 'X' ELSE o_orderstatus END", "where": "c_custkey % 50 <> 1"}
+
+
+@query(" UNION ALL ".join([_VERSION.format(v=0, status="o_orderstatus", where="true"), *(_VERSION.format(v=v, **_LATER) for v in (1, 2))]), text_ids=True)
+def q_delta_store(g: Graph) -> DataFrame:
+    """Two versions in a store of a base and changes, each matched on; the second also after it became a base of its own
+    and the first was dropped (told as version 2). Orders change, customers go and take their edges along."""
+    tables, orders, customers = dict(g.node_tables), g.node_tables["Order"], g.node_tables["Customer"]
+    tables["Order"] = orders.withColumn("status", F.when(F.col("uid").rlike(":(0|[0-9]*00)$"), "X").otherwise(F.col("status")))
+    tables["Customer"] = customers.where(~F.col("uid").rlike(":(1|[0-9]*[05]1)$"))
+    store = GraphStore(g.spark, f"{scratch_dir(g.spark)}/versions")
+    store.rebuild(0, g)
+    store.update(1, Graph(tables, g.edge_tables))
+
+    def told(version: int, name: int) -> DataFrame:
+        rows = Rows(store.graph(version, g)).match(Node("c", "Customer"), Hop("Manages"), Node("o", "Order"))
+        return rows.returns(lambda v: {"version": F.lit(name), "status": v.o["status"]}, lambda v: {**rows_counted(), "total": F.min(v.o["totalprice"])})
+
+    with scratch(g.spark) as kept:  # written before the store drops what they read
+        both = stored(told(0, 0).unionByName(told(1, 1)), f"{kept}/both")
+        first = g.spark.createDataFrame(both.collect(), both.schema)  # a row per version and status
+    store.compact()
+    store.vacuum(1)
+    return first.unionByName(told(1, 2))
+
+
 @query(f"SELECT what, name FROM ({_NODE_COUNTS.replace(chr(39) + 'node' + chr(39), chr(39) + 'label' + chr(39))} UNION ALL {_EDGE_COUNTS}) WHERE n > 0", text_ids=True)
 def q_metadata(g: Graph) -> DataFrame:
     return quality.metadata(g.nodes(), g.all_edges())

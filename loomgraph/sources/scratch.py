@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +25,19 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A scratch folder that goes when the block ends; nothing may read from it afterwards."""
+    path = scratch_dir(spark)
+    try:
+        yield path
+    finally:
+        drop_dir(spark, path)

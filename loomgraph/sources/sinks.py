@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators.model import Graph
+from loomgraph.operators.model import EDGE_COLUMNS, Graph
 from loomgraph.operators.quality import canonical_edges, canonical_nodes
 from loomgraph.sources.snapshot import SCHEMAS
 
@@ -38,13 +38,28 @@ def write_snapshot(snapshot: dict[str, DataFrame], path: str, *, format: str = "
 
 
 def write_graph(graph: Graph, path: str) -> None:
-    """The store: nodes partitioned by label, edges by type, so that scans and hops read their part only."""
-    graph.nodes().write.mode("overwrite").partitionBy("label").parquet(f"{path}/nodes")
+    """The store: a table per label with its typed columns, edges partitioned by type, and a table of what is there.
+
+    Filters and column pruning on properties reach the files. A ``props`` column of JSON text becomes a VARIANT,
+    whose keys ``Var.get`` reads without parsing; text that isn't JSON stays a VARIANT of that text. The table of labels
+    and triples is written last: without it there is no graph at ``path``.
+    """
+    for label, table in graph.node_tables.items():
+        if "props" in table.columns and table.schema["props"].dataType.typeName() == "string":
+            table = table.withColumn("props", F.coalesce(F.try_parse_json("props"), F.col("props").cast("variant")))
+        table.write.mode("overwrite").parquet(f"{path}/nodes/{label}")
     graph.all_edges().write.mode("overwrite").partitionBy("etype").parquet(f"{path}/edges")
+    known = [("label", x, None, None) for x in graph.node_tables]
+    rows = graph.spark.createDataFrame(known + [("triple", *t) for t in graph.edge_tables], "what string, a string, b string, c string")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/graph")
 
 
-def read_graph(spark, path: str, labels, triples) -> Graph:
-    return Graph.from_tables(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), labels, triples)
+def read_graph(spark: SparkSession, path: str) -> Graph:
+    """The graph that ``write_graph`` stored, with the types that its columns had."""
+    known = spark.read.parquet(f"{path}/graph").collect()  # a row per label and per triple of the schema
+    tables = {r["a"]: spark.read.parquet(f"{path}/nodes/{r['a']}") for r in known if r["what"] == "label"}
+    triples = [(r["a"], r["b"], r["c"]) for r in known if r["what"] == "triple"]
+    return Graph(tables, dict.fromkeys(triples), spark.read.parquet(f"{path}/edges").select(*EDGE_COLUMNS))
 
 
 def directed_graph(graph: Graph) -> tuple[DataFrame, DataFrame]:

@@ -5,66 +5,149 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from loomgraph.operators import changes
 from loomgraph.operators.model import EDGE_COLUMNS, Graph
 from loomgraph.operators.nodes import build_graph
-from loomgraph.sources.scratch import scratch_dir, stored
+from loomgraph.sources.scratch import drop_dir, scratch, stored
 from loomgraph.sources.snapshot import read_snapshot
 
-NODES = "uid string, name string, namespace string, resource_version string, label string, props string"
+NODES = "uid string, name string, namespace string, resource_version string, label string, props string, typed string"
 EDGES = ", ".join(f"{c} string" for c in EDGE_COLUMNS)
+CHANGE = "op string, version long"
 MANIFEST = "snapshot string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class GraphStore:
-    """Versions of (nodes, edges) below a path. A version counts once its commit is written, so one that a
-    lost driver left half done is written again under the same number."""
+    """Versions of (nodes, edges) below a path: a base now and then, and between bases what each version changes.
+
+    A version is its base with the last change of each uid and edge since. It counts once its row in ``commits`` is
+    written, which is the last thing written; what a lost driver left half done isn't read, and is
+    written again under the same number. ``compact`` writes a new base, ``vacuum`` drops what no kept version needs.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def last(self, before: int | None = None) -> int | None:
+    def _commits(self) -> DataFrame:
+        return self.spark.read.schema("version long, kind string").parquet(f"{self.path}/commits")
+
+    def _latest(self, condition: Column) -> int | None:
         try:
-            commits = self.spark.read.schema("version long").parquet(f"{self.path}/commits")
+            return self._commits().where(condition).agg(F.max("version")).first()[0]
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 return None
             raise
-        return commits.where(F.lit(True) if before is None else F.col("version") < before).agg(F.max("version")).first()[0]
+
+    def _commit(self, version: int, kind: str) -> None:
+        row = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(kind).alias("kind"))
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+
+    def last(self, before: int | None = None) -> int | None:
+        counts = F.col("kind") != "floor"
+        return self._latest(counts if before is None else counts & (F.col("version") < before))
 
     def read(self, version: int | None) -> tuple[DataFrame, DataFrame]:
+        """The nodes and edges of a committed version; none of either for None."""
         if version is None:
             return self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES)
-        at = f"{self.path}/v{version}"
-        return self.spark.read.schema(NODES).parquet(f"{at}/nodes"), self.spark.read.schema(EDGES).parquet(f"{at}/edges")
+        upto = F.col("version") <= version
+        if version < (self._latest(F.col("kind") == "floor") or 0):
+            raise ValueError(f"version {version} was dropped")
+        base = self._latest((F.col("kind") == "base") & upto)
+        if base is None:
+            nodes, edges = self.read(None)
+        else:
+            at = f"{self.path}/base/v{base}"
+            nodes, edges = (self.spark.read.schema(x).parquet(f"{at}/{name}") for x, name in ((NODES, "nodes"), (EDGES, "edges")))
+        since = upto & (F.col("version") > F.lit(-1 if base is None else base))
+        counted = self._commits().where(since & (F.col("kind") == "change")).select("version").distinct()
+        if counted.isEmpty():
+            return nodes, edges
+        of = lambda schema, name: self.spark.read.schema(f"{schema}, {CHANGE}").parquet(f"{self.path}/changes/{name}").where(since).join(counted, "version", "left_semi")
+        return _merged(nodes, of(NODES, "nodes"), ["uid"]), _merged(edges, of(EDGES, "edges"), list(EDGE_COLUMNS))
+
+    def graph(self, version: int | None, like: Graph) -> Graph:
+        """A version to match on, with the labels, triples and typed properties that ``like`` has."""
+        return Graph.from_tables(*self.read(version), like.node_tables, like.edge_tables, like.properties())
 
     def write(self, version: int, nodes: DataFrame, edges: DataFrame) -> None:
-        at = f"{self.path}/v{version}"
-        nodes.write.mode("overwrite").parquet(f"{at}/nodes")
-        edges.write.mode("overwrite").parquet(f"{at}/edges")
-        self.spark.range(version, version + 1).toDF("version").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        """A base."""
+        at = f"{self.path}/base/v{version}"
+        columns = [c.split()[0] for c in NODES.split(", ")]
+        nodes.select(*[c for c in columns if c in nodes.columns]).write.mode("overwrite").parquet(f"{at}/nodes")
+        edges.select(*EDGE_COLUMNS).write.mode("overwrite").parquet(f"{at}/edges")
+        self._commit(version, "base")
 
     def update(self, version: int, graph: Graph) -> bool:
-        """Bring the last version before ``version`` to ``graph``; False, and nothing written, if nothing changed."""
+        """Bring the last version before ``version`` to ``graph``, writing what changes; False, and nothing written, if nothing does."""
         old_nodes, old_edges = self.read(self.last(before=version))
-        columns = old_nodes.columns
-        new_nodes, new_edges = graph.nodes().select(*columns), graph.all_edges()
-        work = scratch_dir(self.spark)  # each difference is made once: it is looked at first, then applied
-        node_changes = stored(changes.node_diff(new_nodes, old_nodes), f"{work}/nodes")
-        edge_changes = stored(changes.edge_diff(new_edges, old_edges), f"{work}/edges")
-        if changes.is_empty(node_changes, edge_changes):
-            return False
-        self.write(version, *changes.apply_diff(old_nodes, old_edges, node_changes, new_nodes, edge_changes))
+        new_nodes, new_edges = graph.stored_nodes().select(*old_nodes.columns), graph.all_edges()
+        with scratch(self.spark) as work:  # each difference is made once: it is looked at first, then written
+            node_changes = stored(changes.node_diff(new_nodes, old_nodes), f"{work}/nodes")
+            edge_changes = stored(changes.edge_diff(new_edges, old_edges), f"{work}/edges")
+            if changes.is_empty(node_changes, edge_changes):
+                return False
+            self.apply(version, old_edges, node_changes, new_nodes, edge_changes)
         return True
 
+    def apply(self, version: int, old_edges: DataFrame, node_changes: DataFrame, new_nodes: DataFrame, edge_changes: DataFrame) -> None:
+        """Write a version's changes: ``changes.apply_diff``'s rules, as rows of what goes and what comes."""
+        come = node_changes.where(F.col("op") != "removed").select("uid")
+        dead = node_changes.where(F.col("op") == "removed").select("uid")
+        upserts = new_nodes.join(come, "uid", "left_semi").withColumn("op", F.lit("there"))
+        nodes = upserts.unionByName(dead.withColumn("op", F.lit("gone")), allowMissingColumns=True)
+        keys = list(EDGE_COLUMNS)
+        gone = edge_changes.where(F.col("op") == "removed").select(*keys)
+        for end in ("src", "dst"):  # a removed node takes its edges along
+            gone = gone.unionByName(old_edges.join(dead.withColumnRenamed("uid", end), end, "left_semi").select(*keys))
+        added = edge_changes.where(F.col("op") == "added").select(*keys)
+        edges = gone.distinct().withColumn("op", F.lit("gone")).unionByName(added.withColumn("op", F.lit("there")))
+        for name, rows in (("nodes", nodes), ("edges", edges)):
+            rows.write.mode("overwrite").parquet(f"{self.path}/changes/{name}/version={version}")
+        self._commit(version, "change")
+
     def rebuild(self, version: int, graph: Graph) -> None:
         """The fallback: write everything anew."""
-        self.write(version, graph.nodes().select(*[c.split()[0] for c in NODES.split(", ")]), graph.all_edges())
+        self.write(version, graph.stored_nodes(), graph.all_edges())
+
+    def compact(self, version: int | None = None) -> None:
+        """Write a version, by default the last one, as a base."""
+        version = self.last() if version is None else version
+        if version is not None:
+            self.write(version, *self.read(version))
+
+    def vacuum(self, keep: int) -> None:
+        """Drop bases and changes that versions from ``keep`` on don't need; reading an older one is an error then.
+
+        That is said first, so that no half dropped version is ever read.
+        """
+        base = self._latest((F.col("kind") == "base") & (F.col("version") <= keep))
+        if base is None:
+            return
+        self._commit(base, "floor")
+        for row in self._commits().where(F.col("version") <= base).distinct().toLocalIterator():  # versions, not data
+            if row["version"] < base:
+                drop_dir(self.spark, f"{self.path}/base/v{row['version']}")
+            for name in ("nodes", "edges"):
+                drop_dir(self.spark, f"{self.path}/changes/{name}/version={row['version']}")
+
+
+def _merged(base: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
+    """The base's rows whose key isn't changed, and the last of each changed key's, unless that is gone.
+
+    Changes alone are grouped; the base meets their keys, by broadcast where they are few.
+    """
+    last = changed.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in changed.columns if c not in (*keys, "version")]), "version").alias("_last"))
+    kept = base.join(last.select(*keys), keys, "left_anti")
+    there = last.where(F.col("_last.op") == "there")
+    return kept.select(*base.columns).unionByName(there.select(*[F.col(c if c in keys else f"_last.{c}").alias(c) for c in base.columns]))
 
 
 def refresh_stream(
@@ -94,31 +177,74 @@ def refresh_stream(
     return writer.start()
 
 
-def detect_changes(objects: DataFrame) -> DataFrame:
-    """``(uid, op, resource_version)`` from a stream of ``(uid, resource_version, deleted)``: added when a uid
-    is new, modified when its version differs from the last one seen, removed when a deletion arrives."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        known, out = state.exists, []
-        for batch in batches:
-            for version, deleted in zip(batch["resource_version"], batch["deleted"], strict=True):
-                if deleted:
-                    if known:
-                        out.append((key[0], "removed", version))
-                    known, last = False, None
-                elif not known:
-                    out.append((key[0], "added", version))
-                    known, last = True, version
-                elif version != last:
-                    out.append((key[0], "modified", version))
-                    last = version
-        if known:
-            state.update((last,))
-        elif state.exists:
-            state.remove()
+class _InOrder(StatefulProcessor):
+    """The last version of a uid; a removed one is remembered until its timer, if any is asked for, clears it."""
+
+    def __init__(self, forget_ms: int | None):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "version string, deleted boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
+        given = [r for batch in rows for r in zip(batch["resource_version"], batch["deleted"], strict=True)]
+        given.sort(key=lambda r: (r[0] is None, _order(r[0]), bool(r[1])))
+        seen = self.seen.get() if self.seen.exists() else None
+        version, deleted = seen if seen else (None, True)
+        new, out = seen is None, []
+        for at, gone in given:
+            if not new and at is not None and version is not None and _order(at) < _order(version):
+                continue  # overtaken by a later version
+            if gone:
+                if not deleted:
+                    out.append((key[0], "removed", at))
+                version, deleted, new = version if at is None else at, True, False
+            elif deleted:
+                if new or at is None or version is None or _order(at) > _order(version):
+                    out.append((key[0], "added", at))
+                    version, deleted, new = at, False, False
+            elif at != version:
+                out.append((key[0], "modified", at))
+                version = at
+        if not new:
+            self.seen.update((version, deleted))
+            if self.forget_ms is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+            if deleted and self.forget_ms is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.forget_ms)
         yield pd.DataFrame(out, columns=["uid", "op", "resource_version"])
 
-    return objects.groupBy("uid").applyInPandasWithState(
-        step, "uid string, op string, resource_version string", "resource_version string", "append", GroupStateTimeout.NoTimeout
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.seen.exists() and self.seen.get()[1]:
+            self.seen.clear()
+        yield pd.DataFrame([], columns=["uid", "op", "resource_version"])
+
+    def close(self) -> None:
+        pass
+
+
+def _order(version: str | None) -> tuple:
+    """Versions are counters written as text; others are ordered as text, after them."""
+    text = version or ""
+    return (0, int(text), "") if text.isdecimal() else (1, 0, text)
+
+
+def detect_changes(objects: DataFrame, *, forget_ms: int | None = None) -> DataFrame:
+    """``(uid, op, resource_version)`` from a stream of ``(uid, resource_version, deleted)``: added when a uid
+    is new, modified when its version is later than the last one seen, removed when a deletion arrives.
+
+    Changes are taken in the order of their versions, not of arrival: those of a batch are sorted, and one that was
+    overtaken by a later version of its uid is dropped, also after a deletion. So input in any order ends in the
+    same state. A deletion without version is the last of its batch. State is kept in RocksDB, which this
+    session's streams use from now on.
+
+    With ``forget_ms`` a removed uid is forgotten after that much processing time, by a timer, and its state goes; an older
+    version that comes later still adds it again. A stream with such timers is never idle: run it with a
+    processing-time trigger, one that takes what is available now wouldn't end.
+    """
+    objects.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return objects.groupBy("uid").transformWithStateInPandas(
+        _InOrder(forget_ms), "uid string, op string, resource_version string", "append", "None" if forget_ms is None else "ProcessingTime"
     )
