@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import drop_dir, join_hot, scratch_dir, write_table
+from loomgraph.llm.common import HOT_KEYS, drop_dir, join_hot, scratch_dir, write_table
 
 # Fixed values of the archive format.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -167,8 +167,12 @@ def write_archives(
     payload = F.col("html").cast("binary").alias("payload")
     columns = ["_digest", "_bytes", "page_id", "url", "_copy", "_first_id", "_first_url"]
     is_first = F.col("page_id").eqNullSafe(F.col("_first_id")) & F.col("url").eqNullSafe(F.col("_first_url"))
-    rows = _pages(pages, id_col, url_col, html_col).repartition(size // archive_bytes + 1, "_digest")
-    first = join_hot(rows, plan, ["_digest"], "_n", total).where(is_first).withColumn("_copy", F.lit(0))
+    rows = _pages(pages, id_col, url_col, html_col)
+    # as in join_hot, but the payloads that are shuffled, once, go to as many tasks as there are to be archives
+    is_hot = F.col("_n") * HOT_KEYS > F.lit(total)
+    hot, cold = F.broadcast(plan.where(is_hot)), plan.where(~is_hot)
+    dealt = rows.join(hot.select("_digest"), "_digest", "left_anti").repartition(size // archive_bytes + 1, "_digest")
+    first = rows.join(hot, "_digest").unionByName(dealt.join(cold, "_digest")).where(is_first).withColumn("_copy", F.lit(0))
     records = first.where("_first_copies = 1").select(*columns, payload)
     if copies > 1:  # rows alike in all: one of them
         alike = first.where("_first_copies > 1").dropDuplicates(["_digest"])
