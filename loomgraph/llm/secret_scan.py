@@ -27,6 +27,10 @@ class Rule:
 
     ``min_chars`` holds for ``group``, 0 being the whole match; a match that is too short is dropped and
     not looked into again. ``gate`` is a cheaper pattern that every text with a match contains.
+
+    With ``plain`` the spans are those of that pattern, of any length. ``pattern`` then finds the same in
+    linear time with a backtracking engine: it enters a run of letters only at its start, and its first
+    group, which ends where the match does, is the span.
     """
 
     kind: str
@@ -34,6 +38,7 @@ class Rule:
     group: int = 0
     min_chars: int = 0
     gate: str | None = None
+    plain: str | None = None
 
 
 BASE_RULES = (
@@ -50,13 +55,24 @@ BASE_RULES = (
 #: Formats of well-known credentials, beyond the base kinds.
 MORE_RULES = (
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", gate="-----BEGIN"),
-    # the first part of these two is bounded, so that a long run isn't read anew from each of its places
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,300}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", gate="eyJ"),
+    # if the first eyJ of a part starts no match, no later one of that part does
+    Rule(
+        "jwt",
+        "(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{8,}+\\.eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+)",
+        gate="eyJ",
+        plain="eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}",
+    ),
     Rule("forge", "(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})", gate="gh[pousr]_|glpat-"),
     Rule("chat", "xox[abeoprs]-[A-Za-z0-9-]{10,}", gate="xox[abeoprs]-"),
     Rule("cloud", "AIza[A-Za-z0-9_-]{35}", gate="AIza"),
     Rule("payment", "[rs]k_live_[A-Za-z0-9]{16,}", gate="k_live_"),
-    Rule("login", "[a-z][a-z0-9+.-]{0,20}://[^\\x00-\\x20/?#@:]+:[^\\x00-\\x20/?#@]+@", gate="://"),
+    # nor any letter of a scheme but its first
+    Rule(
+        "login",
+        "(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]*+://[^\\x00-\\x20/?#@:]++:[^\\x00-\\x20/?#@]++@)",
+        gate="://",
+        plain="[a-z][a-z0-9+.-]*://[^\\x00-\\x20/?#@:]+:[^\\x00-\\x20/?#@]+@",
+    ),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -72,13 +88,14 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     def placed(gaps: Column, sizes: Column) -> Column:
         ends = running_sum(F.zip_with(sizes, gaps, lambda size, gap: size + F.coalesce(F.char_length(gap), F.lit(0))))
 
-        def span(end: Column, i: Column) -> Column:
-            size = F.get(sizes, i)
+        own = sizes_of(1) if rule.plain else sizes
+
+        def span(end: Column, size: Column) -> Column:
             return F.struct(
                 F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), (end - size).alias("start"), end.alias("end")
             )
 
-        spans = F.transform(F.slice(ends, F.lit(1), F.size(sizes)), span)
+        spans = let(own, lambda o: F.transform(F.slice(ends, F.lit(1), F.size(sizes)), lambda end, i: span(end, F.get(o, i))))
         if not rule.min_chars:
             return spans
         kept = sizes_of(rule.group) if rule.group else sizes
@@ -128,9 +145,19 @@ def scan_new(
     return once.select("blob", F.lit(rule_version).alias("rule_version"), find_secrets(F.col("_text"), rules).alias("findings"))
 
 
+def one_per_blob(ledger: DataFrame) -> DataFrame:
+    """A row per blob and rule version; the scan of a blob is always the same, so any will do."""
+    return ledger.groupBy("blob", "rule_version").agg(F.any_value("findings").alias("findings"))
+
+
 def report_findings(versions: DataFrame, ledger: DataFrame, text_col: str = "text", *, rule_version: str = RULE_VERSION) -> DataFrame:
-    """``versions`` without the text, plus ``blob`` and the ``findings`` that the ledger has for it."""
-    hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
+    """``versions`` without the text, plus ``blob`` and the ``findings`` that the ledger has for it.
+
+    A blob that the ledger holds several times, as after two writers, counts once. What is joined is
+    written first: it is an aggregate, and the join's hot blobs couldn't be split beside one.
+    """
+    hits = one_per_blob(ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)))
+    hits = materialize(hits.select("blob", "findings"), "blob-findings")
     paths = versions.drop("blob", "findings").withColumn("blob", blob_of(F.col(text_col))).drop(text_col)
     report = paths.join(hits, "blob", "left").withColumn(
         "findings", F.coalesce("findings", F.expr(f"cast(array() as array<{SPAN}>)"))
@@ -158,12 +185,18 @@ def scan_versions(
     result is written, and joined to the paths by address in a join whose hot blobs can be split.
     """
     fresh = materialize(scan_new(versions, ledger, text_col, rules=rules, rule_version=rule_version), "ledger")
-    full = fresh if ledger is None else ledger.unionByName(fresh)
+    full = fresh if ledger is None else one_per_blob(ledger.unionByName(fresh))
     return report_findings(versions, full, text_col, rule_version=rule_version), full
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
-    """The ledger in a folder; None where there is none yet."""
+    """The ledger in a folder, a row per blob and rule version; None where there is none yet."""
+    rows = _entries(spark, path)
+    return None if rows is None else one_per_blob(rows)
+
+
+def _entries(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows as they were appended: writers that ran at the same time may both have scanned a blob."""
     try:
         return spark.read.schema(LEDGER_SCHEMA).parquet(path)
     except AnalysisException as e:
@@ -181,11 +214,17 @@ def scan_into_ledger(
     rule_version: str = RULE_VERSION,
 ) -> DataFrame:
     """``scan_versions`` with the ledger kept in the folder ``path``: what is new is scanned and appended,
-    and the report is read from the ledger alone."""
+    and the report is read from the ledger alone.
+
+    Nulls, empty and long texts, repeated rows and clashing names are as in ``scan_versions``; an empty
+    table appends nothing and gives an empty report. A run that is repeated after its append, and writers
+    that append the same blobs at once, leave more rows but change no report. Rows appear with Spark's
+    commit of the whole append, so a run lost before it is as one that never was.
+    """
     spark = versions.sparkSession
-    fresh = scan_new(versions, read_ledger(spark, path), text_col, rules=rules, rule_version=rule_version)
+    fresh = scan_new(versions, _entries(spark, path), text_col, rules=rules, rule_version=rule_version)
     fresh.write.mode("append").partitionBy("rule_version").parquet(path)
-    return report_findings(versions, spark.read.schema(LEDGER_SCHEMA).parquet(path), text_col, rule_version=rule_version)
+    return report_findings(versions, _entries(spark, path), text_col, rule_version=rule_version)
 
 
 def _joined(spans: Column) -> Column:
@@ -208,14 +247,15 @@ def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """For each rule the i-th match stands behind i gaps and the matches before it."""
+    """For each rule the i-th match stands behind i gaps and the matches before it. DuckDB's patterns are
+    automata, so it takes the plain ones."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     sizes = "list_transform({}, lambda x: length(x))"
     per_rule = " UNION ALL ".join(
         f"SELECT doc_id, {i} AS o, '{r.kind}' AS kind, {r.min_chars} AS least, "
-        + f"{sizes.format(f'regexp_split_to_array(t, {quoted(r.pattern)})')} AS g, "
-        + f"{sizes.format(f'regexp_extract_all(t, {quoted(r.pattern)}, 0)')} AS m, "
-        + f"{sizes.format(f'regexp_extract_all(t, {quoted(r.pattern)}, {r.group})')} AS k FROM d"
+        + f"{sizes.format(f'regexp_split_to_array(t, {quoted(r.plain or r.pattern)})')} AS g, "
+        + f"{sizes.format(f'regexp_extract_all(t, {quoted(r.plain or r.pattern)}, 0)')} AS m, "
+        + f"{sizes.format(f'regexp_extract_all(t, {quoted(r.plain or r.pattern)}, {r.group})')} AS k FROM d"
         for i, r in enumerate(RULES)
     )
     counts = ", ".join(f"count(*) FILTER (s.kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize
+from loomgraph.llm.common import materialize, put_back, set_aside
 
 LEVEL_BITS = 60
 SHARD_BYTES = 16 * 1024 * 1024
@@ -143,12 +143,25 @@ def _split(rows: DataFrame, level: int, offset: int, width: int, max_bytes: int,
 
 def write_shards(
     docs: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text", *, max_bytes: int = SHARD_BYTES, step: int = 8
-) -> None:
-    """Write ``docs`` below ``path`` as one Parquet folder per shard, every row once. Keys may repeat or be null:
-    a row is found again by a number that is written once with it."""
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "shard-input")
-    shards = _assign(numbered, key_col, text_col, max_bytes, step, F.col("_row")).select("_row", "shard")
-    numbered.join(shards, "_row").drop("_row").repartition("shard").write.partitionBy("shard").parquet(path)
+) -> str:
+    """Write ``docs`` below ``path`` as one Parquet folder per shard, every row once; returns the name of the
+    folders' column: ``shard``, or ``shard_2`` and so on where ``docs`` has a column of that name.
+
+    All columns of ``docs`` come back, whatever their names. Keys may repeat or be null: a row is found
+    again by a number that is written once with it. Null and empty texts have 0 bytes; a row whose text is
+    over the limit is a shard of its own. Where one shard holds all, its name, '', reads back as null.
+    Names are bits, so read them with a schema that says string. An empty table writes no folder.
+    """
+    names, column, n = {c.lower() for c in docs.columns}, "shard", 2
+    while column in names:
+        column, n = f"shard_{n}", n + 1
+    numbered = materialize(set_aside(docs).withColumn("_row", F.monotonically_increasing_id()), "shard-input")
+    field = lambda c: F.col(f"_rest.`{c}`")
+    keyed = numbered.select("_row", field(key_col).alias("_key"), field(text_col).alias("_text"))
+    shards = _assign(keyed, "_key", "_text", max_bytes, step, F.col("_row")).select("_row", F.col("shard").alias("_shard"))
+    placed = numbered.join(shards, "_row").repartition("_shard")
+    placed.select(*put_back(docs.columns), F.col("_shard").alias(column)).write.partitionBy(column).parquet(path)
+    return column
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
