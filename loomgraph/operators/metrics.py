@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.model import Graph, union_all
 
+#: Ranges of a sample's hash, a power of 16: that many counts per label at most are gathered.
+SAMPLE_RANGES = 16**3
+
 
 def label_counts(graph: Graph) -> DataFrame:
     """``(label, n)``; each label's table is counted by itself, so no column of it is read."""
@@ -24,16 +29,23 @@ def property_count(nodes: DataFrame, *, sample: int | None = None) -> DataFrame:
     """``(label, nodes, properties)``: the keys, nested ones too, of ``props_json``.
 
     In JSON text every key is a string followed by a colon, so they are counted by a pattern that steps
-    over strings. With ``sample`` the mean of that many nodes per label is scaled up.
+    over strings. With ``sample`` the mean of at least that many nodes per label, or of all, is scaled up:
+    nodes fall into ranges of a hash of their ``uid`` (of the properties, where there is none), which are
+    counted on the map side, and of each label the first ranges that hold enough nodes are the sample. So it is the
+    same whatever the order of the rows, and goes beyond ``sample`` by less than one range of ``SAMPLE_RANGES``.
     """
     keys = F.regexp_count("props_json", F.lit('"(?:[^"\\\\]|\\\\.)*"\\s*:')).cast("long")
-    counted = nodes.select("label", keys.alias("_keys"))
     if sample is None:
-        return counted.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("_keys").alias("properties"))
-    some = Window.partitionBy("label").orderBy(F.lit(1))
-    mean = counted.withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= sample).groupBy("label").agg(F.avg("_keys").alias("_mean"))
-    sizes = counted.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
-    return sizes.join(mean, "label").select("label", "nodes", F.round(F.col("nodes") * F.col("_mean")).cast("long").alias("properties"))
+        return nodes.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.sum(keys).alias("properties"))
+    by = F.coalesce(F.col("uid" if "uid" in nodes.columns else "props_json").cast("string"), F.lit(""))
+    digits = int(math.log(SAMPLE_RANGES, 16))
+    ranges = nodes.groupBy("label", F.substring(F.md5(by.cast("binary")), 1, digits).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.sum(keys).alias("k"))
+    listed = ranges.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("r", "n", "k"))).alias("_r"), F.sum("n").alias("nodes"))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"))
+    more = lambda got, x: F.struct((got["n"] + x["n"]).alias("n"), (got["k"] + F.coalesce(x["k"], F.lit(0))).alias("k"))
+    some = F.aggregate("_r", none, lambda got, x: F.when(got["n"] < sample, more(got, x)).otherwise(got))
+    mean = F.try_divide(some["k"].cast("double"), some["n"])
+    return listed.select("label", "nodes", F.round(F.col("nodes") * mean).cast("long").alias("properties"))
 
 
 def pulse_history(metrics: DataFrame, *, length: int = 12, fill: bool = True) -> DataFrame:

@@ -92,3 +92,41 @@ def content_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     both = digest(nodes, "node").crossJoin(digest(edges, "edge"))  # two single rows
     return both.withColumn("graph_hash", F.sha2(F.concat_ws("|", *both.columns), 256))
+
+
+def leaf_hashes(rows: DataFrame, key: str = "uid", line: str = "line", *, depth: int = 3) -> DataFrame:
+    """``(prefix, n, hash)`` of each range of keys: rows whose key's MD5 begins with ``prefix``, ``depth`` hex digits.
+
+    The hash is of the number of lines and of two sums of 60 bits of their MD5, so it depends on the rows as
+    a multiset, in any order, and is combined on the map side, however many rows a key has. Null keys and
+    lines differ from empty ones. Depths of 3 to 6 suit 4,096 to 16 million ranges.
+    """
+    digest = lambda c: F.md5(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")).cast("binary"))
+    bits = lambda at: F.conv(F.substring("_m", at, 15), 16, 10).cast("decimal(38,0)")
+    hashed = rows.select(F.substring(digest(key), 1, depth).alias("prefix"), digest(line).alias("_m"))
+    summed = hashed.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.sum(bits(1)).alias("_s"), F.sum(bits(16)).alias("_t"))
+    return summed.select("prefix", "n", F.md5(F.concat_ws(":", "n", "_s", "_t").cast("binary")).alias("hash"))
+
+
+def parent_hashes(children: DataFrame) -> DataFrame:
+    """One level up the tree: ranges a hex digit shorter, hashed from their children, at most 16, in order."""
+    entry = F.struct("prefix", F.concat_ws(":", "prefix", "hash").alias("line"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["line"]), ",")
+    up = F.expr("left(prefix, length(prefix) - 1)").alias("_up")
+    return children.groupBy(up).agg(F.sum("n").alias("n"), F.md5(joined.cast("binary")).alias("hash")).withColumnRenamed("_up", "prefix")
+
+
+def root_hash(rows: DataFrame, key: str = "uid", line: str = "line", *, depth: int = 3) -> DataFrame:
+    """``(n, hash)`` of a whole table, one row: equal for tables that hold the same lines equally often. No
+    rows give n = 0 and the MD5 of the empty text."""
+    level = leaf_hashes(rows, key, line, depth=depth)
+    for _ in range(depth):
+        level = parent_hashes(level)
+    return level.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("hash"), F.md5(F.lit("").cast("binary"))).alias("hash"))
+
+
+def differing_ranges(a: DataFrame, b: DataFrame, key: str = "uid", line: str = "line", *, depth: int = 3) -> DataFrame:
+    """``(prefix, n_a, n_b)`` of the ranges of keys where two tables differ; only hashes of ranges meet."""
+    side = lambda df, x: leaf_hashes(df, key, line, depth=depth).select("prefix", F.col("n").alias(f"n_{x}"), F.col("hash").alias(f"_{x}"))
+    met = side(a, "a").join(side(b, "b"), "prefix", "full").where(~F.col("_a").eqNullSafe(F.col("_b")))
+    return met.select("prefix", *[F.coalesce(f"n_{x}", F.lit(0)).alias(f"n_{x}") for x in "ab"])

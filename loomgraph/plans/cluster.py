@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import quality
+from loomgraph.operators import cycles, quality
 from loomgraph.operators.model import Graph, union_all
 from loomgraph.operators.nodes import build_graph
 from loomgraph.plans.questions import QUESTIONS
@@ -186,6 +186,19 @@ _register(
     lambda g, _: g.all_edges().groupBy("src_label", "etype", "dst_label").agg(F.count(F.lit(1)).alias("n")),
     "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS src_label, '{b}' AS etype, '{c}' AS dst_label, count(*) AS n FROM {t}" for (a, b, c), t in _EDGES.items()) + ") WHERE n > 0",
 )
+def _triangles(g: Graph, _: DataFrame) -> DataFrame:
+    """By the kinds of the corners. Every pod and machine touches the cluster, a hub that no two pairs are joined at."""
+    found = cycles.triangles(g.edges(["PartOf", "RunsOn", "ContainsEndpoint", "HasAddress", "ListedIn"]), scratch_dir(g.spark))
+    kinds = F.array_join(F.array_sort(F.array(*[F.substring_index(c, ":", 1) for c in "abc"])), ",")
+    return found.groupBy(kinds.alias("corners")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_register(
+    "q_cluster_triangles",
+    _triangles,
+    f"SELECT * FROM (SELECT 'Cluster,node,pod' AS corners, count(*) AS n FROM {_EDGES['Pod', 'RunsOn', 'Node']} UNION ALL "
+    f"SELECT 'Endpoint,EndpointAddress,eps', count(*) FROM {_COUNTS['EndpointAddress']}) WHERE n > 0",
+)
 _register(
     "q_cluster_rejects",
     lambda _, rejects: rejects.groupBy("rule", "kind").agg(F.count(F.lit(1)).alias("n")),

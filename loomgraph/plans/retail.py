@@ -852,6 +852,48 @@ def q_content_hash_compare(g: Graph) -> DataFrame:
     return whole.crossJoin(again).crossJoin(less).select("node_count", "edge_count", (F.col("_a") == F.col("_b")).alias("same"), (F.col("_a") == F.col("_c")).alias("other"))
 
 
+@query("WITH c AS (SELECT substr(md5('Customer:' || c_custkey), 1, 3) AS r, 1 + CAST(c_acctbal > 0 AS INTEGER) AS k FROM customer), "
+       "g AS (SELECT r, count(*) AS n, sum(k) AS k FROM c GROUP BY r), b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g), "
+       "a AS (SELECT sum(n) AS n FROM g) SELECT 'Customer' AS label, CAST(any_value(a.n) AS BIGINT) AS nodes, "
+       "CAST(round(any_value(a.n) * (CAST(sum(b.k) AS DOUBLE) / sum(b.n))) AS BIGINT) AS properties FROM b, a WHERE before < 50", text_ids=True)
+def q_property_sample(g: Graph) -> DataFrame:
+    """Scaled up from the first ranges of hashes that hold 50 customers; the sampling is the feature."""
+    props = F.to_json(F.struct("name", F.when(F.col("acctbal") > 0, F.lit("yes")).alias("credit")))
+    return metrics.property_count(g.node_tables["Customer"].select(F.lit("Customer").alias("label"), "uid", props.alias("props_json")), sample=50)
+
+
+# every edge by its key and canonical line, and the sums of each range
+_LINKS = " UNION ALL ".join(
+    f"SELECT '{a}:' || {x} AS k, '{{\"dst\":\"{b}:' || {y} || '\",\"props\":\"{{}}\",\"rel\":\"{e}\",\"src\":\"{a}:' || {x} || '\"}}' AS line, '{e}' AS rel, {y} AS y FROM {t}"
+    for (a, e, b), x, y, t in zip(
+        TRIPLES,
+        ("n_nationkey", "c_custkey", "s_suppkey", "o_custkey", "l_orderkey", "l_suppkey", "event_id"),
+        ("n_regionkey", "c_nationkey", "s_nationkey", "o_orderkey", "l_partkey", "l_partkey", "user_id"),
+        ("nation", "customer", "supplier", "orders", f"({ORDERS})", "(SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)", "events"),
+        strict=True,
+    )
+)
+_UP = "SELECT left(p, {0}) AS p, sum(n) AS n, md5(string_agg(p || ':' || h, ',' ORDER BY p)) AS h FROM {1} GROUP BY 1"
+
+
+@query(f"WITH e AS ({_LINKS}), h AS (SELECT substr(md5('=' || k), 1, 3) AS p, md5('=' || line) AS m FROM e), "
+       "s AS (SELECT p, count(*) AS n, sum(CAST(CAST('0x' || substr(m, 1, 15) AS BIGINT) AS HUGEINT)) AS s, sum(CAST(CAST('0x' || substr(m, 16, 15) AS BIGINT) AS HUGEINT)) AS t FROM h GROUP BY p), "
+       f"l AS (SELECT p, n, md5(n || ':' || s || ':' || t) AS h FROM s), l2 AS ({_UP.format(2, 'l')}), l1 AS ({_UP.format(1, 'l2')}), l0 AS ({_UP.format(0, 'l1')}) "
+       "SELECT CAST(n AS BIGINT) AS n, h AS hash FROM l0", text_ids=True)
+def q_tree_hash(g: Graph) -> DataFrame:
+    """The root of the tree of hashes over all edges."""
+    return quality.root_hash(quality.canonical_edges(g.all_edges()), "src")
+
+
+@query(f"WITH e AS ({_LINKS}), s AS (SELECT substr(md5('=' || k), 1, 3) AS prefix, count(*) AS n_a, count(*) FILTER (NOT (rel = 'Manages' AND y % 97 = 0)) AS n_b FROM e GROUP BY 1) "
+       "SELECT * FROM s WHERE n_a <> n_b", text_ids=True)
+def q_tree_hash_ranges(g: Graph) -> DataFrame:
+    """Where the edges differ from those without every 97th order."""
+    lines = quality.canonical_edges(g.all_edges())
+    gone = (F.col("rel") == "Manages") & (F.substring_index("dst", ":", -1).cast("long") % 97 == 0)
+    return quality.differing_ranges(lines, lines.where(~gone), "src")
+
+
 @query("WITH d AS (SELECT CAST(ts AS DATE) AS batch_ts, count(*) AS v FROM events GROUP BY 1) SELECT CAST(batch_ts AS VARCHAR) AS batch_ts, v AS value, "
        "array_to_string(list(v) OVER (ORDER BY batch_ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), ',') AS history FROM d")
 def q_pulse_history(g: Graph) -> DataFrame:
