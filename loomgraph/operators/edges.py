@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.model import EDGE_COLUMNS, LABELS, LOGICAL_LABELS, SCHEMA_TRIPLES, triples_frame, union_all
 from loomgraph.operators.nodes import Derived, meta
+from loomgraph.sources.snapshot import place
 
 OWNED = ("Pod", "ReplicaSet", "StatefulSet", "DaemonSet", "Deployment", "EndpointSlice", "PersistentVolumeClaim", "Ingress")
 NOT_PART_OF = ("Event", "Cluster", "Host", "IngressServiceBackend", "Endpoint", "EndpointAddress")
@@ -25,7 +26,7 @@ def name_lookup(items: DataFrame, *, by_namespace: bool) -> DataFrame:
     are looked up across namespaces, as the embedded engine does."""
     keys = [F.col("metadata.name").alias("_name")] + [F.col("metadata.namespace").alias("_ns")] * by_namespace
     named = items.where(meta("name").isNotNull() & meta("uid").isNotNull())
-    placed = named.select(*keys, meta("uid").alias("_uid"), F.monotonically_increasing_id().alias("_at"))
+    placed = named.select(*keys, meta("uid").alias("_uid"), place(items).alias("_at"))
     return placed.groupBy(*[c for c in placed.columns if c not in ("_uid", "_at")]).agg(F.max_by("_uid", "_at").alias("_uid"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.model import Graph, union_all
-from loomgraph.sources.snapshot import cleanup_metadata
+from loomgraph.sources.snapshot import ORDINAL, cleanup_metadata, place
 
 
 def meta(name: str) -> Column:
@@ -104,7 +104,7 @@ def observed_nodes(kind: str, objects: DataFrame, *, unique: bool = False) -> Da
     version = F.lit(None).cast("string") if kind == "Event" else meta("resourceVersion")
     nodes = objects.where(meta("uid").isNotNull()).select(
         meta("uid").alias("uid"), meta("name").alias("name"), meta("namespace").alias("namespace"), version.alias("resource_version"),
-        *[c for c in objects.columns if c != "metadata"], F.col("metadata"), F.monotonically_increasing_id().alias("_at"),
+        *[c for c in objects.columns if c not in ("metadata", ORDINAL)], F.col("metadata"), place(objects).alias("_at"),
     )
     return nodes.drop("_at") if unique else upsert(nodes, F.col("_at")).drop("_at")
 

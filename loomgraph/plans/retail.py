@@ -13,6 +13,7 @@ from loomgraph.operators.match import Hop, Node, Rows, collect
 from loomgraph.operators.model import Graph, triples_frame
 from loomgraph.sources import sinks
 from loomgraph.sources.scratch import scratch, scratch_dir, stored
+from loomgraph.sources.snapshot import ORDINAL
 from loomgraph.streaming.refresh import GraphStore
 
 TRIPLES = (
@@ -894,6 +895,20 @@ def q_tree_hash_ranges(g: Graph) -> DataFrame:
     return quality.differing_ranges(lines, lines.where(~gone), "src")
 
 
+_CLAIMS = "SELECT c_mktsegment AS name, n_name AS namespace, 'c' || c_custkey AS uid, c_custkey AS k FROM customer JOIN nation ON c_nationkey = n_nationkey"
+
+
+@query(f"WITH c AS ({_CLAIMS}) SELECT name, namespace, arg_max(uid, k) AS uid FROM c GROUP BY ALL UNION ALL SELECT name, NULL, arg_max(uid, k) FROM c GROUP BY name")
+def q_last_by_name(g: Graph) -> DataFrame:
+    """The last object of a name in its place in the source, by namespace and, with a null one, across them."""
+    rows = Rows(g).match(Node("c", "Customer"), Hop("BelongsTo"), Node("n", "Nation"))
+    given = rows.returns(lambda v: {"name": v.c["segment"], "namespace": v.n["name"], "_at": key_of(v.c)})
+    named = F.struct("name", "namespace", F.concat(F.lit("c"), F.col("_at").cast("string")).alias("uid"))
+    items = given.select(named.alias("metadata"), F.col("_at").alias(ORDINAL))
+    found = edges.name_lookup(items, by_namespace=True).unionByName(edges.name_lookup(items, by_namespace=False), allowMissingColumns=True)
+    return found.select(F.col("_name").alias("name"), F.col("_ns").alias("namespace"), F.col("_uid").alias("uid"))
+
+
 @query("WITH d AS (SELECT CAST(ts AS DATE) AS batch_ts, count(*) AS v FROM events GROUP BY 1) SELECT CAST(batch_ts AS VARCHAR) AS batch_ts, v AS value, "
        "array_to_string(list(v) OVER (ORDER BY batch_ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), ',') AS history FROM d")
 def q_pulse_history(g: Graph) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.model import EDGE_COLUMNS, Graph
 from loomgraph.operators.quality import canonical_edges, canonical_nodes
-from loomgraph.sources.snapshot import SCHEMAS
+from loomgraph.sources.snapshot import ORDINAL, SCHEMAS
 
 
 def _array_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -27,6 +27,7 @@ def write_snapshot(snapshot: dict[str, DataFrame], path: str, *, format: str = "
     """One folder per kind, as ``read_snapshot`` reads it: JSON lines or Parquet, which are read back in
     parallel, or, as ``json``, files with an array each, one per partition."""
     for kind, df in snapshot.items():
+        df = df.drop(ORDINAL)
         target = f"{path}/{SCHEMAS[kind][0]}"
         if format == "json":
             lines = df.select(F.to_json(F.struct(*df.columns)).alias("line")).mapInPandas(_array_lines, "line string")

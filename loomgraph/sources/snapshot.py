@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,8 @@ SCHEMAS: dict[str, tuple[str, str]] = {
 }
 CLUSTER_WIDE = ("Cluster", "Namespace", "StorageClass", "PersistentVolume", "Node")
 OPTIONAL = ("Node", "StorageClass", "PersistentVolume", "PersistentVolumeClaim")
+#: The column with an object's place in its source, by which the last of several wins.
+ORDINAL = "_at"
 DROPPED_ANNOTATIONS = ("kubectl.kubernetes.io/last-applied-configuration", "kapp.k14s.io/original")
 
 
@@ -77,11 +79,24 @@ def read_kind(spark: SparkSession, path: str, kind: str, *, format: str = "json"
     return reader.json(f"{path}/{name}") if format == "ndjson" else reader.parquet(f"{path}/{name}")
 
 
-def read_snapshot(spark: SparkSession, path: str, *, namespace: str | None = None, format: str = "json") -> dict[str, DataFrame]:
+def with_ordinal(df: DataFrame) -> DataFrame:
+    """Add ``ORDINAL`` to a frame that is read from files: file, start of the block that a task reads, and a
+    number that rises within the task. It sorts as the rows stand in the files, however these are cut into tasks."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.withColumn(ORDINAL, at)
+
+
+def place(df: DataFrame) -> Column:
+    """An object's place: its ``ORDINAL``, any sortable column, where there is one; else the order of the rows as they come."""
+    return F.col(ORDINAL) if ORDINAL in df.columns else F.monotonically_increasing_id()
+
+
+def read_snapshot(spark: SparkSession, path: str, *, namespace: str | None = None, format: str = "json", ordinals: bool = False) -> dict[str, DataFrame]:
     """Kind -> DataFrame of a snapshot folder.
 
     A missing file is an error, but for the four kinds in ``OPTIONAL``, which are empty then. With
-    ``namespace`` the namespaced kinds are restricted to it; the filter reaches Parquet files.
+    ``namespace`` the namespaced kinds are restricted to it; the filter reaches Parquet files. With ``ordinals`` each
+    object keeps its place in the files, so that rules of the last one give the same graph for any split.
     """
     out = {}
     for kind in SCHEMAS:
@@ -91,8 +106,10 @@ def read_snapshot(spark: SparkSession, path: str, *, namespace: str | None = Non
         except Exception as e:
             if kind not in OPTIONAL or "PATH_NOT_FOUND" not in str(e):
                 raise
-            df = spark.createDataFrame([], schema_of(kind))
-        out[kind] = df if namespace is None or kind in CLUSTER_WIDE else df.where(F.col("metadata.namespace") == namespace)
+            out[kind] = spark.createDataFrame([], schema_of(kind))
+            continue
+        df = df if namespace is None or kind in CLUSTER_WIDE else df.where(F.col("metadata.namespace") == namespace)
+        out[kind] = with_ordinal(df) if ordinals else df
     return out
 
 

@@ -163,7 +163,7 @@ def refresh_stream(
     """For each manifest, a JSON file ``{"snapshot": path}``, build the snapshot's graph, compare it with the
     last committed version and write the next one. One manifest a batch; the batch number is the version, so
     a batch that runs again after a failure writes the same version again."""
-    load = load or (lambda s, path: build_graph(read_snapshot(s, path))[0])
+    load = load or (lambda s, path: build_graph(read_snapshot(s, path, ordinals=True))[0])
     target = GraphStore(spark, store)
 
     def step(batch: DataFrame, number: int) -> None:
