@@ -3,9 +3,12 @@ terms, and the words around a hit tell quotation from abuse."""
 
 from __future__ import annotations
 
+import bisect
 import math
+import os
 import re
 from collections.abc import Iterator
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +19,10 @@ from loomgraph.llm.common import materialize, words_of
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most (about: rows are dealt by hash).
 FIT_ROWS = 10_000
-#: Marks a term as a whole word, of any length; a stem has so many letters; log-odds that need no more letters.
+#: Marks a term as a whole word; letters of a stem at least; up to so many letters every beginning of a word is
+#: counted, beyond them only where words part; log-odds that need no more letters.
 END = "\x01"
-SHORTEST, STEM = 3, 24
+SHORTEST, DENSE = 3, 24
 SURE = 4.0
 #: Words that make up a hit's context, before and after it.
 CONTEXT = 6
@@ -236,6 +240,29 @@ def _descend(prefix: str, count: dict[str, tuple[int, int]], below: dict[str, li
             yield from _descend(c, count, below, odds)
 
 
+def _long_stems(words):
+    """Texts of either label under the longer stems of words that share their first ``DENSE`` letters.
+
+    Counts only change where sorted words part or end, so these places stand for all lengths between: as
+    many stems as words at most, whatever the words' lengths.
+    """
+    import pandas as pd
+
+    texts: dict[str, set] = {}
+    for row, label, word in zip(words["row"], words["label"], words["word"], strict=True):
+        texts.setdefault(word, set()).add((row, label))
+    order = sorted(texts)
+    stems = {*order, *(os.path.commonprefix(pair) for pair in zip(order, order[1:], strict=False))}
+    found = []
+    for stem in stems:
+        if len(stem) > DENSE:
+            first = bisect.bisect_left(order, stem)
+            under = takewhile(lambda w: w.startswith(stem), islice(order, first, None))  # noqa: B023  used at once
+            held = set().union(*(texts[w] for w in under))
+            found.append((stem, sum(label for _, label in held), sum(1 - label for _, label in held)))
+    return pd.DataFrame(found, columns=["term", "n1", "n0"])
+
+
 def learn_lexicon(train: DataFrame, text_col: str, label_col: str) -> tuple[list, list]:
     """Words and stems far likelier in texts labelled 1: (terms, log-odds).
 
@@ -252,7 +279,7 @@ def learn_lexicon(train: DataFrame, text_col: str, label_col: str) -> tuple[list
     terms = F.transform(
         F.filter(bare, lambda w: F.char_length(w) >= SHORTEST),
         lambda w: F.array_append(
-            F.transform(F.sequence(F.lit(SHORTEST), F.least(F.char_length(w), F.lit(STEM))), lambda k: F.substring(w, F.lit(1), k)),
+            F.transform(F.sequence(F.lit(SHORTEST), F.least(F.char_length(w), F.lit(DENSE))), lambda k: F.substring(w, F.lit(1), k)),
             F.concat(w, F.lit(END)),
         ),
     )
@@ -261,6 +288,13 @@ def learn_lexicon(train: DataFrame, text_col: str, label_col: str) -> tuple[list
         .groupBy("term")
         .agg(F.sum(label_col).alias("n1"), F.sum(1 - F.col(label_col)).alias("n0"))
     )
+    long = (
+        train.select(F.monotonically_increasing_id().alias("row"), F.col(label_col).cast("int").alias("label"), F.explode(bare).alias("word"))
+        .where(F.char_length("word") > DENSE)
+        .groupBy(F.substring("word", 1, DENSE).alias("head"))
+        .applyInPandas(_long_stems, "term string, n1 long, n0 long")
+    )
+    counts = counts.unionByName(long)
     log_odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     told = (
         counts.withColumn("odds", log_odds)
@@ -269,10 +303,12 @@ def learn_lexicon(train: DataFrame, text_col: str, label_col: str) -> tuple[list
     )
     count = {r["term"]: (r["n1"], r["n0"]) for r in told}
     below: dict[str, list[str]] = {}
-    roots = []
+    roots, above = [], []  # above: the terms that the last one begins with, and itself
     for t in sorted(count):
-        above = next((t[:k] for k in range(min(len(t) - 1, STEM), SHORTEST - 1, -1) if t[:k] in count), None)
-        roots.append(t) if above is None else below.setdefault(above, []).append(t)
+        while above and not t.startswith(above[-1]):
+            above.pop()
+        below.setdefault(above[-1], []).append(t) if above else roots.append(t)
+        above.append(t)
 
     def odds(term: str) -> float:
         a, b = count[term]

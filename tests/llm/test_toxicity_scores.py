@@ -109,3 +109,15 @@ def test_all_words_of_three_letters_against_brute_force():
         for word in map("".join, itertools.product("abc", repeat=n)):
             found = lexicon.find(word)
             assert (found[1] if found else None) == nearest(word, terms, weights)
+
+
+def test_stems_of_any_length(spark):
+    """A stem ends where its words part, however long it is; a megabyte in one word does no harm."""
+    stem, giant = "abcdefghij" * 7, "z" * 1_000_000
+    bad = [f"some words {stem}{'qwertyui'[i % 8]}tail{i} more {i}" for i in range(40)] + [f"{giant} {i}" for i in range(5)]
+    fine = [f"some words of another kind {stem[:30]} and more {i}" for i in range(60)]
+    rows = [(t, 1) for t in bad] + [(t, 0) for t in fine]
+    terms, odds = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), "text", "toxic")
+    assert stem in terms and min(odds) >= 1
+    assert toxicity.Lexicon(terms, odds).exact(stem + "xyz") is not None
+    assert toxicity.Lexicon(terms, odds).exact(stem[:60]) is None
