@@ -170,6 +170,15 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, f"_id {kind}, _set array<long>")
 
 
+def _dealt(per_key: DataFrame, key: str) -> DataFrame:
+    """An aggregate by ``key``, dealt out by a hash of it.
+
+    A join on the key then shuffles it like the other side, and adaptive execution can split a hot key's rows; an
+    aggregate that lies as the join wants it keeps them in one task.
+    """
+    return per_key.repartition(F.xxhash64(key))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of (``a``, ``b``) as (``node``, ``component``): its smallest node.
 
@@ -186,9 +195,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(_dealt(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(least, "a")
+        hung = large.join(_dealt(least, "a"), "a")
         small = hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = materialize(small.distinct(), "links")
         after = digest(edges)
@@ -381,7 +390,7 @@ def near_duplicates(
         .where("_head <> _last")
         .drop("_last")
     )
-    met = buckets.join(heads, "_bucket").where("_id <> _head").select("_head", "_id").distinct()
+    met = buckets.join(_dealt(heads, "_bucket"), "_bucket").where("_id <> _head").select("_head", "_id").distinct()
     size = nodes.select("_id", "_n")
     stars = materialize(
         met.join(size, "_id").join(size.select(F.col("_id").alias("_head"), F.col("_n").alias("_head_n")), "_head"), "stars"
