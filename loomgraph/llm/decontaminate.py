@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import drop_dir, materialize, put_back, set_aside, write_table
+from loomgraph.llm.common import materialize, put_back, set_aside, two_hashes
 
 WINDOW = 13
 SHARD_BITS = 20
@@ -293,9 +294,10 @@ def find_benchmark(
     with none left nothing is hit. Repeated rows are looked at one by one; an empty table gives an empty
     table. Texts are searched whole: those longer than a shard in overlapping parts.
 
-    No document is shuffled. Only a block of the benchmark, of at most ``block_words`` words (and a part of
-    an item), is sent to the tasks. With more than one block every pass is written and the pass before it
-    dropped, so that one block is held at a time, on the driver and on the executors.
+    With one block no document is shuffled. Only a block of the benchmark, of at most ``block_words`` words (and a part of
+    an item), is sent to the tasks. With more than one block each is a pass that reads the texts and writes
+    its hits only, by the text's 128-bit hash, and the last pass is joined with them; so one block is held at
+    a time, on the driver and on the executors, and the documents themselves are never written.
     """
     spark = docs.sparkSession
     columns = docs.drop("n_words", "n_hit", "items", "spans").columns
@@ -307,18 +309,20 @@ def find_benchmark(
         F.expr("cast(array() as array<int>) as _hit"),
     )
     blocks = _blocks(items, item_col, item_text_col, window, block_words)
-    passes, before = blocks.count(), None
-    if not passes:
+    left, earlier = blocks.count(), []
+    if not left:
         out = _search(out, text_col, spark.sparkContext.broadcast(cloudpickle.dumps(Windows([], window))))
+    texts = plain.select(F.col(f"`{text_col}`").alias("_text"))
     for row in blocks.toLocalIterator():
         block = spark.sparkContext.broadcast(bytes(row["block"]))
-        out = _search(out, text_col, block)
-        if passes > 1:
-            out, path = write_table(out, "benchmark-pass")
+        left -= 1
+        if left:
+            earlier.append(materialize(_hits(texts, block), "benchmark-hits"))
             block.destroy()
-            if before:
-                drop_dir(spark, before)
-            before = path
+        else:
+            out = _search(out, text_col, block)
+    if earlier:
+        out = _with_hits(out, text_col, reduce(DataFrame.unionByName, earlier))
     out = _spans(out, text_col)
     keep = [c for c in columns if keep_text or c != text_col]
     return out.select(*put_back(keep, text_col), "n_words", F.col("_n_hit").alias("n_hit"), "items", "spans")
@@ -347,6 +351,24 @@ def _search(docs: DataFrame, text_col: str, block) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def _hits(texts: DataFrame, block) -> DataFrame:
+    """What one block hits, a row per distinct text that it hits: the text's hashes, ``items``, ``_hit``."""
+    from_none = [F.expr("cast(null as bigint) as n_words"), F.expr("cast(array() as array<string>) as items"), F.expr("cast(array() as array<int>) as _hit")]
+    hit = _search(texts.select("_text", *from_none), "_text", block).where(F.size("_hit") > 0)
+    h1, h2 = two_hashes(F.col("_text"))
+    return hit.select(h1.alias("_h1"), h2.alias("_h2"), "items", "_hit").dropDuplicates(["_h1", "_h2"])
+
+
+def _with_hits(docs: DataFrame, text_col: str, hits: DataFrame) -> DataFrame:
+    """``items`` and ``_hit`` with the hits of the blocks before added, which have a row per text and block at most."""
+    gathered = lambda c: F.flatten(F.collect_list(c)).alias(f"{c}_before")
+    before = materialize(hits.groupBy("_h1", "_h2").agg(gathered("items"), gathered("_hit")), "benchmark-hits")
+    h1, h2 = two_hashes(F.col(f"`{text_col}`"))
+    met = docs.join(before, (before["_h1"] == h1) & (before["_h2"] == h2), "left")
+    both = lambda c: F.array_sort(F.array_union(c, F.coalesce(f"{c}_before", F.slice(c, 1, 0)))).alias(c)
+    return met.select(*[both(c) if c in ("items", "_hit") else F.col(f"`{c}`") for c in docs.columns])
+
+
 def _spans(docs: DataFrame, text_col: str) -> DataFrame:
     """``_n_hit`` and ``spans`` from the hit words; only texts with hits reach Python."""
     span_type = "array<struct<start:int,end:int>>"

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common, line_dedup, near_dedup
+from loomgraph.llm import common, decontaminate, line_dedup, near_dedup
 from test_operators import components, shingles
 
 
@@ -56,3 +56,38 @@ def test_members_without_partners_go_before_blocks(spark):
     sets = spark.createDataFrame([(i, shared + [1000 * (i + 1) + k for k in range(7, 11)]) for i in range(48)] + [(48, list(range(10))), (49, list(range(9)) + [77])], "_id int, _set array<bigint>")
     left = near_dedup._with_partners(group, sets, 85)
     assert sorted(r["_id"] for r in left.collect()) == [48, 49]
+
+
+def test_a_hot_bucket_is_split(spark):
+    """Rows of a key that holds a third of them meet its aggregate in several tasks."""
+    limits = {"skewJoin.skewedPartitionThresholdInBytes": "64KB", "advisoryPartitionSizeInBytes": "64KB", "skewJoin.skewedPartitionFactor": "1.5"}
+    settings = {**{f"spark.sql.adaptive.{k}": v for k, v in limits.items()}, "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 200_000, 1, 8).selectExpr("id as v", "if(id % 3 = 0, 0, id div 2) as k")
+        joined = rows.join(near_dedup._dealt(rows.groupBy("k").agg(F.min("v").alias("least")), "k"), "k")
+        assert joined.agg(F.count("least")).first()[0] == 200_000
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("block_words", [60, 400])
+def test_blocks_write_their_hits_only(spark, monkeypatch, block_words):
+    """Many blocks give what one gives, copies and null texts included, and no written table has a document's text."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(300)]
+    items = [(f"i{k}", " ".join(rng.choices(words, k=rng.choice([5, 13, 30])))) for k in range(40)]
+    texts = [None, "", "w1 w2"] + [" ".join(rng.choices(words, k=50) + items[k % 40][1].split() + rng.choices(words, k=20) + items[k * 7 % 40][1].upper().split()) for k in range(60)]
+    docs = spark.createDataFrame([(k, texts[k % 63], f"x{k}") for k in range(200)], "doc_id int, text string, _text string").repartition(5)
+    table = spark.createDataFrame(items, "item_id string, text string")
+    one = sorted(map(str, decontaminate.find_benchmark(docs, table).collect()))
+    written, plain = [], decontaminate.materialize
+    monkeypatch.setattr(decontaminate, "materialize", lambda df, name="table": written.append((name, df.columns)) or plain(df, name))
+    assert sorted(map(str, decontaminate.find_benchmark(docs, table, block_words=block_words).collect())) == one
+    hits = [columns for name, columns in written if name == "benchmark-hits"]
+    assert len(hits) > 1 and all({"text", "_text", "_rest"}.isdisjoint(columns) for columns in hits)
