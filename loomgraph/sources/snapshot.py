@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.sources import arrays
+
 META = (
     "metadata struct<name:string,uid:string,namespace:string,resourceVersion:string,creationTimestamp:string,"
     "labels:map<string,string>,annotations:map<string,string>,"
@@ -70,13 +72,22 @@ def schema_of(kind: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[kind][1])
 
 
-def read_kind(spark: SparkSession, path: str, kind: str, *, format: str = "json") -> DataFrame:
-    """One kind: ``json`` is a file with an array, which one task reads; ``ndjson`` and ``parquet`` split."""
+def read_kind(spark: SparkSession, path: str, kind: str, *, format: str = "json", ordinals: bool = False) -> DataFrame:
+    """One kind: ``json`` is a file with an array, ``ndjson`` and ``parquet`` are folders; all are read by many tasks.
+
+    An array file of no more bytes than one task's range is left to Spark's reader. ``ordinals`` adds ``ORDINAL``.
+    """
     name = SCHEMAS[kind][0]
     reader = spark.read.schema(schema_of(kind))
     if format == "json":
-        return reader.json(f"{path}/{name}.json", multiLine=True)
-    return reader.json(f"{path}/{name}") if format == "ndjson" else reader.parquet(f"{path}/{name}")
+        file = f"{path}/{name}.json"
+        found = arrays.file_size(spark, file)
+        if found and found[1] > arrays.RANGE_BYTES:
+            return arrays.read_array(spark, file, schema_of(kind), range_bytes=arrays.RANGE_BYTES, ordinal=ORDINAL if ordinals else None)
+        df = reader.json(file, multiLine=True)
+    else:
+        df = reader.json(f"{path}/{name}") if format == "ndjson" else reader.parquet(f"{path}/{name}")
+    return with_ordinal(df) if ordinals else df
 
 
 def with_ordinal(df: DataFrame) -> DataFrame:
@@ -101,15 +112,14 @@ def read_snapshot(spark: SparkSession, path: str, *, namespace: str | None = Non
     out = {}
     for kind in SCHEMAS:
         try:
-            df = read_kind(spark, path, kind, format=format)
+            df = read_kind(spark, path, kind, format=format, ordinals=ordinals)
             df.schema  # the path is checked here  # noqa: B018
         except Exception as e:
             if kind not in OPTIONAL or "PATH_NOT_FOUND" not in str(e):
                 raise
             out[kind] = spark.createDataFrame([], schema_of(kind))
             continue
-        df = df if namespace is None or kind in CLUSTER_WIDE else df.where(F.col("metadata.namespace") == namespace)
-        out[kind] = with_ordinal(df) if ordinals else df
+        out[kind] = df if namespace is None or kind in CLUSTER_WIDE else df.where(F.col("metadata.namespace") == namespace)
     return out
 
 
