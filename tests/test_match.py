@@ -209,3 +209,15 @@ def test_unlabelled_ends_leave_other_tables_unread(spark):
     plan = retail.queries()["q_hop_both"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "c_custkey" in plan and "s_suppkey" in plan
     assert not any(x in plan for x in ("o_orderkey", "p_partkey", "event_id"))
+
+
+def test_keys_in_a_condition_are_joined_on(spark):
+    """A condition that relates two nodes is no nested loop; where it is null, nothing is met."""
+    people = spark.createDataFrame([(1, "a", None, None, 5), (2, "b", None, None, None), (None, "c", None, None, 9)], "uid long, name string, namespace string, resource_version string, k int")
+    things = spark.createDataFrame([(11, "x", None, None, 5), (12, "y", None, None, None), (13, "z", None, None, 7)], "uid long, name string, namespace string, resource_version string, k int")
+    rows, same = Rows(Graph({"A": people, "B": things})).match(Node("a", "A")), lambda v: v.a["k"] == v.b["k"]
+    names = lambda r: sorted(x[0] for x in r.df.select("a__name").collect())
+    for found, want in ((rows.exists(Node("b", "B"), where=same), ["a"]), (rows.not_exists(Node("b", "B"), where=same), ["b", "c"]),
+                        (rows.match(Node("b", "B"), where=same, optional=True, allow_cross=True), ["a", "b", "c"])):
+        assert "NestedLoop" not in found.df._jdf.queryExecution().executedPlan().toString()
+        assert names(found) == want
