@@ -13,25 +13,34 @@ from loomgraph.operators.quality import canonical_edges, canonical_nodes
 from loomgraph.sources.snapshot import ORDINAL, SCHEMAS
 
 
-def _array_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The lines of a JSON array of the partition's objects."""
-    before = "["
+#: Characters of a JSON array's objects after which the next array begins, so that a reader holds no more.
+ARRAY_CHARS = 32 << 20
+
+
+def _arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The partition's objects as JSON arrays, each a value of its own; at least one."""
+    whole = lambda x: pd.DataFrame({"array": ["[" + ",\n".join(x) + "]"]})
+    held, size, any_ = [], 0, False
     for batch in batches:
         for row in batch["line"]:
-            yield pd.DataFrame({"line": [before, row]})
-            before = ","
-    yield pd.DataFrame({"line": ["[", "]"] if before == "[" else ["]"]})
+            held.append(row)
+            size += len(row)
+            if size >= ARRAY_CHARS:
+                yield whole(held)
+                held, size, any_ = [], 0, True
+    if held or not any_:
+        yield whole(held)
 
 
 def write_snapshot(snapshot: dict[str, DataFrame], path: str, *, format: str = "ndjson") -> None:
     """One folder per kind, as ``read_snapshot`` reads it: JSON lines or Parquet, which are read back in
-    parallel, or, as ``json``, files with an array each, one per partition."""
+    parallel, or, as ``json``, files with an array each, one or more per partition."""
     for kind, df in snapshot.items():
         df = df.drop(ORDINAL)
         target = f"{path}/{SCHEMAS[kind][0]}"
         if format == "json":
-            lines = df.select(F.to_json(F.struct(*df.columns)).alias("line")).mapInPandas(_array_lines, "line string")
-            lines.write.mode("overwrite").text(f"{target}.json")
+            arrays = df.select(F.to_json(F.struct(*df.columns)).alias("line")).mapInPandas(_arrays, "array string")
+            arrays.write.mode("overwrite").option("maxRecordsPerFile", 1).text(f"{target}.json")
         elif format == "ndjson":
             df.write.mode("overwrite").option("ignoreNullFields", "true").json(target)
         else:

@@ -164,3 +164,17 @@ def _folder(tmp_path):
 def test_cleanup(spark, folder):
     pods = cleanup_metadata(read_snapshot(spark, folder)["Pod"])
     assert "managedFields" not in pods.schema["metadata"].dataType.fieldNames()
+
+
+def test_arrays_are_written_in_few_frames_of_a_bounded_size(monkeypatch):
+    """Before, each object was a frame of its own and a partition one array, however large."""
+    import pandas as pd
+
+    rows = [json.dumps({"i": i}) for i in range(5000)]
+    batches = lambda: iter([pd.DataFrame({"line": rows[:2000]}), pd.DataFrame({"line": rows[2000:]})])
+    frames = list(sinks._arrays(batches()))
+    assert len(frames) == 1 and [x["i"] for x in json.loads(frames[0]["array"][0])] == list(range(5000))
+    monkeypatch.setattr(sinks, "ARRAY_CHARS", 1000)
+    parts = [json.loads(f["array"][0]) for f in sinks._arrays(batches())]
+    assert len(parts) > 40 and [x["i"] for p in parts for x in p] == list(range(5000))
+    assert [f["array"][0] for f in sinks._arrays(iter([]))] == ["[]"]
