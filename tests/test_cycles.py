@@ -41,6 +41,13 @@ def test_a_hub_is_low_in_few_pairs(spark, tmp_path):
     assert cycles.triangles(edges, f"{tmp_path}/t").count() == n
 
 
+def test_leaves_are_left_out(spark, tmp_path):
+    """A star with one triangle: before, each of its 500 leaves was a pair that all joins carried along."""
+    edges = spark.range(500).select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst")).union(spark.createDataFrame([(0, 1)], "src long, dst long"))
+    assert cycles.ranked_pairs(edges, f"{tmp_path}/r").count() == 3
+    assert [sorted(r) for r in cycles.triangles(edges, f"{tmp_path}/t").collect()] == [[-1, 0, 1]]
+
+
 def test_no_edges_no_triangles(spark, tmp_path):
     assert cycles.triangles(spark.createDataFrame([], "src string, dst string"), f"{tmp_path}/t").collect() == []
 
