@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,14 +13,17 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from loomgraph.operators import changes
-from loomgraph.operators.model import EDGE_COLUMNS, Graph
+from loomgraph.operators.model import EDGE_COLUMNS, Graph, union_all
 from loomgraph.operators.nodes import build_graph
-from loomgraph.sources.scratch import drop_dir, scratch, stored
+from loomgraph.sources.scratch import drop_dir, list_dir, scratch, stored
 from loomgraph.sources.snapshot import read_snapshot
 
 NODES = "uid string, name string, namespace string, resource_version string, label string, props string, typed string"
 EDGES = ", ".join(f"{c} string" for c in EDGE_COLUMNS)
 CHANGE = "op string, version long"
+PARTS = "what string, folder string, names array<string>"
+#: Schema, key, and the columns by which folders are named, of either table.
+TABLES = {"nodes": (NODES, ["label", "uid"], changes.NODE_GROUP), "edges": (EDGES, list(EDGE_COLUMNS), changes.EDGE_GROUP)}
 MANIFEST = "snapshot string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,9 +31,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class GraphStore:
     """Versions of (nodes, edges) below a path: a base now and then, and between bases what each version changes.
 
-    A version is its base with the last change of each uid and edge since. It counts once its row in ``commits`` is
-    written, which is the last thing written; what a lost driver left half done isn't read, and is
-    written again under the same number. ``compact`` writes a new base, ``vacuum`` drops what no kept version needs.
+    Nodes lie in a folder per label, edges in one per triple, so a pattern reads the folders it names. A base is a list of such
+    folders: one of a compacted version has new folders for what changed and names those of the base before for all else. What no
+    version touched passes by the joins with changes. A version is its base with the last change of each node and edge since.
+    It counts once its row in ``commits`` is written, which is the last thing written; what a lost driver left half done isn't
+    read, and is written again under the same number. ``compact`` writes a new base, ``vacuum`` drops what no kept version needs.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -61,56 +68,88 @@ class GraphStore:
         if version < (self._latest(F.col("kind") == "floor") or 0):
             raise ValueError(f"version {version} was dropped")
         base = self._latest((F.col("kind") == "base") & upto)
-        if base is None:
-            nodes, edges = self.read(None)
-        else:
-            at = f"{self.path}/base/v{base}"
-            nodes, edges = (self.spark.read.schema(x).parquet(f"{at}/{name}") for x, name in ((NODES, "nodes"), (EDGES, "edges")))
-        since = upto & (F.col("version") > F.lit(-1 if base is None else base))
+        held = {} if base is None else self._held(base)
+        changed = self._changed(base, version)
+        return tuple(_merged(self._rows(what, held.get(what, {})), rows, touched, what)[0] for what, (rows, touched) in changed.items())
+
+    def _held(self, base: int) -> dict[str, dict[str, list[list[str | None]]]]:
+        """Table -> folder -> the names of labels or triples that a base has there."""
+        out: dict = {}
+        for what, folder, names in self.spark.read.schema(PARTS).parquet(f"{self.path}/base/v{base}/parts").collect():  # labels and triples
+            out.setdefault(what, {}).setdefault(folder, []).append(names)
+        return out
+
+    def _rows(self, what: str, held: dict[str, list[list[str | None]]]) -> DataFrame:
+        """A base's rows."""
+        schema, _, by = TABLES[what]
+        group = changes.group_of(by)
+        read = lambda folder: self.spark.read.schema(schema).parquet(f"{self.path}/rows/{what}/{folder}").select(*_names(schema))
+        found = [read(folder).where(group.isin([changes.group_text(x) for x in names])) for folder, names in held.items()]
+        return union_all(found) if found else self.spark.createDataFrame([], schema)
+
+    def _changed(self, base: int | None, version: int) -> dict[str, tuple[DataFrame | None, list[str]]]:
+        """Table -> its changes after a base up to a version, and the labels or triples that have some."""
+        since = (F.col("version") <= version) & (F.col("version") > F.lit(-1 if base is None else base))
         counted = self._commits().where(since & (F.col("kind") == "change")).select("version").distinct()
         if counted.isEmpty():
-            return nodes, edges
-        of = lambda schema, name: self.spark.read.schema(f"{schema}, {CHANGE}").parquet(f"{self.path}/changes/{name}").where(since).join(counted, "version", "left_semi")
-        return _merged(nodes, of(NODES, "nodes"), ["uid"]), _merged(edges, of(EDGES, "edges"), list(EDGE_COLUMNS))
+            return dict.fromkeys(TABLES, (None, []))
+        out = {}
+        for what, (schema, _, by) in TABLES.items():
+            rows = self.spark.read.schema(f"{schema}, {CHANGE}").parquet(f"{self.path}/changes/{what}").where(since).join(counted, "version", "left_semi")
+            out[what] = rows, [r[0] for r in rows.select(changes.group_of(by)).distinct().collect()]  # labels or triples
+        return out
 
     def graph(self, version: int | None, like: Graph) -> Graph:
         """A version to match on, with the labels, triples and typed properties that ``like`` has."""
         return Graph.from_tables(*self.read(version), like.node_tables, like.edge_tables, like.properties())
 
     def write(self, version: int, nodes: DataFrame, edges: DataFrame) -> None:
-        """A base."""
-        at = f"{self.path}/base/v{version}"
-        columns = [c.split()[0] for c in NODES.split(", ")]
-        nodes.select(*[c for c in columns if c in nodes.columns]).write.mode("overwrite").parquet(f"{at}/nodes")
-        edges.select(*EDGE_COLUMNS).write.mode("overwrite").parquet(f"{at}/edges")
+        """A base, all in new folders."""
+        self._write_base(version, {"nodes": nodes.select(*[c for c in _names(NODES) if c in nodes.columns]), "edges": edges.select(*EDGE_COLUMNS)}, {})
+
+    def _write_base(self, version: int, new: dict[str, DataFrame], parts: dict[str, dict[str, list[list[str | None]]]]) -> None:
+        """New folders for the rows ``new``, and a list of them and of the ``parts`` that are there."""
+        listed = [(what, folder, x) for what, held in parts.items() for folder, names in held.items() for x in names]
+        for what, rows in new.items():
+            schema, _, by = TABLES[what]
+            folder = f"v{version}-{uuid.uuid4().hex}"
+            _write(rows, by, f"{self.path}/rows/{what}/{folder}")
+            made = self.spark.read.schema(schema).parquet(f"{self.path}/rows/{what}/{folder}").select(*by).distinct().collect()  # labels or triples
+            listed += [(what, folder, list(x)) for x in made]
+        self.spark.createDataFrame(listed, PARTS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/base/v{version}/parts")
         self._commit(version, "base")
 
     def update(self, version: int, graph: Graph) -> bool:
         """Bring the last version before ``version`` to ``graph``, writing what changes; False, and nothing written, if nothing does."""
         old_nodes, old_edges = self.read(self.last(before=version))
-        new_nodes, new_edges = graph.stored_nodes().select(*old_nodes.columns), graph.all_edges()
         with scratch(self.spark) as work:  # each difference is made once: it is looked at first, then written
-            node_changes = stored(changes.node_diff(new_nodes, old_nodes), f"{work}/nodes")
-            edge_changes = stored(changes.edge_diff(new_edges, old_edges), f"{work}/edges")
+            new_nodes, left = changes.changed_nodes(graph.stored_nodes().select(*old_nodes.columns), old_nodes, f"{work}/node_ranges")
+            node_changes = stored(changes.node_changes(new_nodes, left), f"{work}/nodes")
+            edge_changes = stored(changes.edge_diff(*changes.changed_edges(graph.all_edges(), old_edges, f"{work}/edge_ranges")), f"{work}/edges")
             if changes.is_empty(node_changes, edge_changes):
                 return False
             self.apply(version, old_edges, node_changes, new_nodes, edge_changes)
         return True
 
     def apply(self, version: int, old_edges: DataFrame, node_changes: DataFrame, new_nodes: DataFrame, edge_changes: DataFrame) -> None:
-        """Write a version's changes: ``changes.apply_diff``'s rules, as rows of what goes and what comes."""
+        """Write a version's changes: ``changes.apply_diff``'s rules, as rows of what goes and what comes. ``node_changes`` are
+        those of ``changes.node_changes``: a node that changed its label goes from the old one."""
         come = node_changes.where(F.col("op") != "removed").select("uid")
         dead = node_changes.where(F.col("op") == "removed").select("uid")
-        upserts = new_nodes.join(come, "uid", "left_semi").withColumn("op", F.lit("there"))
-        nodes = upserts.unionByName(dead.withColumn("op", F.lit("gone")), allowMissingColumns=True)
+        left = node_changes.where(F.col("was").isNotNull() & ~F.col("was").eqNullSafe(F.col("now"))).select(F.col("was").alias("label"), "uid")
+        upserts = new_nodes.join(_few(come), "uid", "left_semi").withColumn("op", F.lit("there"))
+        nodes = upserts.unionByName(left.withColumn("op", F.lit("gone")), allowMissingColumns=True)
         keys = list(EDGE_COLUMNS)
         gone = edge_changes.where(F.col("op") == "removed").select(*keys)
-        for end in ("src", "dst"):  # a removed node takes its edges along
-            gone = gone.unionByName(old_edges.join(dead.withColumnRenamed("uid", end), end, "left_semi").select(*keys))
+        if not dead.isEmpty():
+            met, dead = old_edges, _few(dead)
+            for end in ("src", "dst"):  # a removed node takes its edges along
+                met = met.join(dead.select(F.col("uid").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+            gone = gone.unionByName(met.where(F.col("_src") | F.col("_dst")).select(*keys))
         added = edge_changes.where(F.col("op") == "added").select(*keys)
         edges = gone.distinct().withColumn("op", F.lit("gone")).unionByName(added.withColumn("op", F.lit("there")))
-        for name, rows in (("nodes", nodes), ("edges", edges)):
-            rows.write.mode("overwrite").parquet(f"{self.path}/changes/{name}/version={version}")
+        for name, rows, by in (("nodes", nodes, changes.NODE_GROUP), ("edges", edges, changes.EDGE_GROUP)):
+            _write(rows, by, f"{self.path}/changes/{name}/version={version}")
         self._commit(version, "change")
 
     def rebuild(self, version: int, graph: Graph) -> None:
@@ -118,10 +157,17 @@ class GraphStore:
         self.write(version, graph.stored_nodes(), graph.all_edges())
 
     def compact(self, version: int | None = None) -> None:
-        """Write a version, by default the last one, as a base."""
+        """Make a version, by default the last one, a base: what changed since the base before is written, else its folders are named."""
         version = self.last() if version is None else version
-        if version is not None:
-            self.write(version, *self.read(version))
+        base = None if version is None else self._latest((F.col("kind") == "base") & (F.col("version") <= version))
+        if version is None or base == version:
+            return
+        held = {} if base is None else self._held(base)
+        new = {}
+        for what, (rows, touched) in self._changed(base, version).items():
+            new[what] = _merged(self._rows(what, held.get(what, {})), rows, touched, what)[1]
+            held[what] = {folder: left for folder, names in held.get(what, {}).items() if (left := [x for x in names if changes.group_text(x) not in touched])}
+        self._write_base(version, {what: rows for what, rows in new.items() if rows is not None}, held)
 
     def vacuum(self, keep: int) -> None:
         """Drop bases and changes that versions from ``keep`` on don't need; reading an older one is an error then.
@@ -132,22 +178,62 @@ class GraphStore:
         if base is None:
             return
         self._commit(base, "floor")
-        for row in self._commits().where(F.col("version") <= base).distinct().toLocalIterator():  # versions, not data
-            if row["version"] < base:
-                drop_dir(self.spark, f"{self.path}/base/v{row['version']}")
-            for name in ("nodes", "edges"):
-                drop_dir(self.spark, f"{self.path}/changes/{name}/version={row['version']}")
+        bases = {r["version"] for r in self._commits().where(F.col("kind") == "base").select("version").distinct().collect()}  # versions, not data
+        old = [v for v in sorted(bases) if v < base and list_dir(self.spark, f"{self.path}/base/v{v}")]
+        was, kept = ([(what, folder, tuple(x)) for v in versions for what, held in self._held(v).items() for folder, names in held.items() for x in names]
+                     for versions in (old, [v for v in bases if v >= base]))
+        for what, folder, names in set(was) - set(kept):
+            at = "/".join(f"{c}={_escaped(x)}" for c, x in zip(TABLES[what][2], names, strict=True))
+            drop_dir(self.spark, f"{self.path}/rows/{what}/{folder}/{at}")
+        for what in TABLES:
+            needed = {folder for x, folder, _ in kept if x == what}
+            for folder in set(list_dir(self.spark, f"{self.path}/rows/{what}")) - needed:
+                drop_dir(self.spark, f"{self.path}/rows/{what}/{folder}")
+        for v in old:
+            drop_dir(self.spark, f"{self.path}/base/v{v}")
+        for row in self._commits().where(F.col("version") <= base).select("version").distinct().toLocalIterator():
+            for what in TABLES:
+                drop_dir(self.spark, f"{self.path}/changes/{what}/version={row['version']}")
+
+
+def _escaped(name: str | None) -> str:
+    """A value as Spark names its folder."""
+    return "__HIVE_DEFAULT_PARTITION__" if name is None else re.sub(r"[\x01-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda m: f"%{ord(m[0]):02X}", name)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _write(rows: DataFrame, by: tuple[str, ...], path: str) -> None:
+    rows.write.mode("overwrite").partitionBy(*by).option("compression", "zstd").parquet(path)
+
+
+#: So many keys at most are broadcast, whatever the session's threshold.
+FEW_KEYS = 1 << 17
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """Keys of a stored table, to be broadcast if they are few, so that the rows they meet aren't shuffled."""
+    return F.broadcast(keys) if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS else keys
 
 
-def _merged(base: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
-    """The base's rows whose key isn't changed, and the last of each changed key's, unless that is gone.
+def _merged(base: DataFrame, changed: DataFrame | None, touched: list[str], what: str) -> tuple[DataFrame, DataFrame | None]:
+    """The base's rows whose key isn't changed, and the last of each changed key's, unless that is gone; and of those the rows of
+    the labels or triples that were touched.
 
-    Changes alone are grouped; the base meets their keys, by broadcast where they are few.
+    Changes alone are grouped; the base meets their keys, by broadcast where they are few. Labels or triples without
+    changes, told by their names, meet nothing.
     """
+    _, keys, by = TABLES[what]
+    if changed is None:
+        return base, None
+    ours = changes.group_of(by).isin(touched)
     last = changed.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in changed.columns if c not in (*keys, "version")]), "version").alias("_last"))
-    kept = base.join(last.select(*keys), keys, "left_anti")
+    kept = base.where(ours).join(last.select(*keys), keys, "left_anti")
     there = last.where(F.col("_last.op") == "there")
-    return kept.select(*base.columns).unionByName(there.select(*[F.col(c if c in keys else f"_last.{c}").alias(c) for c in base.columns]))
+    found = kept.select(*base.columns).unionByName(there.select(*[F.col(c if c in keys else f"_last.{c}").alias(c) for c in base.columns]))
+    return base.where(~ours).unionByName(found), found
 
 
 def refresh_stream(
