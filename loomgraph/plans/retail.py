@@ -737,7 +737,7 @@ def q_store_open_properties(g: Graph) -> DataFrame:
 def q_canonical_export(g: Graph) -> DataFrame:
     """The canonical lines, read back and parsed."""
     path = f"{scratch_dir(g.spark)}/canonical"
-    sinks.write_canonical(g, path)
+    sinks.write_canonical(g, path, compression="gzip")
     field = lambda what, name: g.spark.read.text(f"{path}/{what}").select(F.get_json_object("value", name).alias("name"))
     return _counted(field("nodes", "$.labels[0]"), field("edges", "$.rel"))
 

@@ -79,7 +79,17 @@ def directed_graph(graph: Graph) -> tuple[DataFrame, DataFrame]:
     return vertices.orderBy("id"), edges.orderBy("source", "target", "type")
 
 
-def write_canonical(graph: Graph, path: str) -> None:
-    """Canonical JSON lines, nodes by uid and edges by source, type and target, for hashing outside."""
-    canonical_nodes(graph.nodes()).orderBy("uid").select("line").write.mode("overwrite").text(f"{path}/nodes")
-    canonical_edges(graph.all_edges()).orderBy("src", "rel", "dst").select("line").write.mode("overwrite").text(f"{path}/edges")
+def canonical_lines(graph: Graph) -> dict[str, DataFrame]:
+    """``line`` of all nodes in order of uid, and of all edges in order of source, type and target.
+
+    What is sorted is the columns; each line is made of them afterwards, so that no text is shuffled twice.
+    """
+    nodes = canonical_nodes(graph.nodes().select("uid", "label", "props").orderBy("uid", "label"))
+    edges = canonical_edges(graph.all_edges().select("src", "etype", "dst").orderBy("src", "etype", "dst"))
+    return {"nodes": nodes.select("line"), "edges": edges.select("line")}
+
+
+def write_canonical(graph: Graph, path: str, *, compression: str | None = None) -> None:
+    """Canonical JSON lines for hashing outside; ``compression`` is that of Spark's text writer."""
+    for what, lines in canonical_lines(graph).items():
+        lines.write.mode("overwrite").text(f"{path}/{what}", compression=compression)
