@@ -80,3 +80,32 @@ def test_sample_is_the_same_for_any_order_and_needs_no_window(spark):
     assert got == again and got["B"] == (2, 1)
     assert got["A"][0] == 6000 and 10_500 < got["A"][1] < 13_500  # 12,000 keys in all
     assert {tuple(r) for r in metrics.property_count(nodes, sample=10**6).collect()} == {tuple(r) for r in metrics.property_count(nodes).collect()}
+
+
+def test_triangles_of_kinds(spark, tmp_path):
+    """Hubs of any kind, loops of kinds, repeated and turned edges; kinds that no three close are no part of the joins."""
+    rng = random.Random(5)
+    kind = lambda i: "abcde"[i % 5]
+    pairs = [(rng.randrange(90), rng.randrange(90)) for _ in range(500)] + [(3, i) for i in range(90)] + [(i, 4) for i in range(0, 90, 2)]
+    pairs = [(x, y) for x, y in pairs if {kind(x), kind(y)} not in ({"a", "b"}, {"a", "c"}, {"c"})] + [(200 + i, 300 + i) for i in range(50)]
+    pairs += pairs[:40] + [(y, x) for x, y in pairs[:40]] + [(7, 7)]
+    named = [(x, kind(x) if x < 200 else "leaf", y, kind(y) if y < 300 else "top") for x, y in pairs]
+    edges = spark.createDataFrame(named, "src long, src_kind string, dst long, dst_kind string")
+    want = by_hand(pairs)
+    of = {v: k for x, j, y, k in named for v, k in ((x, j), (y, k))}
+    by_kind = Counter(tuple(sorted(of[v] for v in t)) for t in want)
+    assert {tuple(r["kinds"]): r["n"] for r in cycles.triangles_by_kind(edges, f"{tmp_path}/k").collect()} == by_kind
+    rows = [frozenset(r) for r in cycles.triangles(edges, f"{tmp_path}/t").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    found = cycles.wedges(edges, f"{tmp_path}/w")
+    assert not {"leaf", "top"} & {found.kinds[r[0]] for r in found.closing.select("kb").distinct().collect()}
+    none = cycles.triangles_by_kind(edges.where("false"), f"{tmp_path}/n")
+    assert none.collect() == []
+
+
+def test_hubs_alone_are_counted(spark, tmp_path):
+    """Before, every node's degree was written and met with all pairs; a star's hub is the one row now, and no two edges meet there."""
+    star = spark.range(3000).select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"))
+    found = cycles.wedges(star.union(spark.createDataFrame([(0, 1)], "src long, dst long")), f"{tmp_path}/s")
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/s/hubs").collect()] == [(-1, "", 3000)]
+    assert found.open_.count() == 1 and found.closing.count() == 3001
