@@ -109,12 +109,6 @@ def _narrowed(current: DataFrame, previous: DataFrame, by: tuple[str, ...], key:
     return left(current), left(previous)
 
 
-def changed_nodes(current: DataFrame, previous: DataFrame, store: str) -> tuple[DataFrame, DataFrame]:
-    """The nodes of both versions without ranges that are the same; differences and upserts need no others."""
-    there = F.col("uid").isNotNull()
-    return _narrowed(current.where(there), previous.where(there), NODE_GROUP, ["uid"], [_mark(current, previous)], store)
-
-
 def changed_edges(current: DataFrame, previous: DataFrame, store: str) -> tuple[DataFrame, DataFrame]:
     """The edges of both versions without ranges that are the same."""
     return _narrowed(current.select(*EDGE_KEY), previous.select(*EDGE_KEY), EDGE_GROUP, ["src", "dst"], [], store)

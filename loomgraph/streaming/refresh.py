@@ -123,8 +123,8 @@ class GraphStore:
         """Bring the last version before ``version`` to ``graph``, writing what changes; False, and nothing written, if nothing does."""
         old_nodes, old_edges = self.read(self.last(before=version))
         with scratch(self.spark) as work:  # each difference is made once: it is looked at first, then written
-            new_nodes, left = changes.changed_nodes(graph.stored_nodes().select(*old_nodes.columns), old_nodes, f"{work}/node_ranges")
-            node_changes = stored(changes.node_changes(new_nodes, left), f"{work}/nodes")
+            new_nodes = graph.stored_nodes().select(*old_nodes.columns)
+            node_changes = stored(changes.node_changes(new_nodes, old_nodes), f"{work}/nodes")
             edge_changes = stored(changes.edge_diff(*changes.changed_edges(graph.all_edges(), old_edges, f"{work}/edge_ranges")), f"{work}/edges")
             if changes.is_empty(node_changes, edge_changes):
                 return False
